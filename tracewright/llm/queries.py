@@ -27,3 +27,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op7_simhash_near_dedup, op10_quality_rules)}
+
+ORACLES: dict[str, str] = {}
