@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, tokens
+from . import decontamination, oracles, packing, planes, quality, reputation, secrets, sharding, simhash, tokens
+from .shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,16 +17,45 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, manifest = planes.write_ids(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), end_id=2)
+    return planes.read_ids(spark, path, manifest)
+
+
+def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    found = sharding.shuffled(docs, ["doc_id", "text"], shards=24)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long")
+    return found.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # pages carry the documents of the same id, so the documents' labels are the outcomes
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    found = reputation.judged(_table(spark, sf_dir, "pages"), outcomes)
+    return found.select(F.col("page_id").cast("long"), "host", "path", "rule", "verdict", "labelled", "bad", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=4, shingle=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "window_start", "n_words", "similarity")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(secrets.findings(_table(spark, sf_dir, "documents")), "findings", texts=True)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 3).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op7_simhash_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_token_planes, op5_hypergeometric_shards, op6_host_reputation, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_secret_scan, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_host_reputation": oracles.OP6, "op8_benchmark_decontamination": oracles.OP8}
