@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+OP2 = r"""
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS part, role, text, '<|' || role || '|>' || chr(10) || text || '<|end|>' AS rendered FROM conversations
+"""
+
 OP6 = r"""
 WITH u AS (
   SELECT CAST(page_id AS BIGINT) AS page_id,
@@ -40,10 +44,10 @@ FROM r
 
 OP8 = r"""
 WITH items AS (
-  SELECT item_id, w, len(w) AS n FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark) WHERE len(w) >= 5),
+  SELECT item_id, w, len(w) AS n FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5),
 grams AS (SELECT item_id, n, w, unnest(range(0, n - 4)) AS off FROM items),
 keys AS (SELECT item_id, n, off, array_to_string(w[off + 1 : off + 5], ' ') AS g FROM grams),
-docs AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 ats AS (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS pos FROM docs WHERE len(w) >= 5),
 dk AS (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS g FROM ats),
 starts AS (SELECT DISTINCT doc_id, item_id, n, pos - off AS start FROM dk JOIN keys USING (g)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, oracles, packing, planes, quality, reputation, secrets, sharding, simhash, tokens
+from . import chat, decontamination, licences, oracles, packing, planes, quality, reputation, secrets, sharding, simhash, tokens
 from .shared import written
 
 
@@ -13,6 +13,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(_table(spark, sf_dir, "documents"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the transcript of a conversation as it is read: every turn after its speaker's name
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.coalesce(F.concat("role", F.lit(": ")), F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+    found = chat.formatted(rows, chat.fitted(rows))
+    return found.select("conv_id", "turn", "part", "role", "text", "rendered")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -56,6 +67,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 3).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_token_planes, op5_hypergeometric_shards, op6_host_reputation, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_chat_formatting, op3_best_fit_packing, op4_token_planes, op5_hypergeometric_shards, op6_host_reputation, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_secret_scan, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {"op6_host_reputation": oracles.OP6, "op8_benchmark_decontamination": oracles.OP8}
+ORACLES: dict[str, str] = {"op2_chat_formatting": oracles.OP2, "op6_host_reputation": oracles.OP6, "op8_benchmark_decontamination": oracles.OP8}
