@@ -35,7 +35,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 
 BROADCAST_ROWS = 1_000_000
 SHINGLE = 5
@@ -119,15 +119,26 @@ def _pairs(docs: DataFrame, items: DataFrame, k: int, radius: int) -> DataFrame:
     return met.select("row", "doc_id", "item_id", "item_row", "window_start", "n_words", "bits_apart", counts_similarity(F.col("window"), F.col("item_shingles")).alias("similarity"))
 
 
+def _row_of(docs: DataFrame) -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that no item of ``benchmark`` contaminates, with their own columns."""
+    (row,) = unused(docs, "row")
+    rows = written(contaminated(docs, benchmark, **options).select(F.col("row").alias(row)).distinct(), "contaminated")
+    return docs.withColumn(row, _row_of(docs)).join(rows, row, "left_anti").select(*docs.columns)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 23) -> DataFrame:
-    """Pairs ``doc_id, item_id`` with their best window: ``window_start, n_words, bits_apart, similarity``.
+    """Pairs ``doc_id, item_id`` (and ``row``, a hash of the document row) with their best window: ``window_start, n_words, bits_apart, similarity``.
 
     ``docs`` has ``doc_id, text`` and ``benchmark`` has ``item_id, text``.
     """
     items = benchmark.select("item_id", F.xxhash64("item_id", "text").alias("item_row"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words")).filter("n_words > 0")
     items = written(items, "items")
     sizes = sorted(r["k"] for r in items.select(F.least("n_words", F.lit(SHINGLE)).alias("k")).distinct().collect())  # at most five
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    rows = docs.select(_row_of(docs).alias("row"), "doc_id", "text")
     found = None
     for k in sizes:
         some = items.filter((F.col("n_words") == k) | (F.lit(k == SHINGLE) & (F.col("n_words") > k)))
@@ -136,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         pairs = _pairs(rows, some, k, radius).filter(F.col("similarity") >= similarity)
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, window_start int, n_words int, bits_apart int, similarity double")
+        return docs.sparkSession.createDataFrame([], "row long, doc_id long, item_id long, window_start int, n_words int, bits_apart int, similarity double")
     best = F.max_by(F.struct("window_start", "bits_apart", "similarity"), F.struct("similarity", -F.col("window_start"))).alias("best")
     out = found.groupBy("row", "doc_id", "item_id", "item_row", "n_words").agg(best)
-    return out.select("doc_id", "item_id", "best.window_start", "n_words", "best.bits_apart", F.round("best.similarity", 6).alias("similarity"))
+    return out.select("row", "doc_id", "item_id", "best.window_start", "n_words", "best.bits_apart", F.round("best.similarity", 6).alias("similarity"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, written
+from .shared import discard, unused, written
 
 STATS = ("word_length", "symbols", "dup_lines", "repeats", "stutter")
 #: Statistic's count, what it is counted over, and rows of ordinary text that it is shrunk with.
@@ -223,6 +223,15 @@ def judged(table: DataFrame, share: float = 0.75, steps: int = 4, p_reject: floa
     return out.withColumn("kept", accepted)
 
 
+def accepted(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality` keeps, with their own columns."""
+    (row,) = unused(docs, "row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text", "lang", "source"))
+    table = written(counts(keyed.select(F.col(row).alias("doc_id"), "text", "lang", "source")), "counts", texts=True)
+    kept = written(judged(table, **options).filter("kept").select(F.col("doc_id").alias(row)).distinct(), "kept")
+    return keyed.join(kept, row, "left_semi").select(*docs.columns)
+
+
 def quality(docs: DataFrame, **options) -> DataFrame:
     """Counts, distance and verdict of every row of ``docs`` (``doc_id, text, lang, source``)."""
     return judged(written(counts(docs), "counts", texts=True), **options)

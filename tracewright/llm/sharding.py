@@ -28,6 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 MAX_PARTS = 20_000
 BLOCK_ROWS = 1_000_000
 
@@ -83,34 +85,33 @@ def communication_matrix(part_rows: list[int], sizes: list[int], seed: int) -> l
 def shuffled(df: DataFrame, identity: list[str], shards: int = 24, seed: int = 17, parts: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, from 0 without gaps in each shard)."""
     spark = df.sparkSession
+    part, first, second, rank, cuts, cell, base, place = unused(df, "_part", "_first", "_second", "_rank", "_cuts", "_block", "_base", "_place")
     parts = min(MAX_PARTS, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def key(n: int):
         return F.xxhash64(F.lit(seed + n), *identity)
 
-    keyed = df.withColumns({"_part": F.pmod(key(0), F.lit(parts)).cast("int"), "_first": key(1), "_second": key(2)})
-    rows = {r["_part"]: r["n"] for r in keyed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    total = sum(rows.values())
-    sizes = shard_sizes(total, shards)
+    keyed = df.withColumns({part: F.pmod(key(0), F.lit(parts)).cast("int"), first: key(1), second: key(2)})
+    rows = {r[0]: r[1] for r in keyed.groupBy(part).agg(F.count("*")).collect()}
+    sizes = shard_sizes(sum(rows.values()), shards)
     matrix = communication_matrix([rows.get(p, 0) for p in range(parts)], sizes, seed)
-    ends = [{"_part": p, "_ends": np.cumsum(line).tolist()} for p, line in enumerate(matrix) if rows.get(p)]
-    lines = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(ends)), "array<struct<_part:int,_ends:array<long>>>")).alias("x")).select("x.*")
+    ends = [{"p": p, "e": np.cumsum(line).tolist()} for p, line in enumerate(matrix) if rows.get(p)]
+    lines = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(ends)), "array<struct<p:int,e:array<long>>>")).alias("x")).select(F.col("x.p").alias(part), F.col("x.e").alias(cuts))
 
     def sent(table: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("_part").orderBy("_first", "_second"))
-        cut = table.withColumn("_rank", rank).join(lines, "_part")
-        shard = F.size(F.filter("_ends", lambda e: e < F.col("_rank"))).cast("int")
-        return cut.withColumn("shard", shard).drop("_part", "_first", "_rank", "_ends")
+        order = F.row_number().over(Window.partitionBy(part).orderBy(first, second))
+        shard = F.size(F.filter(cuts, lambda e: e < F.col(rank))).cast("int")
+        return table.withColumn(rank, order).join(lines, part).withColumn("shard", shard).drop(part, first, rank, cuts)
 
     blocks = -(-max(sizes, default=0) // block_rows) or 1
-    block = F.least(((F.shiftrightunsigned("_second", 33)) * F.lit(blocks) / F.lit(1 << 31)).cast("int"), F.lit(blocks - 1))
     out = sent(keyed)
     if blocks == 1:
-        slot = F.row_number().over(Window.partitionBy("shard").orderBy("_second"))
-        return out.withColumn("slot", slot.cast("long") - 1).drop("_second")
-    sums = sent(keyed.select("_part", "_first", "_second")).groupBy("shard", block.alias("_block")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("shard", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    slot = F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_second")) - 1
-    placed = out.withColumn("_block", block).withColumn("_slot", slot).join(base, ["shard", "_block"])
-    return placed.withColumn("slot", F.col("_base") + F.col("_slot")).drop("_block", "_slot", "_base", "_second")
+        slot = F.row_number().over(Window.partitionBy("shard").orderBy(second))
+        return out.withColumn("slot", slot.cast("long") - 1).drop(second)
+    block = F.floor(F.shiftrightunsigned(second, 33) * F.lit(blocks) / F.lit(1 << 31)).cast("int")
+    sums = sent(keyed.select(part, first, second)).groupBy("shard", block.alias(cell)).agg(F.count("*").alias(place))
+    before = Window.partitionBy("shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("shard", cell, F.coalesce(F.sum(place).over(before), F.lit(0)).alias(base))
+    slot = F.row_number().over(Window.partitionBy("shard", cell).orderBy(second)) - 1
+    placed = out.withColumn(cell, block).withColumn(place, slot).join(bases, ["shard", cell])
+    return placed.withColumn("slot", F.col(base) + F.col(place)).drop(cell, place, base, second)

@@ -63,3 +63,15 @@ def discard(*tables: DataFrame) -> None:
             hadoop = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(hadoop).delete(where, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -26,16 +26,18 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import discard, written
+from .shared import discard, unused, written
 
 #: Fingerprints of one key that one task compares at a time.
 BLOCK_ROWS = 16_384
 #: Cost of shuffling one probe, in candidate comparisons.
-PROBE_COST = 40.0
+PROBE_COST = 80.0
+#: Texts of one Hamming component that one task compares with as many others.
+GROUP_TEXTS = 1500
 _CHUNK = 1 << 21
 
 
@@ -194,19 +196,20 @@ class Plan:
 def make_plan(fps: DataFrame, radius: int) -> Plan:
     """The number of partitions with the least cost estimated from the counts, and the plan for it."""
     n, both = co_occurrence(fps)
-    options = []
-    for m in range(2 if radius > 1 else 1, radius + 2):
-        groups = grouped_bits(n, both, m)
-        counts = block_counts(fps, [g[a : a + 8] for g in groups for a in range(0, len(g), 8)])
+    grouped = {m: grouped_bits(n, both, m) for m in range(2 if radius > 1 else 1, min(radius + 1, 16) + 1)}
+    blocks = {m: [g[a : a + 8] for g in groups for a in range(0, len(g), 8)] for m, groups in grouped.items()}
+    every = block_counts(fps, [b for m in grouped for b in blocks[m]])
+    options, done = [], 0
+    for m, groups in grouped.items():
+        counts = every[done : done + len(blocks[m])]
+        done += len(blocks[m])
         plan = Plan(n, groups, counts, radius)
         rng = np.random.default_rng(7)  # queries drawn from the counts, to price this m
-        bits, at = np.zeros((512, 64), dtype=np.uint8), 0
-        for blocks in plan.blocks:
-            for block in blocks:
-                p = counts[at] + 1e-12
-                values = rng.choice(256, size=512, p=p / p.sum())
-                bits[:, block] = values[:, None] >> np.arange(len(block)) & 1
-                at += 1
+        bits = np.zeros((512, 64), dtype=np.uint8)
+        for block, found in zip(blocks[m], counts, strict=True):
+            p = found + 1e-12
+            values = rng.choice(256, size=512, p=p / p.sum())
+            bits[:, block] = values[:, None] >> np.arange(len(block)) & 1
         plan.thresholds(bits)
         options.append((plan.cost, m, plan))
     return min(options, key=lambda x: x[:2])[2]
@@ -345,3 +348,109 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     by_print = written(classes.join(least, "root").select("fp", "component_id"), "classes")
     discard(edges, distinct, roots)
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (all words where it has fewer)."""
+    words = text.lower().split()
+    k = min(shingle, len(words))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1) if k), dtype=np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least ``least``; two empty sets are equal."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return both >= least * (len(a) + len(b) - both)
+
+
+def single_linkage(sets: list[np.ndarray], least: float) -> list[int]:
+    """For each set the least index it is chained to; pairs that are chained already are not compared."""
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = find(i), find(j)
+            if a != b and similar(sets[i], sets[j], least):
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def verified_links(members: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Links ``a, b`` between texts (``component, key, text``) of a component whose shingle sets are similar.
+
+    A component of up to ``GROUP_TEXTS`` texts is compared in one task. The
+    texts of a larger one are dealt in blocks and every two blocks meet in a
+    task, so each pair is still compared somewhere.
+    """
+    sizes = members.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / GROUP_TEXTS).cast("int")).drop("n")
+    rows = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("key", F.lit(5)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("component", "key", "text", "block", other)
+    rows = rows.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "key", F.col("text").cast("binary").alias("text"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "component", "one", "two").sortWithinPartitions("component", "one", "two", "key")
+
+    def run(batches):
+        group, keys, sets = None, [], []
+
+        def out():
+            roots = single_linkage(sets, least)
+            found = [(keys[i], keys[r]) for i, r in enumerate(roots) if i != r]
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for component, one, two, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if keys and (component, one, two) != group:
+                    yield out()
+                    keys, sets = [], []
+                group = (component, one, two)
+                keys.append(key), sets.append(shingle_set(text or b"", shingle))
+        if keys:
+            yield out()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def deduplicated(docs: DataFrame, radius: int = 10, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the least ``doc_id``.
+
+    Candidates are texts whose fingerprints are linked within ``radius`` bits;
+    groups are made by links of Jaccard ``similarity`` on ``shingle`` words that
+    are verified between them. Texts are known by a 64-bit hash here.
+    """
+    text_key, row_key, nth = unused(docs, "_text", "_row", "_nth")
+    whole = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({text_key: F.xxhash64(whole), row_key: F.xxhash64("doc_id", whole)})
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t or b"", shingle) for t in batch.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(fps)], names=["doc_id", "_text", "_row", "fp"])
+
+    some = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_key).alias("_text"), F.col(row_key).alias("_row"), F.col("text").cast("binary").alias("text"))
+    prints = written(some.mapInArrow(run, "doc_id long, _text long, _row long, fp long"), "fingerprints", texts=True)
+    texts = written(prints.groupBy("_text").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "_row")).alias("first")), "texts")
+    edges = written(links(texts.select("fp").distinct(), radius), "links")
+    roots = connected(edges).withColumnsRenamed({"node": "fp", "root": "component"})
+    grouped = texts.join(roots, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    several = grouped.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    members = written(grouped.join(several, "component").select("component", "_text", F.col("first._row").alias("_row")), "members")
+    with_text = keyed.select(F.col(row_key).alias("_row"), "text").join(members, "_row").dropDuplicates(["_text"]).select("component", F.col("_text").alias("key"), "text")
+    verified = written(verified_links(with_text, similarity, shingle), "verified", texts=True)
+    final = connected(verified).withColumnsRenamed({"node": "_text"})
+    kept = texts.join(final, "_text", "left").groupBy(F.coalesce("root", "_text").alias("group")).agg(F.min("first").alias("first"))
+    kept = written(kept.select(F.col("first._row").alias("_row")), "kept")
+    discard(edges, members, verified, prints)
+    one = F.row_number().over(Window.partitionBy(row_key).orderBy(text_key))  # rows repeated in full
+    return keyed.join(kept.withColumnRenamed("_row", row_key), row_key, "left_semi").withColumn(nth, one).filter(F.col(nth) == 1).select(*docs.columns)
