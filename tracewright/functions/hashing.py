@@ -7,7 +7,7 @@ import json
 import random
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the MinHash family: the Mersenne prime and the seed of its coefficients.
@@ -37,19 +37,28 @@ def shingle_hash(shingle: Column) -> Column:
     return F.conv(F.substring(F.md5(shingle), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def minhash(shingles: Column, perms: int = 64) -> Column:
-    """MinHash signature by exact integer arithmetic; an empty set has the one hash 0."""
-    found = F.transform(shingles, shingle_hash)
-    hashes = F.when(F.size(shingles) == 0, F.array(F.lit(0).cast("decimal(20,0)"))).otherwise(found)
+def _times(a: int, h: Column, b: int) -> Column:
+    """``(a h + b) mod (2^61 - 1)`` for h below the prime, in 64-bit arithmetic: both factors are cut at bit 31, and 2^61 counts as 1."""
+    a1, a0 = a >> 31, a & ((1 << 31) - 1)
+    h1, h0 = F.shiftright(h, 31), h.bitwiseAND(F.lit((1 << 31) - 1))
+    prime = F.lit(PRIME)
 
-    def signed(bound: Column) -> Column:
-        def least(a: int, b: int) -> Column:
-            step = F.transform(bound, lambda h: ((F.lit(a).cast("decimal(19,0)") * h + F.lit(b).cast("decimal(19,0)")) % F.lit(PRIME).cast("decimal(19,0)")).cast("long"))
-            return F.array_min(step)
+    def folded(x: Column) -> Column:
+        return x.bitwiseAND(prime) + F.shiftright(x, 61)
 
-        return F.array(*(least(a, b) for a, b in coefficients(perms)))
+    middle = F.lit(a1) * h0 + F.lit(a0) * h1
+    high = F.lit(2) * (F.lit(a1) * h1)
+    shifted = F.shiftright(middle, 30) + F.shiftleft(middle.bitwiseAND(F.lit((1 << 30) - 1)), 31)
+    return (folded(folded(high) + folded(shifted)) + folded(folded(F.lit(a0) * h0) + F.lit(b))) % prime
 
-    return F.element_at(F.transform(F.array(hashes), signed), 1)
+
+def minhash(sets: DataFrame, perms: int = 64) -> DataFrame:
+    """``ord, sig`` (MinHash signature) of rows ``ord, shingles``, as minima over the exploded shingles; an empty set has the one hash 0."""
+    prime = F.lit(PRIME).cast("decimal(20,0)")
+    each = sets.select("ord", F.explode_outer("shingles").alias("s"))
+    hashed = each.select("ord", F.coalesce((shingle_hash(F.col("s")) % prime).cast("long"), F.lit(0).cast("long")).alias("h"))
+    least = [F.min(_times(a, F.col("h"), b)).alias(f"m{k}") for k, (a, b) in enumerate(coefficients(perms))]
+    return hashed.groupBy("ord").agg(*least).select("ord", F.array(*(f"m{k}" for k in range(perms))).alias("sig"))
 
 
 def canonical(value) -> str:

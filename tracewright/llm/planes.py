@@ -88,7 +88,7 @@ class Writer:
             self.waiting, self.have = [data[4 * whole :]], self.have - whole
 
     def _put(self, data: bytes) -> None:
-        planes = [self.zip.compress(p) if any(p) else b"" for p in to_planes(np.frombuffer(data, "<u4"), self.bits)]
+        planes = [self.zip.compress(p) if p.strip(b"\0") else b"" for p in to_planes(np.frombuffer(data, "<u4"), self.bits)]
         for plane in planes:
             self.stream.write(plane)
         self.index.append([self.at, len(data) // 4, *map(len, planes)])

@@ -64,7 +64,7 @@ def band_keys(signature: Column, bands: int, perms: int) -> Column:
 
 def lsh_pairs(sets: DataFrame, threshold: float, perms: int = 64, bands: int = 16) -> DataFrame:
     """Pairs that share a band of their MinHash signatures, verified by the exact Jaccard."""
-    signed = sets.filter(F.size("shingles") > 0).select("ord", minhash(F.col("shingles"), perms).alias("sig"))
+    signed = minhash(sets.filter(F.size("shingles") > 0), perms)
     keys = signed.select("ord", F.explode(band_keys(F.col("sig"), bands, perms)).alias("key"))
     a, b = keys.select(F.col("ord").alias("i"), "key"), keys.select(F.col("ord").alias("j"), "key")
     met = a.join(b, "key").filter("i < j").select("i", "j").distinct()

@@ -38,7 +38,7 @@ def dedup_removed_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four of 64 permutations, and the sum of all as a check of the others."""
-    signed = _items(spark, sf_dir).select("ord", minhash(F.col("shingles")).alias("sig"))
+    signed = minhash(_items(spark, sf_dir))
     total = F.aggregate("sig", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
     return signed.select(F.col("ord").alias("item_id"), *(F.col("sig")[k].alias(f"h{k}") for k in range(4)), total.cast("string").alias("total"))
 
