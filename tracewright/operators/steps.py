@@ -87,7 +87,7 @@ def valid_calls() -> Column:
 
     def valid(s: Column) -> Column:
         spec = F.try_element_at(F.filter("tools", lambda t: t["name"] == s["tool_name"]), F.lit(-1))
-        filled = F.forall(F.coalesce(spec["required"], F.array().cast("array<string>")), lambda r: F.get_json_object(s["tool_args"], F.concat(F.lit("$['"), r, F.lit("']"))).isNotNull())
+        filled = F.forall(F.coalesce(spec["required"], F.array().cast("array<string>")), lambda r: F.call_function("get_json_object", s["tool_args"], F.concat(F.lit("$['"), r, F.lit("']"))).isNotNull())
         return spec.isNotNull() & filled
 
     return F.size(F.filter(of_type("tool_call"), valid))
