@@ -16,7 +16,7 @@ units AS (
   SELECT *, CASE WHEN regexp_matches(host, '^[0-9.]*$') OR NOT contains(host, '.') THEN host ELSE split_part(host, '.', -2) || '.' || split_part(host, '.', -1) END AS domain,
     CASE WHEN regexp_matches(host, '^[0-9.]*$') OR NOT contains(host, '.') THEN host ELSE split_part(host, '.', -1) END AS suffix
   FROM hosts),
-total AS (SELECT (coalesce(sum(k), 0) + 0.5e0) / (coalesce(sum(n), 0) + 1e0) AS p FROM units),
+total AS (SELECT (coalesce(sum(k), 0) + 1e0) / (coalesce(sum(n), 0) + 20e0) AS p FROM units),
 d AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM units GROUP BY ALL),
 s AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k, any_value(total.p) AS p FROM d, total GROUP BY suffix),
 sr AS (SELECT least(greatest(round(coalesce(sum(pow(k - n*p, 2) - n*p*(1-p)) / nullif(sum(n*(n-1e0)*p*(1-p)), 0), 0), 9), 0.001e0), 0.9e0) AS rho FROM s WHERE n > 0),

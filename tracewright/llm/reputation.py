@@ -85,7 +85,7 @@ def reputation(hosts: DataFrame) -> DataFrame:
     """Posterior ``mean`` and ``sd`` of the share of bad pages for each row of ``host, n, k``."""
     units = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     total = units.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    overall = ((total["k"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
+    overall = ((total["k"] or 0) + 1.0) / ((total["n"] or 0) + 20.0)  # one bad page in twenty before any is labelled
     mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("p")
     domains = units.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("p", F.lit(overall))
