@@ -1,9 +1,10 @@
 """Near-duplicates, decontamination and overlap on word shingles.
 
-Similar pairs come from an inverted index with a prefix filter: two sets with
-Jaccard at least t share one of their ``n - ceil(t n) + 1`` rarest members, so
-only those meet, and the length filter drops pairs of unlike sizes. Sets that
-are empty are equal to each other and are linked in a chain to the first.
+Rows with equal shingle sets (copies) are one class, known by its first row, so
+copies are never expanded into pairs. Similar classes come from an inverted
+index with a prefix filter: two sets with Jaccard at least t share one of their
+``n - ceil(t n) + 1`` rarest members, so only those meet, and the length filter
+drops pairs of unlike sizes. All empty sets are one class.
 """
 
 from __future__ import annotations
@@ -35,18 +36,26 @@ def _prefix(members: DataFrame, threshold: float) -> DataFrame:
     return members.filter(F.col("pos") <= keep).select("ord", "n", "s")
 
 
+def classes(sets: DataFrame) -> DataFrame:
+    """``ord, first``: every row and the first row with the same shingle set."""
+    keyed = sets.select("ord", F.md5(F.array_join(F.array_sort("shingles"), "\x1f")).alias("set"))
+    first = keyed.groupBy("set").agg(F.min("ord").alias("first"))
+    return keyed.join(first, "set").select("ord", "first")
+
+
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """The first row of every class with its shingles."""
+    firsts = sets.groupBy(F.md5(F.array_join(F.array_sort("shingles"), "\x1f"))).agg(F.min("ord").alias("ord")).select("ord")
+    return sets.join(firsts, "ord", "left_semi")
+
+
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """All pairs ``i < j`` of ``ord`` with Jaccard at least ``threshold`` (``sim``); of the empty sets, pairs with the first one."""
-    prefix = _prefix(_rare_first(sets.filter(F.size("shingles") > 0)), threshold)
+    """All pairs ``i < j`` of first rows of classes with Jaccard at least ``threshold`` (``sim``)."""
+    firsts = stored(distinct_sets(sets), "sets")
+    prefix = _prefix(_rare_first(firsts.filter(F.size("shingles") > 0)), threshold)
     a, b = prefix.select(F.col("ord").alias("i"), F.col("n").alias("ni"), "s"), prefix.select(F.col("ord").alias("j"), F.col("n").alias("nj"), "s")
     met = a.join(b, "s").filter((F.col("i") < F.col("j")) & (F.least("ni", "nj") >= threshold * F.greatest("ni", "nj") - 1e-9))
-    return _verified(met.select("i", "j").distinct(), sets, threshold).unionByName(_empty_pairs(sets))
-
-
-def _empty_pairs(sets: DataFrame) -> DataFrame:
-    empty = sets.filter(F.size("shingles") == 0)
-    first = empty.agg(F.min("ord").alias("i"))
-    return empty.join(F.broadcast(first), F.col("ord") > F.col("i")).select("i", F.col("ord").alias("j"), F.lit(1.0).alias("sim"))
+    return _verified(met.select("i", "j").distinct(), firsts, threshold)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -63,35 +72,39 @@ def band_keys(signature: Column, bands: int, perms: int) -> Column:
 
 
 def lsh_pairs(sets: DataFrame, threshold: float, perms: int = 64, bands: int = 16) -> DataFrame:
-    """Pairs that share a band of their MinHash signatures, verified by the exact Jaccard."""
-    signed = minhash(sets.filter(F.size("shingles") > 0), perms)
+    """Pairs of first rows of classes that share a band of their MinHash signatures, verified by the exact Jaccard."""
+    firsts = stored(distinct_sets(sets), "sets")
+    signed = minhash(firsts.filter(F.size("shingles") > 0), perms)
     keys = signed.select("ord", F.explode(band_keys(F.col("sig"), bands, perms)).alias("key"))
     a, b = keys.select(F.col("ord").alias("i"), "key"), keys.select(F.col("ord").alias("j"), "key")
-    met = a.join(b, "key").filter("i < j").select("i", "j").distinct()
-    return _verified(met, sets, threshold).unionByName(_empty_pairs(sets))
+    return _verified(a.join(b, "key").filter("i < j").select("i", "j").distinct(), firsts, threshold)
 
 
 def greedy_kept(sets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keep-first in order of ``ord``: a row goes when it is similar to an earlier row that stays.
 
-    Rounds decide every row whose earlier neighbours allow it, until none is
-    open; the least open row always decides. Returns kept ``ord`` and removed
-    ``ord, kept, sim`` with the most similar (then earliest) kept row. The
-    state is written after each round, so lineage stays short.
+    Only first rows of classes can stay, and later copies share the fate of
+    their class. Rounds decide every class whose earlier neighbours allow it,
+    until none is open; the least open one always decides. Returns kept ``ord``
+    and removed ``ord, kept, sim`` with the most similar (then earliest) kept
+    row before it. The state is written after each round, so lineage stays short.
     """
-    pairs = stored(pairs, "pairs")
+    pairs, members = stored(pairs, "pairs"), stored(classes(sets), "classes")
     state = stored(pairs.select(F.explode(F.array("i", "j")).alias("ord")).distinct().withColumn("state", F.lit("u")), "state")
     while not state.filter("state = 'u'").isEmpty():
         before = pairs.join(state.select(F.col("ord").alias("i"), F.col("state").alias("si")), "i").groupBy(F.col("j").alias("ord"))
         seen = before.agg(F.max(F.col("si") == "k").alias("any_kept"), F.min(F.col("si") == "r").alias("all_removed"))
         decided = F.when(F.coalesce("any_kept", F.lit(False)), "r").when(F.coalesce("all_removed", F.lit(True)), "k").otherwise("u")
         state = stored(state.join(seen, "ord", "left").select("ord", F.when(F.col("state") != "u", F.col("state")).otherwise(decided).alias("state")), "state")
-    removed_ids = state.filter("state = 'r'").select("ord")
-    kept = sets.select("ord").join(removed_ids, "ord", "left_anti")
-    standing = state.filter("state = 'k'").select(F.col("ord").alias("i"))
-    best = F.max_by(F.struct(F.col("i").alias("kept"), "sim"), F.struct("sim", -F.col("i"))).alias("best")
-    removed = pairs.join(standing, "i").join(removed_ids.withColumnRenamed("ord", "j"), "j").groupBy(F.col("j").alias("ord")).agg(best)
-    return kept, removed.select("ord", "best.kept", F.round("best.sim", 3).alias("sim"))
+    gone = state.filter("state = 'r'").select(F.col("ord").alias("first"))
+    kept = members.filter("ord = first").select("ord", "first").join(gone, "first", "left_anti").select("ord")
+    copies = members.filter("ord != first").join(gone, "first", "left_anti").select("ord", F.col("first").alias("kept"), F.lit(1.0).alias("sim"))
+    standing = state.filter("state = 'k'").select(F.col("ord").alias("other"))
+    beside = pairs.select(F.col("j").alias("first"), F.col("i").alias("other"), "sim").unionAll(pairs.select("i", "j", "sim"))
+    near = members.join(gone, "first").join(beside.join(standing, "other"), "first").filter("other < ord")
+    best = F.max_by(F.struct(F.col("other").alias("kept"), "sim"), F.struct("sim", -F.col("other"))).alias("best")
+    removed = near.groupBy("ord").agg(best).select("ord", "best.kept", F.round("best.sim", 3).alias("sim"))
+    return kept, removed.unionByName(copies)
 
 
 def deduplicate(sets: DataFrame, threshold: float = 0.85, method: str = "pairwise") -> tuple[DataFrame, DataFrame]:

@@ -132,10 +132,11 @@ def _shingles(relation: str, key: str) -> str:
 
 _D, _B = _shingles("documents", "doc_id"), _shingles("benchmark", "item_id")
 _PAIRS = f"""WITH {_D},
-common AS (SELECT a.ord AS i, b.ord AS j, count(*) AS c FROM documents_s a JOIN documents_s b ON a.s = b.s AND a.ord < b.ord GROUP BY 1, 2),
-pairs AS (
-  SELECT i, j, c / (x.n + y.n - c)::DOUBLE AS sim FROM common JOIN documents_n x ON x.ord = i JOIN documents_n y ON y.ord = j WHERE c / (x.n + y.n - c)::DOUBLE >= {THRESHOLD}
-  UNION ALL SELECT (SELECT min(ord) FROM documents_n WHERE n = 0), ord, 1e0 FROM documents_n WHERE n = 0 AND ord > (SELECT min(ord) FROM documents_n WHERE n = 0))"""
+documents_k AS (SELECT n.ord, list_sort(list(s) FILTER (WHERE s IS NOT NULL)) AS k FROM documents_n n LEFT JOIN documents_s USING (ord) GROUP BY 1),
+documents_r AS (SELECT ord, min(ord) OVER (PARTITION BY k) AS first FROM documents_k),
+f AS (SELECT s.* FROM documents_s s JOIN documents_r r ON r.ord = s.ord AND r.first = s.ord),
+common AS (SELECT a.ord AS i, b.ord AS j, count(*) AS c FROM f a JOIN f b ON a.s = b.s AND a.ord < b.ord GROUP BY 1, 2),
+pairs AS (SELECT i, j, c / (x.n + y.n - c)::DOUBLE AS sim FROM common JOIN documents_n x ON x.ord = i JOIN documents_n y ON y.ord = j WHERE c / (x.n + y.n - c)::DOUBLE >= {THRESHOLD})"""
 #: Keep-first unrolled: a row goes if an earlier neighbour is sure to stay. Eight rounds settle these tables.
 _ROUNDS = 8
 
@@ -149,7 +150,7 @@ def _greedy() -> str:
 
 
 _GREEDY = _PAIRS + _greedy()
-_KEPT = f"{_GREEDY} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT ord FROM r{_ROUNDS} WHERE st = 'r')"
+_KEPT = f"{_GREEDY} SELECT ord AS doc_id FROM documents_r WHERE ord = first AND ord NOT IN (SELECT ord FROM r{_ROUNDS} WHERE st = 'r')"
 _BEST = """{with_},
 common AS (SELECT a.ord AS i, b.ord AS j, count(*) AS c FROM {a}_s a JOIN {b}_s b USING (s) GROUP BY 1, 2),
 best AS (SELECT i AS ord, max(c / (x.n + y.n - c)::DOUBLE) AS o FROM common JOIN {a}_n x ON x.ord = i JOIN {b}_n y ON y.ord = j GROUP BY 1),
@@ -174,9 +175,11 @@ ORACLES = {
     "lsh_candidate_pairs": f"{_PAIRS} SELECT i, j, round(sim, 6) AS sim FROM pairs",
     "dedup_kept": _KEPT,
     "dedup_minhash_kept": _KEPT,
-    "dedup_removed_best": f"""{_GREEDY}, c AS (
-  SELECT j, i, sim, row_number() OVER (PARTITION BY j ORDER BY sim DESC, i) AS k FROM pairs JOIN r{_ROUNDS} a ON a.ord = j AND a.st = 'r' JOIN r{_ROUNDS} b ON b.ord = i AND b.st = 'k')
-SELECT j AS doc_id, i AS kept_id, round(sim, 3) AS similarity FROM c WHERE k = 1""",
+    "dedup_removed_best": f"""{_GREEDY}, beside AS (SELECT i AS a, j AS b, sim FROM pairs UNION ALL SELECT j, i, sim FROM pairs),
+c AS (SELECT m.ord, e.b AS kept, sim, row_number() OVER (PARTITION BY m.ord ORDER BY sim DESC, e.b) AS k
+  FROM documents_r m JOIN r{_ROUNDS} g ON g.ord = m.first AND g.st = 'r' JOIN beside e ON e.a = m.first JOIN r{_ROUNDS} s ON s.ord = e.b AND s.st = 'k' WHERE e.b < m.ord)
+SELECT ord AS doc_id, kept AS kept_id, round(sim, 3) AS similarity FROM c WHERE k = 1
+UNION ALL SELECT ord, first, 1e0 FROM documents_r WHERE ord <> first AND first NOT IN (SELECT ord FROM r{_ROUNDS} WHERE st = 'r')""",
     "minhash_signature": _minhash_sql(),
     "decontam_clean": f"{_DB} SELECT ord AS doc_id FROM found WHERE overlap < {OVERLAP}",
     "decontam_flagged": f"{_DB} SELECT ord AS doc_id, round(overlap, 4) AS overlap FROM found WHERE overlap >= {OVERLAP}",
