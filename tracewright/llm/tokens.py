@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 
@@ -21,8 +22,8 @@ _CLITIC = "'s|'t|'re|'ve|'m|'ll|'d"
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-įĲ-ňŊ-ž]")
 _BYTE_WORDS = re.compile(rf"{_CLITIC}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 _LOWER_WORDS = re.compile(rf"{_CLITIC}|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
-#: Words of a generation of the cache; when one is full, the words not asked for since the one before go.
-CACHE_WORDS = 120_000
+#: Words kept before the cache starts afresh (about 220 bytes each).
+CACHE_WORDS = 700_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,7 +48,6 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.older: dict[str, bytes] = {}
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -67,14 +67,10 @@ class Encoder(dict):
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            pieces = self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))
-            ids = np.array([x.id for x in pieces], dtype="<u4").tobytes()
         if len(self) >= CACHE_WORDS:
-            self.older = dict(self)
             self.clear()
-        self[word] = ids
+        pieces = self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))
+        ids = self[word] = struct.pack(f"<{len(pieces)}I", *[x.id for x in pieces])
         return ids
 
     def encode(self, text: str) -> bytes:
