@@ -70,7 +70,8 @@ def test_random_texts_dedup(spark):
 
 def test_minhash_is_exact(spark):
     texts = ["", "one two three four", "Über größe naïve café au lait", "a b c d e f g"]
-    got = {r["ord"]: r["sig"] for r in hashing.minhash(sets(spark, texts)).collect()}
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    got = {r["ord"]: r["sig"] for r in hashing.minhash(similarity.shingle_texts(rows, F.col("ord"), F.col("text"))).collect()}
     for k, t in enumerate(texts):
         hashes = [int(__import__("hashlib").md5(s.encode()).hexdigest()[:16], 16) for s in python_shingles(t)] or [0]
         assert got[k] == [min((a * h + b) % hashing.PRIME for h in hashes) for a, b in hashing.coefficients(64)]

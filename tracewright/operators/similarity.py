@@ -18,10 +18,23 @@ from ..sources.shared import stored
 
 
 def shingled(df: DataFrame, key: Column, text: Column, k: int = 3) -> DataFrame:
-    """``ord, shingles`` of every row."""
+    """``ord, shingles`` of every row: the shingle set as distinct 64-bit hashes, an eighth to a third of the texts' size."""
+    return df.select(key.cast("long").alias("ord"), F.array_distinct(F.transform(shingles(tokens(text), k), lambda s: F.xxhash64(s))).alias("shingles"))
+
+
+def shingle_texts(df: DataFrame, key: Column, text: Column, k: int = 3) -> DataFrame:
+    """``ord, shingles`` with the shingles as texts."""
     return df.select(key.cast("long").alias("ord"), shingles(tokens(text), k).alias("shingles"))
 
 
+def _set_key() -> list[Column]:
+    """Columns that are equal for equal sets, whatever their order: the size and two folds of the hashes."""
+    def fold(seed: int) -> Column:
+        return F.aggregate("shingles", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.xxhash64(h, F.lit(seed))))
+
+    return [F.size("shingles").alias("n"), fold(1).alias("x"), fold(2).alias("y")]
+
+
 def _rare_first(sets: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Members of each set with their position when the rarest come first."""
     members = sets.select("ord", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
@@ -38,20 +51,23 @@ def _prefix(members: DataFrame, threshold: float) -> DataFrame:
 
 def classes(sets: DataFrame) -> DataFrame:
     """``ord, first``: every row and the first row with the same shingle set."""
-    keyed = sets.select("ord", F.md5(F.array_join(F.array_sort("shingles"), "\x1f")).alias("set"))
-    first = keyed.groupBy("set").agg(F.min("ord").alias("first"))
-    return keyed.join(first, "set").select("ord", "first")
+    keyed = stored(sets.select("ord", *_set_key()), "set-keys")
+    first = keyed.groupBy("n", "x", "y").agg(F.min("ord").alias("first"))
+    return keyed.join(first, ["n", "x", "y"]).select("ord", "first")
 
 
-def distinct_sets(sets: DataFrame) -> DataFrame:
+def distinct_sets(sets: DataFrame, members: DataFrame) -> DataFrame:
     """The first row of every class with its shingles."""
-    firsts = sets.groupBy(F.md5(F.array_join(F.array_sort("shingles"), "\x1f"))).agg(F.min("ord").alias("ord")).select("ord")
-    return sets.join(firsts, "ord", "left_semi")
+    return sets.join(members.filter("ord = first").select("ord"), "ord", "left_semi")
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """All pairs ``i < j`` of first rows of classes with Jaccard at least ``threshold`` (``sim``)."""
-    firsts = stored(distinct_sets(sets), "sets")
+    return _similar_pairs(stored(sets, "sets"), None, threshold)
+
+
+def _similar_pairs(sets: DataFrame, members: DataFrame | None, threshold: float) -> DataFrame:
+    firsts = stored(distinct_sets(sets, members or classes(sets)), "firsts")
     prefix = _prefix(_rare_first(firsts.filter(F.size("shingles") > 0)), threshold)
     a, b = prefix.select(F.col("ord").alias("i"), F.col("n").alias("ni"), "s"), prefix.select(F.col("ord").alias("j"), F.col("n").alias("nj"), "s")
     met = a.join(b, "s").filter((F.col("i") < F.col("j")) & (F.least("ni", "nj") >= threshold * F.greatest("ni", "nj") - 1e-9))
@@ -72,24 +88,34 @@ def band_keys(signature: Column, bands: int, perms: int) -> Column:
 
 
 def lsh_pairs(sets: DataFrame, threshold: float, perms: int = 64, bands: int = 16) -> DataFrame:
-    """Pairs of first rows of classes that share a band of their MinHash signatures, verified by the exact Jaccard."""
-    firsts = stored(distinct_sets(sets), "sets")
+    """Pairs of first rows of classes that share a band of their MinHash signatures, verified by the exact Jaccard.
+
+    ``sets`` has the shingles as texts (:func:`shingle_texts`).
+    """
+    if bands > perms:
+        raise ValueError("more bands than permutations")
+    return _lsh_pairs(stored(sets, "sets"), None, threshold, perms, bands)
+
+
+def _lsh_pairs(sets: DataFrame, members: DataFrame | None, threshold: float, perms: int = 64, bands: int = 16) -> DataFrame:
+    firsts = stored(distinct_sets(sets, members or classes(sets)), "firsts")
     signed = minhash(firsts.filter(F.size("shingles") > 0), perms)
     keys = signed.select("ord", F.explode(band_keys(F.col("sig"), bands, perms)).alias("key"))
     a, b = keys.select(F.col("ord").alias("i"), "key"), keys.select(F.col("ord").alias("j"), "key")
     return _verified(a.join(b, "key").filter("i < j").select("i", "j").distinct(), firsts, threshold)
 
 
-def greedy_kept(sets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def greedy_kept(members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keep-first in order of ``ord``: a row goes when it is similar to an earlier row that stays.
 
     Only first rows of classes can stay, and later copies share the fate of
     their class. Rounds decide every class whose earlier neighbours allow it,
     until none is open; the least open one always decides. Returns kept ``ord``
     and removed ``ord, kept, sim`` with the most similar (then earliest) kept
-    row before it. The state is written after each round, so lineage stays short.
+    row before it. ``members`` has the ``ord, first`` of :func:`classes`. The
+    state is written after each round, so lineage stays short.
     """
-    pairs, members = stored(pairs, "pairs"), stored(classes(sets), "classes")
+    pairs = stored(pairs, "pairs")
     state = stored(pairs.select(F.explode(F.array("i", "j")).alias("ord")).distinct().withColumn("state", F.lit("u")), "state")
     while not state.filter("state = 'u'").isEmpty():
         before = pairs.join(state.select(F.col("ord").alias("i"), F.col("state").alias("si")), "i").groupBy(F.col("j").alias("ord"))
@@ -108,11 +134,13 @@ def greedy_kept(sets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def deduplicate(sets: DataFrame, threshold: float = 0.85, method: str = "pairwise") -> tuple[DataFrame, DataFrame]:
-    """Kept and removed rows by exact pairs (``pairwise``) or banded MinHash (``minhash``)."""
+    """Kept and removed rows by exact pairs (``pairwise``) or banded MinHash (``minhash``; shingles as texts)."""
     if method not in ("pairwise", "minhash"):
         raise ValueError(f"unknown method {method!r}")
-    pairs = similar_pairs(sets, threshold) if method == "pairwise" else lsh_pairs(sets, threshold)
-    return greedy_kept(sets, pairs)
+    sets = stored(sets, "sets")
+    members = stored(classes(sets), "classes")
+    pairs = (_similar_pairs if method == "pairwise" else _lsh_pairs)(sets, members, threshold)
+    return greedy_kept(members, pairs)
 
 
 def best_overlap(sets: DataFrame, others: DataFrame) -> DataFrame:

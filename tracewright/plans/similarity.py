@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import canary, content_hash, minhash, stable_seed
 from ..functions.text import tokens
 from ..operators import similarity as S
+from ..sources.shared import spread
 from .tables import table
 
 THRESHOLD = 0.85
@@ -16,13 +17,17 @@ OVERLAP = 0.3
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.shingled(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+    return S.shingled(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), F.col("doc_id"), F.col("text"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.shingled(table(spark, sf_dir, "benchmark"), F.col("item_id"), F.col("text"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.shingle_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), F.col("doc_id"), F.col("text"))
+
+
 def shingle_pairs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = S.similar_pairs(_docs(spark, sf_dir), THRESHOLD)
     return pairs.select("i", "j", F.round("sim", 6).alias("sim"))
@@ -38,18 +43,18 @@ def dedup_removed_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four of 64 permutations, and the sum of all as a check of the others."""
-    signed = minhash(_items(spark, sf_dir))
+    signed = minhash(S.shingle_texts(table(spark, sf_dir, "benchmark"), F.col("item_id"), F.col("text")))
     total = F.aggregate("sig", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
     return signed.select(F.col("ord").alias("item_id"), *(F.col("sig")[k].alias(f"h{k}") for k in range(4)), total.cast("string").alias("total"))
 
 
 def lsh_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified pairs that share a band; at this threshold a pair misses every band with a chance of about 5e-6."""
-    return S.lsh_pairs(_docs(spark, sf_dir), THRESHOLD).select("i", "j", F.round("sim", 6).alias("sim"))
+    return S.lsh_pairs(_texts(spark, sf_dir), THRESHOLD).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
 def dedup_minhash_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.deduplicate(_docs(spark, sf_dir), THRESHOLD, "minhash")[0].select(F.col("ord").alias("doc_id"))
+    return S.deduplicate(_texts(spark, sf_dir), THRESHOLD, "minhash")[0].select(F.col("ord").alias("doc_id"))
 
 
 def decontam_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import steps as P
 from ..operators.schema import from_conversations
 from ..operators.verify import verified
 from ..sources import writers
+from ..sources.shared import spread
 from .tables import table
 
 
@@ -119,7 +120,7 @@ def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted documents as a hash with the number of marks; the look-behind of the phone rule is left to the engine's own tests."""
     rules = [r for r in REDACTIONS if r[0] != "phone"]
-    docs = table(spark, sf_dir, "documents").select("doc_id", redact(F.col("text"), rules).alias("t"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", redact(F.col("text"), rules).alias("t"))
     return docs.select("doc_id", F.md5("t").alias("text_md5"), F.regexp_count("t", F.lit(r"\[redacted-")).cast("bigint").alias("marks"))
 
 

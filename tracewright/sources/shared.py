@@ -26,3 +26,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/tracewright/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores dealt over all cores, before heavy work on each row; larger inputs are left as they are.
+
+    For tables as they are read only: asking a plan with shuffles for its
+    partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
