@@ -38,7 +38,8 @@ BLOCK_ROWS = 16_384
 PROBE_COST = 80.0
 #: Texts of one Hamming component that one task compares with as many others.
 GROUP_TEXTS = 1500
-_CHUNK = 1 << 21
+#: Candidates that are compared at a time.
+_CHUNK = 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
