@@ -237,3 +237,30 @@ SELECT page_id, CASE WHEN hit > 0 THEN (CASE WHEN a > 1 THEN '…' ELSE '' END)
     "sharegpt_export": f"{_M} SELECT conv_id::VARCHAR AS id, place::BIGINT AS place, CASE role WHEN 'user' THEN 'human' ELSE 'gpt' END AS speaker, md5(content) AS value_md5 FROM m",
     "adp_export": f"{_T} SELECT conv_id::VARCHAR AS id, 'adp/0.1' AS schema, step_idx AS place, step_type AS type, md5(text) AS content_md5 FROM s",
 }
+
+
+def step_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One short line for every step."""
+    steps = trajectories(spark, sf_dir).select(F.col("ord").alias("conv_id"), F.posexplode("steps").alias("place", "s"))
+    return steps.select("conv_id", F.col("place").cast("bigint").alias("place"), P.one_line(F.col("s")).alias("line"))
+
+
+def transcript_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 200 characters of every conversation's transcript."""
+    row = F.struct("turn", F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t"))
+    return turns.select("conv_id", F.right(F.array_join(F.transform("t", lambda t: t["line"]), "\n"), F.lit(200)).alias("tail"))
+
+
+def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a pack by tier; a third of them name none."""
+    tier = F.get_json_object(F.when(F.col("item_id") % 3 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"tier": "t'), (F.col("item_id") % 2).cast("string"), F.lit('"}'))), "$.tier")
+    return table(spark, sf_dir, "benchmark").groupBy(F.coalesce(tier, F.lit("unspecified")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (step_lines, transcript_tails, tier_counts)}
+ORACLES |= {
+    "step_lines": f"{_T} SELECT conv_id, step_idx AS place, '[' || step_type || '] ' || substring(text, 1, 80) AS line FROM s",
+    "transcript_tails": "SELECT conv_id, right(string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn), 200) AS tail FROM conversations GROUP BY 1",
+    "tier_counts": "SELECT CASE WHEN item_id % 3 = 0 THEN 'unspecified' ELSE 't' || (item_id % 2) END AS tier, count(*) AS n FROM benchmark GROUP BY 1",
+}
