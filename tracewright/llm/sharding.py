@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import unused
 
 MAX_PARTS = 20_000
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 4096
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
