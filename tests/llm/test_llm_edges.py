@@ -153,6 +153,33 @@ def test_deduplicated(spark, odd, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def test_deduplicated_loses_no_pair(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(80):
+        n = int(rng.integers(60, 240))
+        words = [f"w{x}" for x in rng.integers(0, 10**6, size=n)]
+        other = [*words[: n - n // 11], *(f"v{x}" for x in rng.integers(0, 10**6, size=n // 11))]
+        if k % 4 == 0:
+            other += words[:30] * 6  # a repeated line moves the fingerprint more than the set
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+    want = [k for k in range(len(rows)) if k % 2 == 0 or not simhash.similar(sets[k - 1], sets[k], 0.8)]
+    assert len(want) < 100
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        pool = np.unique(rng.integers(0, 2**63, size=int(rng.integers(1, 60)), dtype=np.uint64))
+        common = (pool[::2], np.arange(len(pool[::2])) + 4)
+        a, b = (pool[np.sort(rng.permutation(len(pool))[: max(1, round(len(pool) * 0.9))])] for _ in range(2))
+        if simhash.similar(a, b, 0.8):
+            assert np.intersect1d(simhash.prefix(a, 0.8, common), simhash.prefix(b, 0.8, common)).size
+
+
 def test_single_linkage_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP_TEXTS", 3)
     words = [f"w{k}" for k in range(120)]

@@ -21,7 +21,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ BLOCK_ROWS = 16_384
 PROBE_COST = 80.0
 #: Texts of one Hamming component that one task compares with as many others.
 GROUP_TEXTS = 1500
+#: Shingles that are counted as common, at most.
+FREQUENT = 1 << 17
 #: Candidates that are compared at a time.
 _CHUNK = 1 << 18
 
@@ -423,12 +425,136 @@ def verified_links(members: DataFrame, least: float, shingle: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the commonest shingles and their counts in one of eight texts; at most ``FREQUENT`` reach the driver."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t or b"", shingle) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["key"])
+
+    some = texts.filter(F.pmod("_text", F.lit(8)) == 0).select(F.col("text").cast("binary").alias("text"))
+    counts = written(some.mapInArrow(run, "key long").groupBy("key").count().filter("count >= 4"), "counts", texts=True)
+    rows = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
+    discard(counts)
+    keys = np.array([r["key"] for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["count"] for r in rows], dtype=np.int64)[order]
+
+
+def prefix(hashes: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a sorted set, common ones last: two sets of Jaccard ``least`` share one of them."""
+    n = len(hashes)
+    keys, counts = frequent
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(keys[at] == hashes, counts[at], 0)))]
+    return hashes[: n - ceil(least * n - 1e-9) + 1]
+
+
+def _whole_keys(batches):
+    """Batches sorted by their first column as lists of arrays, cut so that no key is in two of them."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        held = [c[cut:] for c in cols]
+        if cut:
+            yield [c[:cut] for c in cols]
+    if held is not None:
+        yield held
+
+
+def shared_prefixes(texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """``key, n, place, _text``: the prefix shingles that several texts have, the size of the set and the place in it."""
+    frequent = frequent_shingles(texts, shingle)
+
+    def spread(batches):
+        for batch in batches:
+            sets = [shingle_set(t or b"", shingle) for t in batch.column(1).to_pylist()]
+            firsts = [prefix(s, least, frequent) if len(s) else s for s in sets]
+            many = np.array([len(f) for f in firsts], dtype=np.int64)
+            places = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            cols = [np.concatenate([np.empty(0, np.uint64), *firsts]).view(np.int64), np.repeat([len(s) for s in sets], many).astype(np.int32), places.astype(np.int32), np.repeat(batch.column(0).to_numpy(), many)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "n", "place", "_text"])
+
+    def several(batches):
+        for cols in _whole_keys(batches):
+            same = cols[0][1:] == cols[0][:-1]
+            keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["key", "n", "place", "_text"])
+
+    schema = "key long, n int, place int, _text long"
+    rows = texts.select("_text", F.col("text").cast("binary").alias("text")).mapInArrow(spread, schema)
+    return _dealt(rows, "key").mapInArrow(several, schema)
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(tasks, keys[0]).sortWithinPartitions(*keys)
+
+
+def prefix_pairs(shared: DataFrame, groups: DataFrame, least: float, every: bool) -> DataFrame:
+    """Pairs ``a, b`` of texts of different groups that share a prefix shingle and may reach ``least``.
+
+    ``every`` gives all of them, else only neighbours under a shingle by size.
+    """
+    rows = shared.join(groups, "_text", "left").withColumn("root", F.coalesce("root", "_text"))
+
+    def run(batches):
+        for key, n, text, place, root in _whole_keys(batches):
+            at, d = np.arange(len(key)), 1
+            while True:
+                at = at[at + d < len(key)]
+                at = at[(key[at] == key[at + d]) & (n[at] >= least * n[at + d] - 1e-9)]  # sizes rise under a key
+                if not len(at):
+                    break
+                to = at + d
+                # of the first shingle that two sets share on, no more than the rest of each can be shared
+                most = np.minimum(n[at] - place[at], n[to] - place[to])
+                may = (root[at] != root[to]) & (most * (1 + least) >= least * (n[at].astype(np.int64) + n[to]) - 1e-6)
+                a, b = text[at[may]], text[to[may]]
+                for k in range(0, len(a), _CHUNK):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[k : k + _CHUNK]), pa.array(np.maximum(a, b)[k : k + _CHUNK])], names=["a", "b"])
+                if not every:
+                    break
+                d += 1
+
+    return _dealt(rows.select("key", "n", "_text", "place", "root"), "key", "n", "_text").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified_pairs(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """The ``pairs`` whose shingle sets are similar; ``texts`` is ``_text, text``."""
+    first = pairs.select("a", F.col("a").alias("_text"), F.lit(0).alias("side")).distinct()
+    rows = first.unionByName(pairs.select("a", F.col("b").alias("_text"), F.lit(1).alias("side"))).join(texts, "_text")
+
+    def run(batches):
+        one, hashes = None, None
+        for batch in batches:
+            found = []
+            for a, side, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = shingle_set(text or b"", shingle)
+                if side == 0:
+                    one, hashes = a, mine
+                elif one == a and similar(hashes, mine, least):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _dealt(rows.select("a", "side", "_text", F.col("text").cast("binary").alias("text")), "a", "side").mapInArrow(run, "a long, b long")
+
+
 def deduplicated(docs: DataFrame, radius: int = 10, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the least ``doc_id``.
 
-    Candidates are texts whose fingerprints are linked within ``radius`` bits;
-    groups are made by links of Jaccard ``similarity`` on ``shingle`` words that
-    are verified between them. Texts are known by a 64-bit hash here.
+    Groups are made by links of Jaccard ``similarity`` on ``shingle`` words, and
+    no such link is lost. Fingerprints linked within ``radius`` bits give most
+    of them at little cost. Then texts of different groups that share a shingle
+    of their prefixes are compared, first with their neighbours and then, by the
+    groups found so far, all of them. Texts are known by a 64-bit hash here.
     """
     text_key, row_key, nth = unused(docs, "_text", "_row", "_nth")
     whole = F.coalesce("text", F.lit(""))
@@ -449,9 +575,18 @@ def deduplicated(docs: DataFrame, radius: int = 10, similarity: float = 0.8, shi
     members = written(grouped.join(several, "component").select("component", "_text", F.col("first._row").alias("_row")), "members")
     with_text = keyed.select(F.col(row_key).alias("_row"), "text").join(members, "_row").dropDuplicates(["_text"]).select("component", F.col("_text").alias("key"), "text")
     verified = written(verified_links(with_text, similarity, shingle), "verified", texts=True)
-    final = connected(verified).withColumnsRenamed({"node": "_text"})
+    final = written(connected(verified).withColumnsRenamed({"node": "_text"}), "groups")
+    plain = keyed.select(F.col(row_key).alias("_row"), "text").join(texts.select("_text", F.col("first._row").alias("_row")), "_row").dropDuplicates(["_text"]).select("_text", "text")
+    plain = written(plain, "plain", texts=True)
+    shared = written(shared_prefixes(plain, similarity, shingle), "shared", texts=True)
+    for every in (False, True):
+        pairs = written(prefix_pairs(shared, final, similarity, every), "pairs")
+        more = written(verified_pairs(pairs, plain, similarity, shingle), "more", texts=True)
+        known = final.select(F.col("_text").alias("a"), F.col("root").alias("b"))
+        final = written(connected(written(known.unionByName(more), "known")).withColumnsRenamed({"node": "_text"}), "groups")
+        discard(pairs, more)
     kept = texts.join(final, "_text", "left").groupBy(F.coalesce("root", "_text").alias("group")).agg(F.min("first").alias("first"))
     kept = written(kept.select(F.col("first._row").alias("_row")), "kept")
-    discard(edges, members, verified, prints)
+    discard(edges, members, verified, prints, plain, shared)
     one = F.row_number().over(Window.partitionBy(row_key).orderBy(text_key))  # rows repeated in full
     return keyed.join(kept.withColumnRenamed("_row", row_key), row_key, "left_semi").withColumn(nth, one).filter(F.col(nth) == 1).select(*docs.columns)
