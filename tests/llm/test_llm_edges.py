@@ -259,6 +259,31 @@ def test_licences(spark, odd, none):
     assert licences.scanned(none).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() { return 0; }"""
+
+
+def test_licences_over_several_lines(spark):
+    texts = {50: MIT, 51: GPL, 52: "\n".join(f"# {x}".rstrip() for x in MIT.split("\n")), 53: "they went to renew\ntheir fishing license\non the lake"}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = licences.scanned(table).collect()
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in rows if r["family"] != "unknown"}
+    assert got == {(50, 4): "mit", (51, 1): "gpl-3.0", (52, 4): "mit"}
+    assert len(rows) == len({(r["doc_id"], r["paragraph"]) for r in rows})
+
+
 def test_chat(spark):
     rows = [(1, 0, "user: hi\nthere"), (1, 1, "assistant: hello"), (1, 1, "more"), (None, None, None), (None, 3, "Q: what?"), (2, 5, "")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumns({"block": F.lit(9), "role": F.lit("x"), "first": F.lit(1)})

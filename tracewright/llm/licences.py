@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier.
 
-Paragraphs (lines) with a licence cue are scored by a sparse multinomial
+Paragraphs (lines, and runs of lines) with a licence cue are scored by a sparse multinomial
 logistic regression on the presence of word n-grams (one to three words). Its
 classes are the licence families and ``unknown``; it is trained here on
 paragraphs made from public notice wordings and from ordinary prose with the
@@ -37,6 +37,9 @@ CONFIRM = 0.5
 #: Words that a licence paragraph has at least one of.
 CUES = ("licen", "copyright", "copyleft", "creative commons", "public domain", "cc by", "cc-by", "cc0", "all rights reserved", "hereby granted", "spdx", "gpl", "redistribut", "warrant", "released under")
 
+#: Comment marks around a line.
+_MARKS = r"^[\s\x00]*(?:(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|>+)[\s\x00]*)+|[\s\x00]*(?:\*+/|-->|\*+)?[\s\x00]*$"
+
 #: Public notice wordings of each family.
 TEMPLATES = {
     "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
@@ -196,20 +199,44 @@ def cued(text: Column) -> Column:
     return out
 
 
+def wrapped(text: Column) -> Column:
+    """Paragraphs of several lines: ``first`` and ``last`` line and the ``line`` they make, without comment marks.
+
+    A paragraph is a run of lines with more than white space and comment marks.
+    """
+    bare = F.transform(F.split(F.translate(text, "\x01\x02", "  "), "\n"), lambda x: F.trim(F.regexp_replace(x, _MARKS, "")))
+    # every line carries its number through the split at blank lines
+    marked = F.transform(bare, lambda x, i: F.when(x == "", F.lit("")).otherwise(F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x02"), x)))
+    runs = F.filter(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda x: F.regexp_like(x, F.lit("\x02[^\x01]*\x01")))
+    number = "\x01([0-9]+)\x02"
+
+    def of(x: Column) -> Column:
+        line = F.trim(F.regexp_replace(x, "\n?\x01[0-9]+\x02", " "))
+        return F.struct(F.regexp_extract(x, number, 1).cast("int").alias("first"), F.regexp_extract(x, f"{number}[^\x01]*$", 1).cast("int").alias("last"), line.alias("line"))
+
+    return F.transform(runs, of)
+
+
 def scanned(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """Every paragraph with a cue: ``doc_id, paragraph, start, length, family, probability, template, similarity``.
+    """Every paragraph with a cue: ``doc_id, paragraph, length, family, predicted, probability, template, similarity``.
 
-    ``family`` is ``unknown`` unless the classifier and a template agree.
+    ``family`` is ``unknown`` unless the classifier and a template agree. Each
+    line is a paragraph, numbered from 0. A run of lines is one too, under the
+    number of its first line, if it is found to be of a family that none of its
+    lines alone is; it then stands for those of its lines that are unknown.
     """
     spark, model = docs.sparkSession, model or trained()
     n = len(CLASSES)
     inverse = sorted(model.vocabulary, key=model.vocabulary.get)
     weights = _literal(spark, [{"gram": g, "w": model.weights[k].tolist()} for k, g in enumerate(inverse) if model.weights[k].any()], "gram:string,w:array<double>", "licence-weights")
     templates = _literal(spark, template_grams(), "gram:string,family:string,template:string,of:int", "licence-templates")
-    lines = docs.filter(cued(F.col("text"))).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    found = lines.filter(cued(F.col("line"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
+    lines = texts.filter(cued(F.col("text"))).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    runs = texts.filter(F.col("text").contains("\n")).select("doc_id", "row", F.explode(wrapped(F.col("text"))).alias("run")).select("doc_id", "row", F.col("run.first").alias("paragraph"), F.col("run.last").alias("last"), "run.line")
+    lines = lines.select("doc_id", "row", "paragraph", F.col("paragraph").alias("last"), "line")
+    found = lines.unionByName(runs).filter(cued(F.col("line"))).distinct()
     found = written(found, "licence-paragraphs")
-    key = ["doc_id", "row", "paragraph"]
+    key = ["doc_id", "row", "paragraph", "last"]
     words = F.regexp_extract_all(F.lower("line"), F.lit(r"[a-z0-9]+"), F.lit(0))
     each = found.select(*key, F.explode(_grams(words)).alias("gram"))
     # at most MAX_FEATURES and len(template_grams()) rows: fixed by the training set, not by the corpus
@@ -218,7 +245,7 @@ def scanned(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     logits = logits.withColumnsRenamed({k: f"l_{k}" for k in key})
 
     def same(left: DataFrame, right: DataFrame, prefix: str) -> Column:
-        return left["doc_id"].eqNullSafe(right[f"{prefix}_doc_id"]) & (left["row"] == right[f"{prefix}_row"]) & (left["paragraph"] == right[f"{prefix}_paragraph"])
+        return left["doc_id"].eqNullSafe(right[f"{prefix}_doc_id"]) & (left["row"] == right[f"{prefix}_row"]) & (left["paragraph"] == right[f"{prefix}_paragraph"]) & (left["last"] == right[f"{prefix}_last"])
 
     scored = found.join(logits, same(found, logits, "l"), "left").select(*key, F.char_length("line").alias("length"), scaled.alias("z"))
     top = F.array_max("z")
@@ -229,4 +256,15 @@ def scanned(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     closest = closest.select(*(F.col(k).alias(f"k_{k}") for k in key), "family", "t.share", "t.template")
     out = scored.join(closest, same(scored, closest, "k") & (scored["best"] == closest["family"]), "left")
     sure = (F.col("best") != "unknown") & (F.col("probability") >= model.least) & (F.coalesce("share", F.lit(0.0)) >= CONFIRM)
-    return out.select("doc_id", "paragraph", "length", F.when(sure, F.col("best")).otherwise(F.lit("unknown")).alias("family"), F.col("best").alias("predicted"), F.round("probability", 6).alias("probability"), "template", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("similarity"))
+    out = out.select(*key, "length", F.when(sure, F.col("best")).otherwise(F.lit("unknown")).alias("family"), F.col("best").alias("predicted"), F.round("probability", 6).alias("probability"), "template", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("similarity"))
+    out = written(out, "licence-scores")
+    one, known = out.filter("paragraph = last"), F.col("family") != "unknown"
+
+    def inside(line: str, run: str) -> Column:
+        return F.col(f"{line}.doc_id").eqNullSafe(F.col(f"{run}.doc_id")) & (F.col(f"{line}.row") == F.col(f"{run}.row")) & F.col(f"{line}.paragraph").between(F.col(f"{run}.paragraph"), F.col(f"{run}.last"))
+
+    several = out.filter("paragraph < last").filter(known).alias("run").join(one.filter(known).alias("line"), inside("line", "run") & (F.col("line.family") == F.col("run.family")), "left_anti")
+    several = written(several, "licence-runs")
+    covered = one.filter(~known).select(*key).alias("line").join(several.alias("run"), inside("line", "run"), "left_semi").select(*(F.col(k).alias(f"c_{k}") for k in key))
+    rest = one.join(covered, same(one, covered, "c"), "left_anti")
+    return rest.unionByName(several).drop("row", "last")
