@@ -84,6 +84,12 @@ def test_recipe_removes_repeats(spark):
     assert catalog.queries()["recipe_metrics"](spark, "/root/testdata/sf0.001").first()["num_trajectories"] > 0
 
 
+def test_recipe_metrics_use_every_item(spark):
+    data = "/root/testdata/sf0.1"
+    row = catalog.queries()["recipe_metrics"](spark, data).first()
+    assert row["num_trajectories"] + row["duplicates_removed"] == 2 * spark.read.parquet(f"{data}/benchmark.parquet").count() > 80
+
+
 def test_cards(spark, tmp_path):
     queries = spark.createDataFrame([(0, "a b c")], "ord long, query string")
     rows = generation.generated(generation.planned(queries, 3, ("single_agent",)), generation.Recipe("r"))

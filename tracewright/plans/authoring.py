@@ -51,8 +51,9 @@ def generated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recipe_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a recipe of two rounds through the benchmark items."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.substring("text", 1, 60).alias("query"))
-    return run_recipe(spark, Recipe("bench", count=80), queries)["metrics"]
+    return run_recipe(spark, Recipe("bench", count=2 * queries.count()), queries)["metrics"]
 
 
 def held_out_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
