@@ -1,10 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every operator."""
 
 import io
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tracewright.llm import chat, components, decontamination, licences, packing, planes, quality, reputation, secrets, sharding, shared, simhash, tokens
@@ -81,11 +83,34 @@ def test_planes_of_odd_rows(spark, odd, none):
 
 
 def test_encoder_equals_the_library():
-    texts = ["don't  we'll\n\n x'S  '''s  <|endoftext|> ½x² ßÀŒ \t\t end  ", "日本語 x", "İstanbul", "", " ", "\n\n", "a\r\n\r\nb", "'sx 'S", "\x1c\x85\xa0a", "œuvre Ŋž 12345"]
+    texts = ["don't  we'll\n\n x'S  '''s  <|endoftext|> ½x² ßÀŒ \t\t end  ", "日本語 x", "İstanbul", "", " ", "\n\n", "a\r\n\r\nb", "'sx 'S", "\x1c\x85\xa0a", "œuvre Ŋž 12345", "a <|endoftext|> b", "x<|ENDOFTEXT|> <|startoftext|>y"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        enc = tokens.Encoder(tokens.vocabulary(name))
+        enc, plain = tokens.Encoder(tokens.vocabulary(name)), Tokenizer.from_file(tokens.vocabulary(name))
         for text in texts:
-            assert enc.encode(text) == enc._whole(text), (name, text)
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, (name, text)
+
+
+def test_ranks_of_a_hot_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 7)
+    table = spark.createDataFrame([(k, 0, 0, 5 if k % 3 else k % 4 + 1, k) for k in range(200)] * 2, packing.PIECES)
+    counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    got: dict[int, list[int]] = {}
+    for r in packing.ranked(table, counts).collect():
+        got.setdefault(r["length"], []).append(r["rank"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(range(n)) for k, n in counts.items()}
+
+
+def test_special_token_strings_in_queries_ids(spark):
+    text = "a <|endoftext|> b"
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for name, end, run in (("word_bpe_49k.json", 1, lambda p: packing.pack(table, p, with_ids=True).first()["ids"]), ("byte_bpe_50k.json", 2, None)):
+        ids = [*Tokenizer.from_file(tokens.vocabulary(name)).encode(text, add_special_tokens=False).ids, end]
+        if run:
+            assert np.frombuffer(run(tokens.vocabulary(name)), "<u4").tolist() == ids
+        else:
+            path, manifest = planes.write_ids(table, tokens.vocabulary(name), files=1)
+            row = planes.read_ids(spark, path, manifest).first()
+            assert (row["n_tokens"], row["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
 def test_sharding(spark, odd, none):

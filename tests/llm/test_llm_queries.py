@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from tracewright.llm import chat, packing, queries, simhash, tokens
 from tracewright.llm import licences as lic
@@ -33,8 +34,8 @@ def test_query_equals_its_oracle(spark, duck, data, name):
 
 
 def whole_ids(path, texts, end):
-    enc = tokens.Encoder(path)
-    return [np.array([*enc.library.encode(t or "", add_special_tokens=False).ids, end], dtype="<u4") for t in texts]
+    plain = Tokenizer.from_file(path)
+    return [np.array([*plain.encode(t or "", add_special_tokens=False).ids, end], dtype="<u4") for t in texts]
 
 
 def test_op3_packs_whole_documents(spark, data, docs):

@@ -12,7 +12,9 @@ pieces of the same length.
 
 Nulls and odd rows: a null text is an empty text (its only token is the end
 id); a null id is kept as it is; rows repeated in full are packed as often as
-they occur; extra columns are ignored; an empty table gives an empty result.
+they occur; a very long text becomes pieces of the whole capacity and one rest;
+pieces of equal length are placed in the order of a hash, then of their ids;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from .shared import written
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pieces ranked by one task, in the mean.
-RANK_ROWS = 100_000
+#: Pieces of one length that are ranked together, in the mean.
+RANK_ROWS = 4096
 
 
 class FreeSpace:
@@ -127,15 +129,16 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1, wit
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, schema)
 
 
-def ranked(table: DataFrame) -> DataFrame:
+def ranked(table: DataFrame, counts: dict[int, int]) -> DataFrame:
     """``table`` (stored pieces) with ``rank``, from 0 without gaps among the pieces of a length.
 
-    A length that a third of all pieces share is dealt over many tasks by a
-    hash; only counts for each length and bucket are then summed in order.
+    ``counts`` is the histogram of lengths. A length that a third of all pieces
+    share is dealt over many tasks by a hash; only counts for each length and
+    bucket are then summed in order.
     """
-    total = table.count()
-    buckets = max(1, -(-total // RANK_ROWS))
-    spread = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    each = [max(1, -(-counts.get(length, 0) // RANK_ROWS)) for length in range(1, max(counts, default=1) + 1)]  # at most ``capacity`` lengths
+    buckets = F.element_at(F.split(F.lit(",".join(map(str, each))), ",").cast("array<int>"), F.col("length").cast("int"))
+    spread = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets))
     sizes = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -151,7 +154,7 @@ def placed(table: DataFrame, capacity: int) -> DataFrame:
     runs = np.array(best_fit_decreasing(counts, capacity), dtype=np.int64).reshape(-1, 6)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     plan = spark.sparkContext.broadcast(runs)
-    rows = ranked(table)
+    rows = ranked(table, counts)
     names = [*table.columns, "sequence_id", "offset"]
 
     def place(batches):

@@ -12,9 +12,15 @@ file order and order within files are ascending document id. A task writes
 under a name of its own attempt and renames, so a repeated task leaves the same
 file. Paths go through pyarrow's file systems (``file``, ``hdfs``, ``s3``, ..).
 
+The number of files follows the bytes of the texts, so no file and no task
+grows with the corpus; a reader holds one block and the document table of its
+file, and hands out rows in batches.
+
 Nulls and odd rows: a null text is empty and has only the end id; null document
 ids come first; rows that share a document id are ordered by a hash of the
-text; extra columns are ignored; an empty table gives no documents.
+text, and rows repeated in full stand side by side; a very long text runs over
+as many blocks as it needs; extra columns are ignored; an empty table gives no
+documents. The table is read twice, so it must come from files.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import json
 import struct
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +44,10 @@ from .tokens import encoder
 MAGIC = b"TWPLANE1"
 #: Ids in a block.
 BLOCK_IDS = 1 << 16
+#: Bytes of text in a file, in the mean, where the corpus is large.
+FILE_BYTES = 512 << 20
+#: Documents of a batch that a reader hands out.
+READ_ROWS = 8192
 _TRAILER = struct.Struct("<QQ8s")
 
 
@@ -163,7 +174,9 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 2, bits: bool = Fa
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "planes")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
     def write(batches):
         part = TaskContext.get().partitionId()
@@ -182,8 +195,9 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 2, bits: bool = Fa
         system.move(own, f"{base}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs_n]), pa.array([n], pa.int64())], names=["part", "name", "docs", "ids"])
 
-    some = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
-    ordered = some.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # the third key lets rows repeated in full be dealt over several files
+    some = docs.select(F.col("doc_id").cast("long"), "text").withColumns({"tie": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    ordered = some.repartitionByRange(files, "doc_id", "tie", "nth").sortWithinPartitions("doc_id", "tie", "nth").select("doc_id", "text")
     manifest = written(ordered.mapInArrow(write, "part int, name string, docs long, ids long"), "manifest", texts=True)
     found, start = [], 0
     for row in sorted(manifest.collect(), key=lambda r: r["part"]):  # one row per file
@@ -201,9 +215,9 @@ def read_ids(spark: SparkSession, path: str, manifest: list[dict]) -> DataFrame:
             for k in batch.column(0).to_pylist():
                 file = f"{base}/{manifest[k]['name']}"
                 with system.open_input_file(file) as stream:
-                    rows = [(d, manifest[k]["start"] + s, n, c) for d, s, n, c in Reader(stream, stream.size()).documents()]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    found = ((d, manifest[k]["start"] + s, n, c) for d, s, n, c in Reader(stream, stream.size()).documents())
+                    while rows := list(islice(found, READ_ROWS)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.range(0, len(manifest), 1, max(1, len(manifest)))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -4,7 +4,8 @@ Both tokenizers cut a text into words before merging inside each word, so the
 ids of a text are the joined ids of its words. For texts of plain Latin
 characters the words are cut here and looked up; a word that is not in the
 cache, and every text with any other character, goes to the library itself.
-Strings that look like special tokens are ordinary text.
+A text with the string of a special token goes to the library too, which gives
+that string its own id, as it does by default.
 """
 
 from __future__ import annotations
@@ -51,13 +52,17 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        added = spec.get("added_tokens") or []
+        #: Strings of added tokens, looked for in texts as they are.
+        self.special = [x["content"] for x in added]
         first, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
         steps = [x.get("type") for x in pre.get("pretokenizers", [])]
         self.words, self.lower = None, False
+        if any(x.get("normalized") for x in added):
+            return  # matched in normalised texts, so every text goes to the library
         if first is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.words = _BYTE_WORDS
         elif first and [x.get("type") for x in first.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and steps == ["Split", "ByteLevel"]:
@@ -74,7 +79,7 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if self.words is None or _OTHER.search(text):
+        if self.words is None or _OTHER.search(text) or any(x in text for x in self.special):
             return self._whole(text)
         return b"".join(map(self.__getitem__, self.words.findall(text.lower() if self.lower else text)))
 
