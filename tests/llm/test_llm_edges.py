@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every operator."""
 
 import io
+import math
 import zlib
 
 import numpy as np
@@ -123,6 +124,34 @@ def test_sharding(spark, odd, none):
         slots = sorted(r["slot"] for r in blocked if r["shard"] == s)
         assert slots == list(range(len(slots))) and len(slots) in (333, 334)
     assert sharding.shuffled(none, ["doc_id", "text"]).count() == 0
+    named = odd.withColumns({"shard": F.lit("x"), "slot": F.lit(None).cast("string")})
+    rows = sharding.shuffled(named, ["doc_id", "text"], shards=4).collect()
+    assert {r["shard"] for r in rows} == {0, 1, 2, 3} and all(isinstance(r["slot"], int) for r in rows) and len(rows) == len(ROWS)
+
+
+def test_repeated_rows_are_shuffled_like_others(spark):
+    table = spark.range(4000).select(F.lit(1).alias("id"))
+    found = sharding.shuffled(table, ["id"], shards=8, parts=16, block_rows=100).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots")).collect()
+    assert len(found) == 8 and all(r["n"] == r["slots"] == 500 for r in found)
+
+
+def test_shuffle_is_uniform(spark):
+    # over many seeds, each row is as often in each shard, and any two rows as often together
+    table = spark.range(8)
+    rows = [sorted((r["id"], r["shard"], r["slot"]) for r in sharding.shuffled(table, ["id"], shards=2, seed=s, parts=3).collect()) for s in range(60)]
+    first = [r[0][1] for r in rows]
+    assert 15 <= sum(first) <= 45
+    together = np.mean([r[0][1] == r[1][1] for r in rows])
+    assert 0.22 < together < 0.64  # 3 of 7
+
+
+def test_draws_above_a_thousand_million(spark):
+    n = 2 * 10**10
+    assert abs(float(sharding.log_choose(n, 3)) - math.log(n * (n - 1) * (n - 2) / 6)) < 1e-9
+    assert abs(float(sharding.log_factorial(2000)) - math.lgamma(2001)) < 1e-8
+    rng = np.random.default_rng(1)
+    draws = np.array([sharding.hypergeometric(rng, n // 4, 3 * n // 4, 400) for _ in range(500)])
+    assert abs(draws.mean() - 100) < 2 and 6.5 < draws.std() < 10.5
 
 
 def test_hypergeometric_is_exact():

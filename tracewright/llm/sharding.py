@@ -14,15 +14,24 @@ times shards) goes back as a small table; ``MAX_PARTS`` bounds both. A shard of
 over ``BLOCK_ROWS`` rows is permuted in blocks of its second hash, whose sizes
 are counted first, so no task holds a whole shard.
 
-Nulls and odd rows: the hash covers every column named as identity, nulls
-included; rows equal in all of them are interchangeable; extra columns are
-carried along; an empty table gives an empty result.
+The hash covers the identity columns and the row's number in the input, so rows
+repeated in full are dealt like any others. Parts, shards and slots are worked
+out on these hashes from several scans of the table, which therefore must come
+from files (as read, or as written by :func:`~.shared.written`): those give the
+same rows in the same places each time, also after a lost executor.
+
+Nulls and odd rows: the hash covers nulls; rows that are repeated in full, and
+ties of a hash, are in arbitrary but fixed order; a very long text is carried
+as it is; extra columns are carried along, but an input column ``shard`` or
+``slot`` gives way to the result's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from decimal import Decimal, localcontext
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -31,21 +40,42 @@ from pyspark.sql import functions as F
 from .shared import unused
 
 MAX_PARTS = 20_000
+#: Rows that one part permutes, in the mean (up to ``MAX_PARTS``).
+PART_ROWS = 1 << 18
 BLOCK_ROWS = 4096
 
 
+@lru_cache(maxsize=1 << 16)
+def log_factorial(n: int) -> Decimal:
+    """Natural logarithm of n! to about 30 digits, by Stirling's series above 1000."""
+    with localcontext() as context:
+        context.prec = 40
+        if n < 1000:
+            return Decimal(math.factorial(n)).ln()
+        x = Decimal(n)
+        series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+        return (x + Decimal("0.5")) * x.ln() - x + Decimal("1.837877066409345483560659472811235279722794947275566825634") / 2 + series
+
+
+def log_choose(n: int, k: int) -> Decimal:
+    with localcontext() as context:
+        context.prec = 40
+        return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+
+
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """One exact draw: how many of ``draws`` without replacement are ``good``."""
+    """One draw of how many of ``draws`` without replacement are ``good``: by numpy, or by inversion from the mode where that stops.
+
+    The mode's probability is worked out in 40 digits, since the logarithms of
+    such factorials leave nothing of a double's.
+    """
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, draws)) if draws else 0
     low, high = max(0, draws - bad), min(good, draws)
     mode = min(max((draws + 1) * (good + 1) // (good + bad + 2), low), high)
 
-    def log_choose(n: int, k: int) -> float:
-        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-
-    left = rng.random() - math.exp(log_choose(good, mode) + log_choose(bad, draws - mode) - log_choose(good + bad, draws))
     at_mode = math.exp(log_choose(good, mode) + log_choose(bad, draws - mode) - log_choose(good + bad, draws))
+    left = rng.random() - at_mode
     down, up, p_down, p_up = mode, mode, at_mode, at_mode
     while left > 0 and (down > low or up < high):  # outward from the mode, by the ratios of neighbours
         if up < high:
@@ -85,13 +115,18 @@ def communication_matrix(part_rows: list[int], sizes: list[int], seed: int) -> l
 def shuffled(df: DataFrame, identity: list[str], shards: int = 24, seed: int = 17, parts: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, from 0 without gaps in each shard)."""
     spark = df.sparkSession
-    part, first, second, rank, cuts, cell, base, place = unused(df, "_part", "_first", "_second", "_rank", "_cuts", "_block", "_base", "_place")
-    parts = min(MAX_PARTS, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot") or c in identity]
+    df = df.select(*kept)
+    part, first, second, rank, cuts, cell, base, place, nth = unused(df, "_part", "_first", "_second", "_rank", "_cuts", "_block", "_base", "_place", "_nth")
+    if parts is None:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
+    parts = min(MAX_PARTS, parts)
 
     def key(n: int):
-        return F.xxhash64(F.lit(seed + n), *identity)
+        return F.xxhash64(F.lit(seed + n), *identity, F.col(nth))
 
-    keyed = df.withColumns({part: F.pmod(key(0), F.lit(parts)).cast("int"), first: key(1), second: key(2)})
+    keyed = df.withColumn(nth, F.monotonically_increasing_id())
+    keyed = keyed.withColumns({part: F.pmod(key(0), F.lit(parts)).cast("int"), first: key(1), second: key(2)}).drop(nth)
     rows = {r[0]: r[1] for r in keyed.groupBy(part).agg(F.count("*")).collect()}
     sizes = shard_sizes(sum(rows.values()), shards)
     matrix = communication_matrix([rows.get(p, 0) for p in range(parts)], sizes, seed)
