@@ -179,10 +179,27 @@ def test_reputation(spark):
 
 
 def test_bad_hosts_are_blocked(spark):
-    pages = spark.createDataFrame([(k, f"http://{'spam' if k % 2 else 'fine'}.site.net/{k}") for k in range(200)], "page_id long, url string")
-    outcomes = spark.createDataFrame([(k, k % 2) for k in range(100)], "page_id long, bad int")
-    got = {(r["host"], r["verdict"]) for r in reputation.judged(pages, outcomes, limit=0.6).collect()}
-    assert got == {("spam.site.net", "block"), ("fine.site.net", "allow")}
+    # a fifth of all pages is bad, on one host nearly all; settings are those of the query
+    hosts = [("spam" if k % 10 == 0 else f"h{k % 7}") for k in range(2000)]
+    pages = spark.createDataFrame([(k, f"http://u@{h}.site.co.uk:80/{'x' * (k % 3) * 4000}") for k, h in enumerate(hosts)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(k, int(k % 50 < 48 if h == "spam" else k % 9 == 0)) for k, h in enumerate(hosts) if k % 3], "page_id long, bad int")
+    got = {(r["host"], r["verdict"]) for r in reputation.judged(pages, outcomes).collect()}
+    assert got == {("u@spam.site.co.uk:80", "block"), *((f"u@h{k}.site.co.uk:80", "allow") for k in range(7))}
+
+
+def test_beta_distribution(spark):
+    cases = [(a, b, x) for a in (0.05, 0.4, 1.0, 3.7, 40.0, 900.0) for b in (0.03, 0.5, 2.0, 30.0, 700.0) for x in (0.05, 0.2, 0.45) if a > x * (a + b)]
+    for x in (0.05, 0.2, 0.45):
+        some = [(a, b) for a, b, y in cases if y == x]
+        got = spark.createDataFrame(some, "a double, b double").withColumn("p", reputation.beta_below(x, F.col("a"), F.col("b"))).collect()
+        for r in got:
+            u = np.linspace(-800 if r["a"] < 1 or r["b"] < 1 else -60, 800 if r["a"] < 1 or r["b"] < 1 else 60, 800_001)  # by the logit, where the density is smooth
+            log = -r["a"] * np.logaddexp(0, -u) - r["b"] * np.logaddexp(0, u)
+            density = np.exp(log - log.max())
+            assert abs(density[u <= math.log(x / (1 - x))].sum() / density.sum() - r["p"]) < 2e-3, r
+    units = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("1.2.3.4",), ("x",), ("a.b.c",)], "h string")
+    got = {r["h"]: (r["d"], r["s"]) for r in units.select("h", reputation.domain_of(F.col("h")).alias("d"), reputation.suffix_of(F.col("h")).alias("s")).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "1.2.3.4": ("1.2.3.4",) * 2, "x": ("x", "x"), "a.b.c": ("b.c", "c")}
 
 
 def test_simhash(spark, odd, none):

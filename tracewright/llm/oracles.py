@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from . import reputation
+
 OP2 = r"""
 SELECT conv_id, turn, CAST(0 AS INTEGER) AS part, role, text, '<|' || role || '|>' || chr(10) || text || '<|end|>' AS rendered FROM conversations
 """
@@ -10,13 +12,15 @@ WITH u AS (
     coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages),
-marks AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+marks AS (SELECT doc_id AS page_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL AND coalesce(quality, toxic) IS NOT NULL GROUP BY 1),
 hosts AS (SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS k FROM u LEFT JOIN marks USING (page_id) GROUP BY host),
+names AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM hosts),
+labels2 AS (SELECT *, split_part(name, '.', -2) || '.' || split_part(name, '.', -1) AS two FROM names),
 units AS (
-  SELECT *, CASE WHEN regexp_matches(host, '^[0-9.]*$') OR NOT contains(host, '.') THEN host ELSE split_part(host, '.', -2) || '.' || split_part(host, '.', -1) END AS domain,
-    CASE WHEN regexp_matches(host, '^[0-9.]*$') OR NOT contains(host, '.') THEN host ELSE split_part(host, '.', -1) END AS suffix
-  FROM hosts),
-total AS (SELECT (coalesce(sum(k), 0) + 1e0) / (coalesce(sum(n), 0) + 20e0) AS p FROM units),
+  SELECT host, n, k, CASE WHEN regexp_matches(name, '^[0-9.]*$') OR NOT contains(name, '.') THEN name WHEN two IN {two} THEN CASE WHEN split_part(name, '.', -3) = '' THEN two ELSE split_part(name, '.', -3) || '.' || two END ELSE two END AS domain,
+    CASE WHEN regexp_matches(name, '^[0-9.]*$') OR NOT contains(name, '.') THEN name WHEN two IN {two} THEN two ELSE split_part(name, '.', -1) END AS suffix
+  FROM labels2),
+total AS (SELECT round((coalesce(sum(k), 0) + 1e0) / (coalesce(sum(n), 0) + 20e0), 9) AS p FROM units),
 d AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM units GROUP BY ALL),
 s AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k, any_value(total.p) AS p FROM d, total GROUP BY suffix),
 sr AS (SELECT least(greatest(round(coalesce(sum(pow(k - n*p, 2) - n*p*(1-p)) / nullif(sum(n*(n-1e0)*p*(1-p)), 0), 0), 9), 0.001e0), 0.9e0) AS rho FROM s WHERE n > 0),
@@ -27,9 +31,14 @@ dp AS (SELECT domain, suffix, ((1/rho - 1)*p + k) / ((1/rho - 1)*p + k + (1/rho
 hj AS (SELECT units.*, dp.p FROM units JOIN dp USING (domain, suffix)),
 hr AS (SELECT least(greatest(round(coalesce(sum(pow(k - n*p, 2) - n*p*(1-p)) / nullif(sum(n*(n-1e0)*p*(1-p)), 0), 0), 9), 0.001e0), 0.9e0) AS rho FROM hj WHERE n > 0),
 hp AS (SELECT host, n, k, (1/rho - 1)*p + k AS a, (1/rho - 1)*(1-p) + n - k AS b FROM hj, hr),
-scores AS (SELECT host, n, k, a / (a + b) AS mean, sqrt(a*b / ((a+b)*(a+b)*(a+b+1))) AS sd FROM hp),
+series AS (
+  SELECT host, sum(exp(lgamma(a + b + i) - lgamma(a + b) - lgamma(a + 1 + i) + lgamma(a + 1) + i * ln(x))) AS total
+  FROM (SELECT host, a, b, total.p AS x, unnest(range(0, 1000)) AS i FROM hp, total WHERE a > total.p * (a + b) * 1.000000001e0) GROUP BY host),
+scores AS (
+  SELECT hp.host, n, k, a / (a + b) AS mean, CASE WHEN series.total IS NOT NULL THEN round(least(1e0, exp(a * ln(total.p) + b * ln(1 - total.p) + lgamma(a + b) - lgamma(a + 1) - lgamma(b)) * series.total), 6) END AS below
+  FROM hp LEFT JOIN series ON hp.host = series.host, total),
 r AS (
-  SELECT u.*, n, k, mean, sd, CASE
+  SELECT u.*, n, k, mean, below, CASE
     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
@@ -37,10 +46,10 @@ r AS (
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM u JOIN scores USING (host))
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN mean - 1.645e0*sd > 0.25e0 THEN 'block' ELSE 'allow' END AS verdict,
-  n AS labelled, k AS bad, round(mean, 6) AS mean, round(sd, 6) AS sd
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN below < 0.05e0 THEN 'block' ELSE 'allow' END AS verdict,
+  n AS labelled, k AS bad, round(mean, 6) AS mean, below
 FROM r
-"""
+""".replace("{two}", str(reputation.TWO_LABEL_SUFFIXES))
 
 OP8 = r"""
 WITH items AS (

@@ -47,10 +47,11 @@ def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # pages carry the documents of the same id, so the documents' labels are the outcomes
-    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    # an assumption: the page of an id carries the document of that id, so the document's labels are the page's outcome
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     found = reputation.judged(_table(spark, sf_dir, "pages"), outcomes)
-    return found.select(F.col("page_id").cast("long"), "host", "path", "rule", "verdict", "labelled", "bad", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+    return found.select(F.col("page_id").cast("long"), "host", "path", "rule", "verdict", "labelled", "bad", F.round("mean", 6).alias("mean"), "below")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
