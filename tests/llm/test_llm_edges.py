@@ -296,6 +296,34 @@ def test_secret_candidates_whose_digit_stands_anywhere():
             for text in (f"key is {key} now", key, f"see\n({key}),"):
                 assert (text.index(key), text.index(key) + n, "token") in secrets.candidates(text)
     assert secrets.candidates("key is QwErTyUiOpAsDfGhJ now, a1 b2") == []
+    for n in (210, 5000):  # letters before the only digit, and digits before the only letter
+        assert [x[2] for x in secrets.candidates(f"see {'q' * n}7 and {'7' * n}q.")] == ["token"] * 2
+
+
+def plain_candidates(text):
+    """Without any gate: every pattern over the whole text, tokens character by character."""
+    found = [(m.start(), m.end(), m.lastgroup) for m in secrets._FORMAT.finditer(text)]
+    found += [(m.start("value"), m.end("value"), "assigned") for m in secrets._ASSIGNED.finditer(text)]
+    at = 0
+    for k in range(len(text) + 1):
+        if k == len(text) or not (text[k].isascii() and (text[k].isalnum() or text[k] in "+/_=-")):
+            run = text[at:k]
+            if len(run) >= 16 and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+                found.append((at, k, "token"))
+            at = k + 1
+    out = []
+    for span in sorted(found, key=lambda s: (s[0], -s[1])):
+        if not out or span[0] >= out[-1][1]:
+            out.append(span)
+    return out
+
+
+def test_no_gate_loses_a_candidate():
+    rng = np.random.default_rng(21)
+    parts = ["a", "7", "Z9", "key", "token", "secret", "=", ":", " ", "\n", "\x85", "\xa0", "é", "-", "_", "/", "+", '"', "AKIA", "ghp_", "sk-", "eyJ", "xox", ".", "q" * 20, "4" * 17, "password", "B3" * 9]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, size=rng.integers(1, 25)))
+        assert secrets.candidates(text) == plain_candidates(text), repr(text)
 
 
 def test_secrets(spark, odd, none):

@@ -9,9 +9,11 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tracewright.llm import chat, packing, queries, simhash, tokens
+from tracewright.llm import chat, packing, queries, secrets, simhash, tokens
 from tracewright.llm import licences as lic
 
+from .test_llm_edges import plain_candidates
+
 
 @pytest.fixture(scope="module")
 def docs(spark, data):
@@ -189,12 +191,18 @@ def test_op1_held_out_accuracy():
     assert (p.argmax(axis=1) == y).mean() > 0.97 and passed[y == unknown].mean() <= 0.03
 
 
-def test_op9_marks_the_tokens(spark):
+def test_op9_equals_brute_force(spark):
     data = "/root/testdata/sf0.01"
+    model, want = secrets.trained(), []
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()
-    got = {(r["doc_id"], r["start"], r["length"]) for r in queries.QUERIES["op9_secret_scan"](spark, data).filter("secret").collect()}
-    want = {(d["doc_id"], m.start(1), len(m.group(1))) for d in docs for m in re.finditer(r'token = "([0-9a-fA-F]{40})"', d["text"] or "")}
-    assert want and want <= got
+    for d in docs:
+        for a, b, kind in plain_candidates(d["text"] or ""):
+            p = float(model.predict(np.array([secrets.features(d["text"], a, b, kind)]))[0])
+            want.append((d["doc_id"], a, b - a, kind, round(p, 6), p >= secrets.THRESHOLD))
+    got = [tuple(r) for r in queries.QUERIES["op9_secret_scan"](spark, data).collect()]
+    assert sorted(got) == sorted(want)
+    planted = {(d["doc_id"], m.start(1), len(m.group(1))) for d in docs for m in re.finditer(r'token = "([0-9a-fA-F]{40})"', d["text"] or "")}
+    assert planted and planted <= {w[:3] for w in want if w[5]}
 
 
 def test_op2_recovers_roles_without_some_markers(spark):

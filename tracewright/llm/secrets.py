@@ -9,9 +9,11 @@ url, and the words next to it. It is trained here on labelled findings made by
 :func:`labelled_findings` (``TRAIN_ROWS`` of each class, a bound on the
 training sample only).
 
-Nulls and odd rows: null and empty texts have no findings; findings of one
-place are reported once; repeated rows each report; extra columns are ignored
-(:func:`redacted` keeps them); an empty table gives an empty result.
+Nulls and odd rows: null and empty texts have no findings; very long texts are
+scanned whole; of findings that overlap the first counts, and of those with one
+start the longest (then a known format, an assignment, a token, in this order);
+repeated rows each report; extra columns are ignored (:func:`redacted` keeps
+them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,10 +53,10 @@ FORMATS = (
 _FORMAT = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in FORMATS))
 #: A text without any of these has no key of a known format.
 _HINTS = ("PRIVATE KEY", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "AIza", "k_live_", "k_test_", "eyJ", "sk-")
-#: Long tokens with a digit and a letter; what follows an assignment may be shorter.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
-_DIGIT_RUN = re.compile(r"[0-9]")
-_ASSIGNED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|api[_-]?key|auth[_-]?key|access[_-]?key|private[_-]?key|credential|token)s?\"?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"']{8,})")
+#: Long tokens, of which those with a digit and a letter count; what follows an assignment may be shorter.
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}+")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_ASSIGNED = re.compile(r"(?ia)\b(?:password|passwd|pwd|secret|api[_-]?key|auth[_-]?key|access[_-]?key|private[_-]?key|credential|token)s?\"?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"']{8,})")
 _ASSIGN_HINTS = ("pass", "pwd", "secret", "key", "credential", "token")
 
 #: Words near secrets, words near other long tokens, and common parts of identifiers.
@@ -120,10 +122,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     low = text.lower() if any(h in text for h in ("=", ":")) else ""
     if low and any(h in low for h in _ASSIGN_HINTS):
         found += [(m.start("value"), m.end("value"), "assigned") for m in _ASSIGNED.finditer(text)]
-    if _DIGIT_RUN.search(text):
-        # a candidate has a digit and 16 characters, so only words that have both are searched
-        for word in _DIGIT_WORDS.finditer(text):
-            found += [(word.start() + m.start(), word.start() + m.end(), "token") for m in _TOKEN.finditer(word.group())]
+    # a token has a digit and 16 characters, so only words that have both are searched
+    for word in _DIGIT_WORDS.finditer(text):
+        found += [(word.start() + m.start(), word.start() + m.end(), "token") for m in _TOKEN.finditer(word.group()) if _DIGIT.search(m.group()) and _LETTER.search(m.group())]
     out: list[tuple[int, int, str]] = []
     for span in sorted(found, key=lambda s: (s[0], -s[1])):
         if not out or span[0] >= out[-1][1]:
