@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every operator."""
 
 import io
+import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -396,21 +398,47 @@ def test_chat(spark):
 
 def test_blocks_decode_as_the_whole(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK_TURNS", 4)
+    monkeypatch.setattr(chat, "BLOCK_ROWS", 3)
     marks = ("user: ", "", "assistant: ", "", "", "Human: ")
-    rows = [(c, t, f"{marks[(t * (c + 2)) % 6]}text {t}{'?' if t % 3 else '.'}") for c in range(3) for t in range(23)]
+    rows = [(c, t if c else min(t, 9), f"{marks[(t * (c + 2)) % 6]}text <{t}.0>{'?' if t % 3 else '.'}" + f"\n\nmore <{t}.1>" * (t % 2), chat.ROLES[t % 3]) for c in range(3) for t in range(23)]
+    rows += [(7, None, f"line <{k}.0>", "user") for k in range(20)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")
     model = chat.Model()
-    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, text string"), model).collect()
-    for c in range(3):
-        want = [(k, role, text) for k, role, text, _ in chat.turns(model, [t for x, _, t in rows if x == c])]
-        pieces = sorted((r for r in got if r["conv_id"] == c), key=lambda r: (r["turn"], r["part"]))
+    ordered: dict[int, list] = {}
+    for r in table.orderBy("conv_id", "turn", F.xxhash64("text")).collect():
+        ordered.setdefault(r["conv_id"], []).append((r["text"], r["role"]))
+    assert chat._blocks(table).select("conv_id", "block").distinct().count() > 20
+    got = chat.formatted(table, model).collect()
+    for c, parts in ordered.items():
+        want = [(role, text) for _, role, text, _ in chat.turns(model, [t for t, _ in parts])]
+        tags = re.findall(r"<[0-9.]+>", "\n".join(t for t, _ in parts))  # one in every line with text
+        pieces = sorted((r for r in got if r["conv_id"] == c), key=lambda r: tags.index(re.search(r"<[0-9.]+>", r["text"]).group()))
         merged: list[list] = []
         for r in pieces:
             if r["part"] < 0:
-                merged[-1][2] += "\n" + r["text"]
-                assert merged[-1][1] == r["role"]
+                merged[-1][1] += "\n" + r["text"]
+                assert merged[-1][0] == r["role"]
             else:
-                merged.append([r["turn"], r["role"], r["text"]])
+                merged.append([r["role"], r["text"]])
         assert [tuple(m) for m in merged] == want
+    counts: dict[str, int] = {}
+    for parts in ordered.values():
+        for k, n in chat.label_counts([t for t, _ in parts], [r for _, r in parts]).items():
+            counts[k] = counts.get(k, 0) + n
+    fitted, whole = chat.fitted(table), chat.Model(counts)
+    assert np.array_equal(fitted.moves, whole.moves) and np.array_equal(fitted.start, whole.start) and all(map(np.array_equal, fitted.seen, whole.seen))
+
+
+def test_viterbi_equals_every_path():
+    rng = np.random.default_rng(14)
+    model = chat.Model({f"f:0:{s}:{v}": int(rng.integers(0, 9)) for s in range(chat.STATES) for v in range(5)})
+    for _ in range(6):
+        seen = [tuple(int(rng.integers(0, k)) for k in chat.FEATURES) for _ in range(int(rng.integers(1, 6)))]
+
+        def score(path, seen=seen):
+            return model.start[path[0]] + sum(model.moves[a, b] for a, b in itertools.pairwise(path)) + sum(model.emission(o)[s] for s, o in zip(path, seen, strict=True))
+
+        assert abs(score(model.path(seen)) - max(map(score, itertools.product(range(chat.STATES), repeat=len(seen))))) < 1e-9
 
 
 def test_pipeline_stages(spark, data):

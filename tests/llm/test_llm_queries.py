@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracewright.llm import chat, packing, queries, secrets, simhash, tokens
@@ -205,19 +206,58 @@ def test_op9_equals_brute_force(spark):
     assert planted and planted <= {w[:3] for w in want if w[5]}
 
 
-def test_op2_recovers_roles_without_some_markers(spark):
+def plain_viterbi(model, seen):
+    """Best path by dictionaries of scores, state by state."""
+    states = range(len(model.start))
+
+    def emitted(o, s):
+        return sum(float(table[s, v]) for table, v in zip(model.seen, o, strict=True))
+
+    now, back = {s: float(model.start[s]) + emitted(seen[0], s) for s in states}, []
+    for o in seen[1:]:
+        best = {s: max(states, key=lambda p, s=s: (now[p] + float(model.moves[p, s]), -p)) for s in states}
+        now = {s: now[best[s]] + float(model.moves[best[s], s]) + emitted(o, s) for s in states}
+        back.append(best)
+    path = [max(states, key=lambda s: (now[s], -s))]
+    for best in reversed(back):
+        path.append(best[path[-1]])
+    return path[::-1]
+
+
+def test_op2_equals_brute_force_and_recovers_roles(spark):
     data = "/root/testdata/sf0.01"
-    rows = spark.read.parquet(f"{data}/conversations.parquet").orderBy("conv_id", "turn").collect()
-    styles = ("{}: ", "### {}\n", "[{}] ", "<|{}|>", "**{}:** ")
-    names = {"user": ("User", "Human"), "assistant": ("Assistant", "AI"), "system": ("System", "System")}
-    made = defaultdict(list)
-    for k, r in enumerate(rows):
-        mark = styles[r["conv_id"] % 5].format(names[r["role"]][r["conv_id"] % 2]) if k % 10 else ""
-        made[r["conv_id"]].append((mark + r["text"], r["role"]))
-    model = chat.Model()
-    right = total = 0
-    for turns in made.values():
-        found = dict((k, role) for k, role, _, _ in reversed(chat.turns(model, [t for t, _ in turns])))
-        total += len(turns)
-        right += sum(found.get(k) == role for k, (_, role) in enumerate(turns))
-    assert right / total > 0.95
+    raw = queries.raw_transcripts(spark.read.parquet(f"{data}/conversations.parquet")).orderBy("conv_id", "turn")
+    fold = raw.filter(F.pmod(F.xxhash64("conv_id", F.lit("fold")), F.lit(5)) == 0)
+    held = {r["conv_id"] for r in raw.select("conv_id").distinct().collect()} - {r["conv_id"] for r in fold.select("conv_id").distinct().collect()}
+    counts, convs = Counter(), defaultdict(list)
+    for r in raw.collect():
+        convs[r["conv_id"]].append(r)
+    for c, rs in convs.items():
+        if c not in held:
+            counts.update(chat.label_counts([r["text"] for r in rs], [r["role"] for r in rs]))
+    model = chat.Model(counts)
+    want, unmarked, right, total, unmarked_right = [], 0, 0, 0, 0
+    for c, rs in convs.items():
+        lines = [(r["turn"], line) for r in rs for line in r["text"].split("\n")]
+        seen = [chat.observe(line, k == 0 or not lines[k - 1][1].strip()) for k, (_, line) in enumerate(lines)]
+        found = []
+        for (turn, line), s in zip(lines, plain_viterbi(model, seen), strict=True):
+            if s % 2 == 0 or not found:
+                value, at = chat.marker(line)
+                found.append([turn, chat.ROLES[s // 2], line[at if s % 2 == 0 and value == 1 + s // 2 else 0 :]])
+            else:
+                found[-1][2] += "\n" + line
+        part = Counter()
+        for turn, role, text in found:
+            want.append((c, turn, part[turn], role, text, f"<|{role}|>\n{text.strip(chr(10))}<|end|>"))
+            part[turn] += 1
+        if c in held:
+            first = {turn: role for turn, role, _ in reversed(found)}
+            for r in rs:
+                bare = chat.marker(r["text"].split("\n")[0])[0] == 0
+                total, right = total + 1, right + (first.get(r["turn"]) == r["role"])
+                unmarked, unmarked_right = unmarked + bare, unmarked_right + (bare and first.get(r["turn"]) == r["role"])
+    got = queries.QUERIES["op2_chat_formatting"](spark, data).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    print(f"held-out turns {total}: right {right / total:.4f}; unmarked {unmarked}: right {unmarked_right / unmarked:.4f}")
+    assert right / total > 0.97 and unmarked_right / unmarked > 0.8

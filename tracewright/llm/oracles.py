@@ -2,10 +2,6 @@
 
 from . import reputation
 
-OP2 = r"""
-SELECT conv_id, turn, CAST(0 AS INTEGER) AS part, role, text, '<|' || role || '|>' || chr(10) || text || '<|end|>' AS rendered FROM conversations
-"""
-
 OP6 = r"""
 WITH u AS (
   SELECT CAST(page_id AS BIGINT) AS page_id,

@@ -22,11 +22,34 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(_table(spark, sf_dir, "documents"))
 
 
+#: How the raw transcripts of op2 mark a speaker; a style for each conversation.
+STYLES = ("%s: ", "### %s\n", "[%s] ", "<|%s|>\n", "**%s:** ")
+#: One turn in so many has no marker.
+UNMARKED = 10
+
+
+def raw_transcripts(conversations: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text``: every turn after a marker in its conversation's style, and a blank line.
+
+    One in ``UNMARKED`` turns, but never a conversation's first, stands without
+    its marker, and in a quarter of the conversations blank lines part the
+    lines of a turn too.
+    """
+    style = F.pmod(F.xxhash64("conv_id", F.lit("style")), F.lit(len(STYLES))).cast("int")
+    other = F.pmod(F.xxhash64("conv_id", F.lit("names")), F.lit(2)) == 0
+    name = F.when(F.col("role") == "user", F.when(other, "Human").otherwise("User")).when(F.col("role") == "assistant", F.when(other, "AI").otherwise("Assistant")).otherwise(F.initcap("role"))
+    marker = F.replace(F.element_at(F.array(*map(F.lit, STYLES)), style + 1), F.lit("%s"), name)
+    marker = F.when((F.pmod(F.xxhash64("conv_id", "turn"), F.lit(UNMARKED)) == 0) & (F.col("turn") > 0), F.lit("")).otherwise(marker)
+    spaced = F.pmod(F.xxhash64("conv_id", F.lit("spaced")), F.lit(4)) == 0
+    text = F.when(spaced, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    return conversations.select("conv_id", "turn", "role", F.concat(F.coalesce(marker, F.lit("")), F.coalesce(text, F.lit("")), F.lit("\n")).alias("text"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the transcript of a conversation as it is read: every turn after its speaker's name
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.coalesce(F.concat("role", F.lit(": ")), F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
-    found = chat.formatted(rows, chat.fitted(rows))
-    return found.select("conv_id", "turn", "part", "role", "text", "rendered")
+    rows = raw_transcripts(_table(spark, sf_dir, "conversations"))
+    # fitted on the labels of a fifth of the conversations; all are decoded, from their texts alone
+    model = chat.fitted(rows.filter(F.pmod(F.xxhash64("conv_id", F.lit("fold")), F.lit(5)) == 0))
+    return chat.formatted(rows.select("conv_id", "turn", "text"), model)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +98,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_chat_formatting, op3_best_fit_packing, op4_token_planes, op5_hypergeometric_shards, op6_host_reputation, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_secret_scan, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {"op2_chat_formatting": oracles.OP2, "op6_host_reputation": oracles.OP6, "op8_benchmark_decontamination": oracles.OP8}
+ORACLES: dict[str, str] = {"op6_host_reputation": oracles.OP6, "op8_benchmark_decontamination": oracles.OP8}
