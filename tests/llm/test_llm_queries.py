@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewright.llm import chat, packing, queries, secrets, simhash, tokens
+from tracewright.llm import chat, packing, quality, queries, secrets, simhash, tokens
 from tracewright.llm import licences as lic
 
 from .test_llm_edges import plain_candidates
@@ -157,10 +157,93 @@ def test_op10_base_counts(spark, data, docs):
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r["base_failed"] and r["kept"])
 
 
+def plain_judged(rows, share=0.75, prior=100.0):
+    """Concentration steps in plain numpy over rows ``(lang, source, base counts, base_failed)``: distances of all."""
+    names, every = list(quality._BASE), quality.ALL
+    base = np.array([r[2] for r in rows], dtype=float)
+    col = {n: base[:, k] for k, n in enumerate(names)}
+    levels = lambda r: [(r[0], r[1]), (r[0], every), (every, every)]
+    members = defaultdict(list)
+    for k, r in enumerate(rows):
+        for g in levels(r):
+            members[g].append(k)
+    parents = {g: [(g[0], every), (every, every)] for g in members}
+
+    def mixed(own, sizes, g):
+        """A group's value mixed with its language's, and that with the value of all."""
+        lang, top = parents[g]
+        low = own[top]
+        for h in (lang, g):
+            w = sizes[h] / (sizes[h] + prior)
+            low = w * own[h] + (1 - w) * low
+        return low
+
+    good = {g: [k for k in at if not rows[k][3]] for g, at in members.items()}
+    usual, sizes = {}, {}
+    for g, at in members.items():
+        full = [k for k in at if col["n_words"][k] > 0]
+        sizes[g] = len(full)
+        meds = []
+        for a, b, _ in quality.RATES.values():
+            v = [min(np.floor(col[a][k] / col[b][k] * 1000 + 0.5) / 1000, 1000.0) for k in at if col[b][k] > 0]
+            meds.append(np.median(v) if v else 0.0)
+        usual[g] = np.array(meds)
+    own_usual = {g: mixed(usual, sizes, g) for g in members}
+    x = np.array([[(col[a][k] + w * own_usual[r[0], r[1]][i]) / (col[b][k] + w) for i, (a, b, w) in enumerate(quality.RATES.values())] for k, r in enumerate(rows)])
+    p, floors = len(quality.STATS), np.diag(np.square(quality.FLOORS))
+    factor = share / quality.chi2_cdf(quality.chi2_quantile(share, p), p + 2)
+    params = {}
+    for g, at in good.items():
+        if at:
+            v = np.minimum(np.floor(x[at] * 1000 + 0.5) / 1000, 1000.0)
+            low, mid, high = np.quantile(v, [0.25, 0.5, 0.75], axis=0)
+            params[g] = (mid, np.diag(1 / (np.square((high - low) / 1.349) + np.square(quality.FLOORS))))
+
+    def distances(at, g):
+        d = x[at] - params[g][0]
+        return np.einsum("ri,ij,rj->r", d, params[g][1], d)
+
+    for _ in range(20):
+        means, scatters, n_in = {}, {}, {}
+        for g, at in good.items():
+            some = x[:0]
+            if at:
+                bins = np.floor(np.log1p(np.maximum(distances(at, g), 0)) * 100)
+                before = np.array([(bins < b).sum() for b in bins])
+                some = x[at][before < share * len(at)]
+            n_in[g] = len(some)
+            means[g] = some.mean(axis=0) if len(some) else np.zeros(p)
+            scatters[g] = factor * np.cov(some.T, bias=True) if len(some) else np.zeros((p, p))
+        new, moved = {}, 0.0
+        for g in good:
+            mean, inverse = mixed(means, n_in, g), np.linalg.inv(mixed(scatters, n_in, g) + floors)
+            apart = mean - params[g][0] if g in params else np.full(p, np.inf)
+            moved, new[g] = max(moved, apart @ inverse @ apart), (mean, inverse)
+        params = new
+        if moved < quality.STILL:
+            break
+    return [float(distances([k], (r[0], r[1]))[0]) for k, r in enumerate(rows)]
+
+
+def test_op10_equals_brute_force(spark):
+    data = "/root/testdata/sf0.01"
+    got = queries.QUERIES["op10_quality_rules"](spark, data).collect()
+    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
+    rows = []
+    for d in docs:
+        base = quality.base_counts(d["text"])
+        rows.append((d["lang"], d["source"], base, base[0] < 20 or 100 * base[4] > 30 * base[0]))
+    limit = quality.chi2_quantile(1 - 1e-7, 5)
+    want = {d["doc_id"]: (r[3], x, not r[3] and x <= limit) for d, r, x in zip(docs, rows, plain_judged(rows), strict=True)}
+    for r in got:
+        failed, x, kept = want[r["doc_id"]]
+        assert r["base_failed"] == failed and r["kept"] == kept and abs(r["distance"] - x) <= 1e-3 + 1e-6 * x, (r, x)
+
+
 def test_op10_separates_labelled_documents(spark):
     data = "/root/testdata/sf0.01"
-    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
-    found = Counter((quality[r["doc_id"]], r["kept"]) for r in queries.QUERIES["op10_quality_rules"](spark, data).filter("not base_failed").collect() if r["doc_id"] in quality)
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    found = Counter((marks[r["doc_id"]], r["kept"]) for r in queries.QUERIES["op10_quality_rules"](spark, data).filter("not base_failed").collect() if r["doc_id"] in marks)
     assert found[1, False] == 0 and found[0, True] <= 0.05 * (found[0, True] + found[0, False])
 
 

@@ -4,18 +4,26 @@ Every text gets base counts and a vector of transformed statistics (mean word
 length and the rates of symbols, repeated lines, words in repeated windows and
 stuttered words). Rates of short texts are noisy, so each is first shrunk
 towards the group's ordinary value as if that many words of it came on top.
-For every language and source, the minimum covariance determinant is estimated
-over all rows by concentration steps: the share ``h`` of rows with the least
-distances gives the next centre and scatter, by sums that tasks make before
-anything is shuffled. A row is rejected when its squared Mahalanobis distance
-passes a quantile of the chi-squared distribution. A group with fewer than
-``min_rows`` rows takes the estimate of its language, and a small language the
-estimate of all rows. ``floors`` is added to the scatter, so a statistic that is
-zero for most rows doesn't make it singular.
+For every language and source, for every language and for all rows, the minimum
+covariance determinant is estimated over all rows by concentration steps: the
+share ``share`` of rows with the least distances gives the next centre and
+scatter, by sums that tasks make before anything is shuffled, until all centres
+stand still (single rows may go in and out of a step for ever). The start is the coordinatewise median and quartile spread. An estimate
+from n rows is mixed with that of the language (and a language's with that of
+all rows) with weight ``prior`` against n, so a group of few rows differs
+little from its language; groups of any size are treated alike. A row is
+rejected when its squared Mahalanobis distance passes a quantile of the
+chi-squared distribution. ``floors`` is added to the scatter, so a statistic
+that is zero for most rows doesn't make it singular.
+
+Medians and cuts are exact on values rounded to ``_BINS`` steps, so they don't
+depend on how rows are dealt over tasks.
 
 Nulls and odd rows: a null or empty text has zero counts and fails the base
 rules; a null language or source is a group of its own; repeated rows each
-count; extra columns are ignored; an empty table gives an empty result.
+count; rows at the same distance are in or out of a step together; a very long
+text is counted whole; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,10 +32,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, unused, written
+from .shared import discard, written
 
 STATS = ("word_length", "symbols", "dup_lines", "repeats", "stutter")
 #: Statistic's count, what it is counted over, and rows of ordinary text that it is shrunk with.
@@ -87,18 +95,22 @@ def base_counts(text: str | None) -> tuple[int, ...]:
     return len(words), chars, symbols, dups, repeats, lines, stutter
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, source`` and the base counts of every row."""
-    names = ["doc_id", "lang", "source", *_BASE]
+def _counted(rows: DataFrame, first: str, parts) -> DataFrame:
+    """The ``first`` column (name and type) of ``rows``, with language, source and base counts of the text that ``parts`` takes from a batch."""
 
     def run(batches):
         for batch in batches:
-            rows = np.array([base_counts(t) for t in batch.column(3).to_pylist()], dtype=np.int64).reshape(-1, len(_BASE))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *(pa.array(c) for c in rows.T)], names=names)
+            text, lang, source = parts(batch)
+            found = np.array([base_counts(t) for t in text.to_pylist()], dtype=np.int64).reshape(-1, len(_BASE))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lang.cast(pa.string()), source.cast(pa.string()), *(pa.array(c) for c in found.T)], names=[batch.schema.names[0], "lang", "source", *_BASE])
+
+    return rows.mapInArrow(run, f"{first}, lang string, source string, " + ", ".join(f"{c} long" for c in _BASE))
+
 
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _BASE)
-    some = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text")
-    return some.mapInArrow(run, schema)
+def counts(docs: DataFrame) -> DataFrame:
+    """``doc_id, lang, source`` and the base counts of every row."""
+    some = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source")
+    return _counted(some, "doc_id long", lambda batch: [batch.column(k) for k in (1, 2, 3)])
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -138,98 +150,155 @@ def _quadratic(mean: str, inverse: str):
     return out
 
 
-def _inverted(sums: DataFrame, factor: float, floors: tuple[float, ...]) -> DataFrame:
-    """Centre and inverse scatter of each group from its sums (one row per group, dealt over tasks)."""
-    p = len(STATS)
+#: A centre stands still when it moves by less than the root of this, in standard deviations.
+STILL = 1e-4
+#: Stands for all languages or all sources in the key of a pooled estimate.
+ALL = "\x00all"
+#: Steps that a value of 1 is rounded to: of rates and statistics, and of the logarithm of distances.
+_BINS = (1000, 100)
+#: Values above are taken as this where medians and quartiles are sought.
+_TOP = 1000.0
 
-    def run(batches):
-        for batch in batches:
-            n = batch.column("n").to_numpy().astype(float)
-            mean = np.stack([batch.column(f"s{i}").to_numpy() for i in range(p)], axis=1) / n[:, None]
-            scatter = np.zeros((len(n), p, p))
-            for i, j in _pairs():
-                scatter[:, i, j] = scatter[:, j, i] = factor * (batch.column(f"q{i}_{j}").to_numpy() / n - mean[:, i] * mean[:, j])
-            scatter += np.diag(np.square(floors))
-            inverse = np.linalg.inv(scatter)
-            packed = np.stack([inverse[:, i, j] for i, j in _pairs()], axis=1)
-            lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (mean, packed)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), *lists], names=["lang", "source", "mean", "inverse"])
 
-    return sums.mapInArrow(run, "lang string, source string, mean array<double>, inverse array<double>")
+def _levels(rows: DataFrame) -> DataFrame:
+    """Every row thrice: under its language and source, its language, and all (``g_lang, g_source``)."""
+    every = F.lit(ALL)
+    keys = F.array(F.struct(F.col("lang").alias("l"), F.col("source").alias("s")), F.struct(F.col("lang").alias("l"), every.alias("s")), F.struct(every.alias("l"), every.alias("s")))
+    return rows.withColumn("g", F.explode(keys)).withColumns({"g_lang": F.col("g.l"), "g_source": F.col("g.s")}).drop("g")
 
 
-def _joined(rows: DataFrame, params: DataFrame) -> DataFrame:
-    on = rows["g_lang"].eqNullSafe(params["lang"]) & rows["g_source"].eqNullSafe(params["source"])
-    return rows.join(params.drop("n"), on).drop(params["lang"]).drop(params["source"])
+def _matched(rows: DataFrame, params: DataFrame, lang: str, source: str, how: str = "left") -> DataFrame:
+    """``rows`` with what ``params`` (by ``p_lang, p_source``) has for the group of the columns named; few groups, so the smaller side is sent to the tasks if it is small."""
+    return rows.join(params, rows[lang].eqNullSafe(params["p_lang"]) & rows[source].eqNullSafe(params["p_source"]), how).drop("p_lang", "p_source")
 
 
-#: Stands for all languages or all sources in the key of a pooled estimate.
-ALL = "\x00all"
+def _with_parents(groups: DataFrame, values: list[str]) -> DataFrame:
+    """``groups`` (``g_lang, g_source`` and ``values``) with the values of language and all as ``l_..`` and ``a_..``."""
+
+    def renamed(table: DataFrame, prefix: str, *keys: str) -> DataFrame:
+        return table.select(*keys, *(F.col(v).alias(f"{prefix}_{v}") for v in values))
+
+    langs = renamed(groups.filter(F.col("g_source").eqNullSafe(ALL)), "l", F.col("g_lang").alias("p_lang"))
+    alls = renamed(groups.filter(F.col("g_lang").eqNullSafe(ALL)), "a", F.lit(1).alias("one"))
+    out = groups.join(langs, groups["g_lang"].eqNullSafe(langs["p_lang"])).drop("p_lang").withColumn("one", F.lit(1))
+    return out.join(alls, "one").drop("one")
 
 
-def vectors(table: DataFrame, min_rows: int) -> DataFrame:
-    """Transformed statistics, and the group (``g_lang, g_source``) that estimates each row."""
-    by_source = table.groupBy("lang", "source").agg(F.count("*").alias("n_source"))
-    by_lang = by_source.groupBy("lang").agg(F.sum("n_source").alias("n_lang"))
-    sizes = by_source.join(by_lang, by_source["lang"].eqNullSafe(by_lang["lang"])).drop(by_lang["lang"])
-    sizes = sizes.select(
-        F.col("lang").alias("l"), F.col("source").alias("s"),
-        F.when(F.col("n_lang") >= min_rows, F.col("lang")).otherwise(F.lit(ALL)).alias("g_lang"),
-        F.when((F.col("n_lang") >= min_rows) & (F.col("n_source") >= min_rows), F.col("source")).otherwise(F.lit(ALL)).alias("g_source"),
-    )
-    rows = table.join(sizes, table["lang"].eqNullSafe(sizes["l"]) & table["source"].eqNullSafe(sizes["s"])).drop("l", "s")
-    rate = {s: F.col(a) / F.nullif(F.col(b), F.lit(0)) for s, (a, b, _) in RATES.items()}
-    usual = rows.filter("n_words > 0").groupBy("g_lang", "g_source").agg(*(F.percentile_approx(rate[s], 0.5, 1000).alias(f"u_{s}") for s in STATS))
-    usual = usual.withColumnsRenamed({"g_lang": "ul", "g_source": "us"})
-    rows = rows.join(usual, rows["g_lang"].eqNullSafe(usual["ul"]) & rows["g_source"].eqNullSafe(usual["us"]), "left").drop("ul", "us")
-    shrunk = {s: (F.col(a) + F.lit(k) * F.coalesce(F.col(f"u_{s}"), F.lit(0.0))) / (F.col(b) + F.lit(k)) for s, (a, b, k) in RATES.items()}
-    return rows.withColumns(shrunk).drop(*(f"u_{s}" for s in STATS))
+def usual_rates(table: DataFrame, prior: float) -> DataFrame:
+    """Medians of the rates for each language and source (``p_lang, p_source, usual``), mixed with those of language and all."""
+    rate = {s: F.least(F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)) * _BINS[0]) / _BINS[0], F.lit(_TOP)) for s, (a, b, _) in RATES.items()}
+    medians = [F.coalesce(F.percentile(rate[s], 0.5), F.lit(0.0)) for s in STATS]
+    groups = written(_levels(table).groupBy("g_lang", "g_source").agg(F.count(F.nullif("n_words", F.lit(0))).alias("n"), F.array(*medians).alias("usual")), "usual")
+    full = _with_parents(groups, ["n", "usual"])
 
+    def mixed(n: str, own: str, parent):
+        return F.zip_with(own, parent, lambda x, y: (F.col(n) * x + F.lit(prior) * y) / (F.col(n) + F.lit(prior)))
 
-def _sums(rows: DataFrame) -> DataFrame:
-    moments = [F.sum(F.col(s)).alias(f"s{i}") for i, s in enumerate(STATS)]
-    moments += [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}_{j}") for i, j in _pairs()]
-    return rows.groupBy(F.col("g_lang").alias("lang"), F.col("g_source").alias("source")).agg(F.count("*").alias("n"), *moments)
+    usual = mixed("n", "usual", mixed("l_n", "l_usual", F.col("a_usual")))
+    return full.select(F.col("g_lang").alias("p_lang"), F.col("g_source").alias("p_source"), usual.alias("usual"))
 
 
-def judged(table: DataFrame, share: float = 0.75, steps: int = 4, p_reject: float = 1e-7, min_rows: int = 200, min_words: int = 20, max_repeat: int = 30, floors: tuple[float, ...] = FLOORS) -> DataFrame:
-    """Stored counts with ``base_failed``, ``distance`` (squared) and ``kept``.
+def vectors(table: DataFrame, usual: DataFrame) -> DataFrame:
+    """``table`` with the transformed statistics."""
+    rows = _matched(table, usual, "lang", "source")
+    shrunk = {s: (F.col(a) + F.lit(k) * F.col("usual")[i]) / (F.col(b) + F.lit(k)) for i, (s, (a, b, k)) in enumerate(RATES.items())}
+    return rows.withColumns(shrunk).drop("usual")
 
-    Only rows that pass the base rules enter the estimates.
+
+_SUMS = ["n", *(f"s{i}" for i in range(len(STATS))), *(f"q{i}_{j}" for i, j in _pairs())]
+
+
+def _estimated(sums: DataFrame, factor: float, floors: tuple[float, ...], prior: float) -> DataFrame:
+    """Centre and inverse scatter of each group from its sums and its parents' (one row per group, dealt over tasks).
+
+    ``moved`` is the squared distance from the centre before.
     """
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    rows = written(vectors(table.withColumn("base_failed", failed), min_rows), "vectors")
-    good = rows.filter(~F.col("base_failed")).select("g_lang", "g_source", *STATS)
     p = len(STATS)
-    limit = chi2_quantile(share, p)
-    factor = share / chi2_cdf(limit, p + 2)
-    # start: the coordinatewise median and quartile spread
-    quartiles = good.groupBy("g_lang", "g_source").agg(*(F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(s) for s in STATS))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            mean, scatter = np.zeros((batch.num_rows, p)), np.zeros((batch.num_rows, p, p))
+            for level in ("a_", "l_", ""):
+                n = batch.column(f"{level}n").to_numpy().astype(float)
+                own = np.stack([batch.column(f"{level}s{i}").to_numpy() for i in range(p)], axis=1) / np.maximum(n, 1)[:, None]
+                spread = np.zeros_like(scatter)
+                for i, j in _pairs():
+                    spread[:, i, j] = spread[:, j, i] = factor * (batch.column(f"{level}q{i}_{j}").to_numpy() / np.maximum(n, 1) - own[:, i] * own[:, j])
+                share = n / (n + prior) if level != "a_" else np.ones(len(n))
+                mean = share[:, None] * own + (1 - share)[:, None] * mean
+                scatter = share[:, None, None] * spread + (1 - share)[:, None, None] * scatter
+            inverse = np.linalg.inv(scatter + np.diag(np.square(floors)))
+            packed = np.stack([inverse[:, i, j] for i, j in _pairs()], axis=1)
+            before = np.array([x if x is not None else [np.inf] * p for x in batch.column("mean").to_pylist()])
+            apart = mean - before
+            moved = np.einsum("ri,rij,rj->r", apart, inverse, apart)
+            lists = [pa.array(list(np.round(x, 12)), pa.list_(pa.float64())) for x in (mean, packed)]
+            yield pa.RecordBatch.from_arrays([batch.column("g_lang"), batch.column("g_source"), *lists, pa.array(moved)], names=["p_lang", "p_source", "mean", "inverse", "moved"])
+
+    return sums.mapInArrow(run, "p_lang string, p_source string, mean array<double>, inverse array<double>, moved double")
+
+
+def concentrated(good: DataFrame, groups: DataFrame, params: DataFrame, share: float, factor: float, floors: tuple[float, ...], prior: float) -> DataFrame:
+    """The next estimates of ``groups``: one aggregation of the rows by group and binned distance, then only its sums."""
+    near = _matched(good, params, "g_lang", "g_source", "inner").withColumn("bin", F.floor(F.log1p(F.greatest(_quadratic("mean", "inverse"), F.lit(0.0))) * _BINS[1]).cast("int"))
+    moments = [F.count("*").alias("n"), *(F.sum(F.col(s)).alias(f"s{i}") for i, s in enumerate(STATS)), *(F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}_{j}") for i, j in _pairs())]
+    binned = near.groupBy("g_lang", "g_source", "bin").agg(*moments)
+    group = Window.partitionBy("g_lang", "g_source")
+    before = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    # a bin counts if the share is not reached before it
+    inner = binned.withColumns({"before": before, "all": F.sum("n").over(group)}).filter(F.col("before") < F.lit(share) * F.col("all"))
+    sums = inner.groupBy("g_lang", "g_source").agg(*(F.sum(c).alias(c) for c in _SUMS)).withColumnsRenamed({"g_lang": "p_lang", "g_source": "p_source"})
+    every = _matched(groups, sums, "g_lang", "g_source").fillna(0, _SUMS).fillna(0.0, _SUMS)
+    every = _matched(_with_parents(every, _SUMS), params.drop("moved"), "g_lang", "g_source")
+    return _estimated(every, factor, floors, prior)
+
+
+def estimates(good: DataFrame, groups: DataFrame, share: float, steps: int, floors: tuple[float, ...], prior: float) -> DataFrame:
+    """``p_lang, p_source, mean, inverse`` of all ``groups`` from the rows that pass the base rules."""
+    p = len(STATS)
+    factor = share / chi2_cdf(chi2_quantile(share, p), p + 2)
+    rows = written(_levels(good).select("g_lang", "g_source", *STATS), "levels")
+    binned = [F.percentile(F.least(F.round(F.col(s) * _BINS[0]) / _BINS[0], F.lit(_TOP)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(s) for s in STATS]
+    quartiles = rows.groupBy("g_lang", "g_source").agg(*binned)
     spread = [F.pow((F.col(s)[2] - F.col(s)[0]) / 1.349, 2) + F.lit(f * f) for s, f in zip(STATS, floors, strict=True)]
     packed = [1 / spread[i] if i == j else F.lit(0.0) for i, j in _pairs()]
-    start = quartiles.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), F.array(*(F.col(s)[1] for s in STATS)).alias("mean"), F.array(*packed).alias("inverse"))
+    start = quartiles.select(F.col("g_lang").alias("p_lang"), F.col("g_source").alias("p_source"), F.array(*(F.col(s)[1] for s in STATS)).alias("mean"), F.array(*packed).alias("inverse"))
     params = written(start, "centres")
     for _ in range(steps):
-        near = _joined(good, params).withColumn("d", _quadratic("mean", "inverse"))
-        cut = near.groupBy("g_lang", "g_source").agg(F.percentile_approx("d", share, 10_000).alias("cut")).withColumnsRenamed({"g_lang": "cl", "g_source": "cs"})
-        inner = near.join(cut, near["g_lang"].eqNullSafe(cut["cl"]) & near["g_source"].eqNullSafe(cut["cs"])).filter("d <= cut")
-        new = written(_inverted(_sums(inner), factor, floors), "centres")
+        new = written(concentrated(rows, groups, params, share, factor, floors, prior), "centres")
         discard(params)
         params = new
-    last = params.withColumnsRenamed({"lang": "pl", "source": "ps"})
-    out = rows.join(last, rows["g_lang"].eqNullSafe(last["pl"]) & rows["g_source"].eqNullSafe(last["ps"]), "left")
-    out = out.withColumn("distance", _quadratic("mean", "inverse")).drop("pl", "ps", "mean", "inverse", "g_lang", "g_source")
-    accepted = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi2_quantile(1 - p_reject, p))
-    return out.withColumn("kept", accepted)
+        if (params.agg(F.max("moved").alias("most")).first()["most"] or 0.0) < STILL:
+            break
+    discard(rows)
+    return params
+
+
+def judged(table: DataFrame, share: float = 0.75, steps: int = 20, p_reject: float = 1e-7, prior: float = 100.0, min_words: int = 20, max_repeat: int = 30, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    """Stored counts with ``base_failed``, ``distance`` (squared) and ``kept``; other columns stay.
+
+    Only rows that pass the base rules enter the estimates. Steps end when
+    all centres stand still, after ``steps`` at most.
+    """
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+    bare = table.select("lang", "source", *_BASE).withColumn("base_failed", failed)
+    usual = written(usual_rates(bare, prior), "usual")
+    good = vectors(bare.filter("not base_failed"), usual)
+    groups = written(_levels(bare.select("lang", "source").distinct()).select("g_lang", "g_source").distinct(), "quality-groups")
+    last = estimates(good, groups, share, steps, floors, prior).drop("moved")
+    out = _matched(vectors(table.withColumn("base_failed", failed), usual), last, "lang", "source")
+    out = out.withColumn("distance", _quadratic("mean", "inverse")).drop("mean", "inverse")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(1 - p_reject, len(STATS))))
 
 
 def accepted(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, with their own columns."""
-    (row,) = unused(docs, "row")
-    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text", "lang", "source"))
-    table = written(counts(keyed.select(F.col(row).alias("doc_id"), "text", "lang", "source")), "counts", texts=True)
-    kept = written(judged(table, **options).filter("kept").select(F.col("doc_id").alias(row)).distinct(), "kept")
-    return keyed.join(kept, row, "left_semi").select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    parts = lambda batch: [batch.column(0).field(c) for c in ("text", "lang", "source")]
+    table = written(_counted(whole, f"doc {whole.schema['doc'].dataType.simpleString()}", parts), "counts", texts=True)
+    return judged(table, **options).filter("kept").select("doc.*")
 
 
 def quality(docs: DataFrame, **options) -> DataFrame:
