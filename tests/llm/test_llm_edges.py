@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -281,13 +282,51 @@ def test_decontamination(spark, odd, none):
     words = item.split()
     texts = {20: f"lead in, {item.upper()}! and out", 21: " ".join(words[:-1]), 22: " ".join(words[:8]), 23: item.replace(" ", "\n"), 24: "here are two, words", 25: f"{' '.join(words[:12])} extra {' '.join(words[12:])}"}
     both = odd.unionByName(spark.createDataFrame([(k, v, "en", "a") for k, v in texts.items()], SCHEMA), allowMissingColumns=True)
-    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contaminated(both, bench).collect()}
+    found = decontamination.contaminated(both, bench).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found}
+    assert len(found) == len(got)  # of equally similar windows the first, and of repeated items one
     assert got == {(20, 1): 1.0, (21, 1): 0.95, (23, 1): 1.0, (24, 4): 1.0}
     clean = decontamination.clean(both, bench)
     assert clean.columns == both.columns and clean.count() == both.count() - 4
     assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(both, bench.limit(0)).count() == 0
 
 
+def plain_windows(text, item, k=5):
+    """The best similarity over every window of a text, by counting."""
+    a, b = (re.findall(r"[^\W_]+", x.lower()) for x in (text, item))
+    of = lambda words: Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    want, best = of(b), 0.0
+    for start in range(max(1, len(a) - k + 1)):
+        got = of(a[start : start + len(b)])
+        both = (got & want).total()
+        best = max(best, both / (got.total() + want.total() - both))
+    return best
+
+
+def test_decontamination_equals_every_window(spark):
+    rng = np.random.default_rng(31)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 4000, size=n)]
+    items = [some(n) for n in (8, 20, 40, 46, 59)] + [["again"] * 4 + some(6) + ["again"] * 9]
+    texts = []
+    for k, item in enumerate(items):
+        half = len(item) // 2
+        for lead in (0, 3, 70):
+            for body in (item, item[half:] + item[:half], item[:half] + some(1) + item[half:], item[: len(item) * 9 // 10], item * 40, item[:half] * 2, some(2) + item[3:]):
+                texts.append((len(texts), " ".join(some(lead) + body + some(rng.integers(0, 30)))))
+    bench = [(k, " ".join(x)) for k, x in enumerate(items)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contaminated(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    every = {(d, i): plain_windows(t, x) for d, t in texts for i, x in bench}
+    want = {k: round(v, 6) for k, v in every.items() if v >= 0.8}
+    assert len(want) > 60 and got == want
+
+
+def test_many_items_of_one_length(spark):
+    bench = spark.range(20_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.concat(F.lit("v"), F.pmod(F.xxhash64("id", k), F.lit(5000))))).alias("text"))
+    docs = bench.filter("item_id % 500 = 3").select((F.col("item_id") + 7).alias("doc_id"), F.concat(F.lit("some words before "), "text", F.lit(" and behind")).alias("text"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()) == [(k + 7, k) for k in range(3, 20_000, 500)]
+
+
 def test_secret_candidates_whose_digit_stands_anywhere():
     rng = np.random.default_rng(3)
     letters = list("QWERTYUIOPASDFGHJKLZXCVBNMqwertyuiopasdfghjklzxcvbnm")

@@ -55,9 +55,9 @@ keys AS (SELECT item_id, n, off, array_to_string(w[off + 1 : off + 5], ' ') AS g
 docs AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 ats AS (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS pos FROM docs WHERE len(w) >= 5),
 dk AS (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS g FROM ats),
-starts AS (SELECT DISTINCT doc_id, item_id, n, pos - off AS start FROM dk JOIN keys USING (g)),
+starts AS (SELECT DISTINCT doc_id, item_id, n, pos AS start FROM dk JOIN keys USING (g)),
 inside AS (
-  SELECT s.doc_id, s.item_id, s.n, greatest(s.start, 0) AS start, dk.g
+  SELECT s.doc_id, s.item_id, s.n, s.start, dk.g
   FROM starts s JOIN dk ON dk.doc_id = s.doc_id AND dk.pos >= s.start AND dk.pos <= s.start + s.n - 5),
 a AS (SELECT doc_id, item_id, n, start, g, count(*) AS c FROM inside GROUP BY ALL),
 b AS (SELECT item_id, g, count(*) AS c FROM keys GROUP BY ALL),
