@@ -78,7 +78,10 @@ def counts_similarity(a: Column, b: Column) -> Column:
     def times(xs: Column, x: Column) -> Column:
         return F.size(F.filter(xs, lambda y: y == x))
 
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+    counted = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+    # where one list repeats nothing, the lesser count of what both have is one
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    both = F.when(plain, F.size(F.array_intersect(a, b))).otherwise(counted)
     return both / (F.size(a) + F.size(b) - both)
 
 
@@ -112,7 +115,8 @@ def windows(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> Dat
     laid = parts.select("row", F.explode(F.transform(F.filter("starts", enough), lambda x: F.struct("item_id", "item_row", "m", x.alias("start")))).alias("w"))
     laid = written(laid, "windows-laid")
     of_row = laid.groupBy("row").agg(F.collect_list("w").alias("laid"))
-    again = docs.join(of_row, "row").select("row", "doc_id", "laid", shingles_of(words_of(F.col("text")), k).alias("shingles"))
+    # texts are dealt by their row at every size: what is laid grows with the corpus, so it is never broadcast
+    again = docs.join(of_row.hint("merge"), "row").select("row", "doc_id", "laid", shingles_of(words_of(F.col("text")), k).alias("shingles"))
     cut = F.transform("laid", lambda w: F.struct(w["item_id"].alias("item_id"), w["item_row"].alias("item_row"), w["start"].alias("window_start"), F.slice(F.col("shingles"), w["start"] + 1, w["m"]).alias("window")))
     return again.select("row", "doc_id", F.inline(cut))
 
