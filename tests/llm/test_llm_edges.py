@@ -395,7 +395,7 @@ def test_licences(spark, odd, none):
     texts = {40: "x\nReleased under the MIT License.\ny", 41: "renew your fishing license soon", 42: "Licensed under the Zorbex Public License, version 9."}
     both = odd.unionByName(spark.createDataFrame([(k, v, "en", "a") for k, v in texts.items()], SCHEMA), allowMissingColumns=True)
     got = {(r["doc_id"], r["paragraph"]): r["family"] for r in licences.scanned(both).collect()}
-    assert got == {(40, 1): "mit", (41, 0): "unknown", (42, 0): "unknown"}
+    assert got == {(40, 1): "mit", (42, 0): "unknown"}
     assert licences.scanned(none).count() == 0
 
 

@@ -1,6 +1,7 @@
 """The registered queries of the subpackage: oracles and brute force on the smallest tables."""
 
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -254,16 +255,55 @@ def test_op1_finds_the_notices(spark, data, docs):
     assert want and {k: got.get(k) for k in want} == want
 
 
-def test_op1_scores_equal_the_classifier(spark):
+def plain_licences(text, model):
+    """``paragraph: (last line, length, family, predicted, probability, template, similarity)`` of a text, paragraph by paragraph."""
+    templates = defaultdict(set)
+    for r in lic.template_grams():
+        templates[r["family"], r["template"]].add(r["gram"])
+    lines = text.split("\n")
+    bare = [re.sub(lic._MARKS, "", x, flags=re.ASCII).strip(" ") for x in lines]
+    spans = [(k, k, x) for k, x in enumerate(lines)]
+    at = 0
+    for k in range(len(bare) + 1):
+        if k == len(bare) or not bare[k]:
+            if k - at > 1:
+                spans.append((at, k - 1, " ".join(bare[at:k]).strip(" ")))
+            at = k + 1
+    found = []
+    for first, last, line in spans:
+        words = lic.tokens(line)
+        own = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)}
+        shares = {key: len(own & grams) / len(grams) for key, grams in templates.items()}
+        if not any(shares.values()):
+            continue
+        p = model.probabilities([line])[0]
+        best = lic.CLASSES[int(p.argmax())]
+        share, template = max([(x, t) for (family, t), x in shares.items() if family == best and x], default=(0.0, None))
+        sure = best != "unknown" and p.max() >= model.least and share >= lic.CONFIRM
+        found.append((first, last, len(line), best if sure else "unknown", best, round(float(p.max()), 6), template, round(share, 6)))
+    one = [r for r in found if r[0] == r[1]]
+    several = [r for r in found if r[0] < r[1] and r[3] != "unknown" and not any(x[3] == r[3] and r[0] <= x[0] <= r[1] for x in one)]
+    rest = [r for r in one if r[3] != "unknown" or not any(x[0] <= r[0] <= x[1] for x in several)]
+    return [(r[0], *r[2:]) for r in rest + several]
+
+
+@pytest.mark.parametrize("made", [False, True])
+def test_op1_equals_brute_force(spark, made):
     model = lic.trained()
-    texts, _ = lic.paragraphs(2, seed=77)
-    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: (r["predicted"], r["probability"]) for r in lic.scanned(table).collect()}
-    p = model.probabilities(texts)
-    cued = [k for k, t in enumerate(texts) if any(c in t.lower() for c in lic.CUES)]
-    assert sorted(got) == cued
-    for k in cued:
-        assert got[k][0] == lic.CLASSES[int(p[k].argmax())] and abs(got[k][1] - p[k].max()) < 1e-5
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    if made:  # notices wrapped at any width, with comment marks and prose around
+        rng, texts = np.random.default_rng(3), lic.paragraphs(6, seed=77)[0]
+        docs = []
+        for k, text in enumerate(texts):
+            wrapped = textwrap.wrap(text, int(rng.integers(20, 90)))
+            mark = ("", "# ", "// ", " * ")[k % 4]
+            docs.append((k, "\n".join(["some prose", ""][: k % 3] + [mark + x for x in wrapped] + ["", "other prose"][: k % 2 + 1])))
+        table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = lic.scanned(table, model) if made else queries.QUERIES["op1_licence_scan"](spark, "/root/testdata/sf0.01")
+    got = [tuple(r[c] for c in ("doc_id", "paragraph", "length", "family", "predicted", "probability", "template", "similarity")) for r in found.collect()]
+    want = [(doc, *r) for doc, text in docs for r in plain_licences(text, model)]
+    close = lambda rows: sorted((*r[:5], round(r[5], 5), *r[6:]) for r in rows if r[6]) + sorted((*r[:5], round(r[5], 5), r[7]) for r in rows if not r[6])
+    assert want and close(got) == close(want)
 
 
 def test_op1_held_out_accuracy():

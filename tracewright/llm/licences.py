@@ -1,21 +1,28 @@
 """Licence scans by a trained paragraph classifier.
 
-Paragraphs (lines, and runs of lines) with a licence cue are scored by a sparse multinomial
+Paragraphs (lines, and runs of lines) are scored by a sparse multinomial
 logistic regression on the presence of word n-grams (one to three words). Its
 classes are the licence families and ``unknown``; it is trained here on
-paragraphs made from public notice wordings and from ordinary prose with the
-same cue words. A temperature and a least probability are calibrated on
-held-out paragraphs so that at most ``FALSE_ACCEPT`` of the unknown ones pass.
-What passes is confirmed by comparison with the family's templates: the share
-of a template's word trigrams that the paragraph has must reach ``CONFIRM``.
+paragraphs made from public notice wordings and from ordinary prose about the
+same things. A temperature and a least probability are calibrated on held-out
+paragraphs so that at most ``FALSE_ACCEPT`` of the unknown ones pass. What
+passes is confirmed by comparison with the family's templates: the share of a
+template's word trigrams that the paragraph has must reach ``CONFIRM``.
 
-Training happens once on the driver over a fixed training set (nothing of the
-corpus is in it). Scoring uses only DataFrame functions: n-grams meet a table
-of weights (at most ``MAX_FEATURES`` n-grams) and one of template trigrams.
+A paragraph that shares no trigram with any template can't be confirmed, so it
+is unknown whatever its scores; only the others are scored and reported. This
+is looked up by hashes of word trigrams, first for whole texts.
 
-Nulls and odd rows: null and empty texts and paragraphs without a cue give
-nothing; rows repeated in full (same id and text) are reported once; extra
-columns are ignored; an empty table gives an empty result.
+Training happens once on the driver over a fixed training set (nothing of the
+corpus is in it), and every n-gram with a weight is kept. Scoring uses only
+DataFrame functions: n-grams meet a table of weights and one of template
+trigrams, both of a size that the training set fixes.
+
+Nulls and odd rows: null and empty texts and paragraphs without a template's
+trigram give nothing; very long texts, lines and runs are scored whole; of
+equally likely classes the first of ``CLASSES`` wins, of equally similar
+templates the last by name; rows repeated in full (same id and text) are
+reported once; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,14 +36,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
-MAX_FEATURES = 1200
+#: Training paragraphs that an n-gram of the model stands in, at least.
+LEAST_SEEN = 3
 FALSE_ACCEPT = 0.01
 CONFIRM = 0.5
-#: Words that a licence paragraph has at least one of.
-CUES = ("licen", "copyright", "copyleft", "creative commons", "public domain", "cc by", "cc-by", "cc0", "all rights reserved", "hereby granted", "spdx", "gpl", "redistribut", "warrant", "released under")
-
 #: Comment marks around a line.
 _MARKS = r"^[\s\x00]*(?:(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|>+)[\s\x00]*)+|[\s\x00]*(?:\*+/|-->|\*+)?[\s\x00]*$"
 
@@ -59,7 +64,7 @@ TEMPLATES = {
     "proprietary": ("All rights reserved.", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited. All rights reserved."),
 }
 CLASSES = (*TEMPLATES, "unknown")
-#: Prose with cue words that is no licence.
+#: Prose about licences and rights that is no licence.
 _UNKNOWN = ("the driver had to renew a license before the trip", "a fishing license costs twenty dollars a year", "the police checked the license plate of the car", "she holds a medical license in three states", "the warranty covers parts and labour for two years", "the court decided the copyright case last week", "copyright law changes slowly", "the bar lost its liquor license", "the search warrant was signed by a judge", "the public domain name system was down", "they plan to redistribute the land among farmers", "our licensing team met the customers", "the license agreement was discussed at the meeting", "poetic license lets a writer bend the facts", "he was licensed as a pilot in the spring", "the permit was hereby granted to the mayor", "the software asked for a license key at startup", "warranted or not the claim was repeated", "a marriage license is issued by the county", "the copyright office opened at nine", "licensed under state law the broker sells houses", "the film was released under another title", "the prisoner was released under supervision", "the album was released under a new label")
 _FILLER = "the of and a to in is was for on that with as by at from it an be are this have or had not but what all were when we there can said which do how if will each about up out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part".split()
 
@@ -134,7 +139,7 @@ def trained() -> Classifier:
     for s in sets:
         for g in s:
             seen[g] = seen.get(g, 0) + 1
-    vocabulary = {g: k for k, g in enumerate(sorted(sorted(g for g in seen if seen[g] >= 3), key=lambda g: -seen[g])[:MAX_FEATURES])}
+    vocabulary = {g: k for k, g in enumerate(sorted(g for g in seen if seen[g] >= LEAST_SEEN))}
     x = np.zeros((len(texts), len(vocabulary)), dtype=np.float32)
     for row, s in enumerate(sets):
         x[row, [vocabulary[g] for g in s if g in vocabulary]] = 1.0
@@ -192,11 +197,28 @@ def _grams(words: Column) -> Column:
     return F.element_at(F.transform(F.array(words), runs), 1)
 
 
-def cued(text: Column) -> Column:
-    low, out = F.lower(text), F.lit(False)
-    for cue in CUES:
-        out = out | low.contains(cue)
-    return out
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
+
+
+def trigram_hashes(words: Column) -> Column:
+    """Hashes of all word trigrams."""
+
+    def of(bound: Column) -> Column:
+        n = F.size(bound) - F.lit(3)
+        at = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(*(F.get(bound, i + j) for j in range(3))))
+
+    return F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), of), 1)
+
+
+def templated(spark: SparkSession):
+    """A condition on a text: it has a trigram of some template (all templates have three words or more)."""
+    grams = F.split(F.lit("|".join(sorted({r["gram"] for r in template_grams()}))), r"\|")
+    known = spark.range(1).select(F.flatten(F.transform(grams, lambda g: trigram_hashes(F.split(g, " ")))).alias("h")).first()["h"]
+    hashes = sorted(set(known))  # a few hundred
+    values = F.from_json(F.lit(json.dumps(hashes)), "array<bigint>")
+    return lambda text: F.arrays_overlap(trigram_hashes(words_of(text)), values)
 
 
 def wrapped(text: Column) -> Column:
@@ -211,14 +233,14 @@ def wrapped(text: Column) -> Column:
     number = "\x01([0-9]+)\x02"
 
     def of(x: Column) -> Column:
-        line = F.trim(F.regexp_replace(x, "\n?\x01[0-9]+\x02", " "))
+        line = F.btrim(F.regexp_replace(x, "\n?\x01[0-9]+\x02", " "), F.lit(" \n"))
         return F.struct(F.regexp_extract(x, number, 1).cast("int").alias("first"), F.regexp_extract(x, f"{number}[^\x01]*$", 1).cast("int").alias("last"), line.alias("line"))
 
     return F.transform(runs, of)
 
 
 def scanned(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """Every paragraph with a cue: ``doc_id, paragraph, length, family, predicted, probability, template, similarity``.
+    """Every paragraph with a trigram of a template: ``doc_id, paragraph, length, family, predicted, probability, template, similarity``.
 
     ``family`` is ``unknown`` unless the classifier and a template agree. Each
     line is a paragraph, numbered from 0. A run of lines is one too, under the
@@ -230,17 +252,19 @@ def scanned(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     inverse = sorted(model.vocabulary, key=model.vocabulary.get)
     weights = _literal(spark, [{"gram": g, "w": model.weights[k].tolist()} for k, g in enumerate(inverse) if model.weights[k].any()], "gram:string,w:array<double>", "licence-weights")
     templates = _literal(spark, template_grams(), "gram:string,family:string,template:string,of:int", "licence-templates")
-    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
-    lines = texts.filter(cued(F.col("text"))).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    has = templated(spark)
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").filter(has(F.col("text")))
+    texts = written(texts, "licence-texts")
+    lines = texts.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     runs = texts.filter(F.col("text").contains("\n")).select("doc_id", "row", F.explode(wrapped(F.col("text"))).alias("run")).select("doc_id", "row", F.col("run.first").alias("paragraph"), F.col("run.last").alias("last"), "run.line")
     lines = lines.select("doc_id", "row", "paragraph", F.col("paragraph").alias("last"), "line")
-    found = lines.unionByName(runs).filter(cued(F.col("line"))).distinct()
+    found = lines.unionByName(runs).filter(has(F.col("line"))).distinct()
     found = written(found, "licence-paragraphs")
+    discard(texts)
     key = ["doc_id", "row", "paragraph", "last"]
-    words = F.regexp_extract_all(F.lower("line"), F.lit(r"[a-z0-9]+"), F.lit(0))
-    each = found.select(*key, F.explode(_grams(words)).alias("gram"))
-    # at most MAX_FEATURES and len(template_grams()) rows: fixed by the training set, not by the corpus
-    logits = each.join(F.broadcast(weights), "gram").dropDuplicates([*key, "gram"]).groupBy(*key).agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(n)))
+    each = found.select(*key, F.explode(F.array_distinct(_grams(words_of(F.col("line"))))).alias("gram"))
+    # a few thousand and len(template_grams()) rows: fixed by the training set, not by the corpus
+    logits = each.join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(n)))
     scaled = F.array(*((F.coalesce(F.col(f"z{c}"), F.lit(0.0)) + F.lit(float(model.bias[c]))) / F.lit(model.temperature) for c in range(n)))
     logits = logits.withColumnsRenamed({k: f"l_{k}" for k in key})
 
@@ -251,7 +275,7 @@ def scanned(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     top = F.array_max("z")
     scored = scored.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda s, z: s + F.exp(z - top)))
     scored = scored.withColumn("best", F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("z", top).cast("int")))
-    met = each.join(F.broadcast(templates), "gram").dropDuplicates([*key, "template", "gram"]).groupBy(*key, "family", "template", "of").agg((F.count("*") / F.col("of")).alias("share"))
+    met = each.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template", "of").agg((F.count("*") / F.col("of")).alias("share"))
     closest = met.groupBy(*key, "family").agg(F.max(F.struct("share", "template")).alias("t"))
     closest = closest.select(*(F.col(k).alias(f"k_{k}") for k in key), "family", "t.share", "t.template")
     out = scored.join(closest, same(scored, closest, "k") & (scored["best"] == closest["family"]), "left")
