@@ -248,19 +248,55 @@ def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(5)
     for _ in range(300):
         pool = np.unique(rng.integers(0, 2**63, size=int(rng.integers(1, 60)), dtype=np.uint64))
-        common = (pool[::2], np.arange(len(pool[::2])) + 4)
+        common = rng.integers(0, 9, size=16)
         a, b = (pool[np.sort(rng.permutation(len(pool))[: max(1, round(len(pool) * 0.9))])] for _ in range(2))
         if simhash.similar(a, b, 0.8):
             assert np.intersect1d(simhash.prefix(a, 0.8, common), simhash.prefix(b, 0.8, common)).size
 
 
-def test_single_linkage_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP_TEXTS", 3)
-    words = [f"w{k}" for k in range(120)]
-    texts = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in range(0, 100, 10)]
-    members = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "component long, key long, text string")
-    roots = components.connected(simhash.verified_links(members, 0.8, 5)).collect()
-    assert len({r["root"] for r in roots}) == 1 and len(roots) == len(texts)
+def test_hot_near_copies_and_hot_shingles(spark, monkeypatch):
+    """A large group of near copies of one text, most of them not similar to each other, and a passage that all texts share."""
+    monkeypatch.setattr(simhash, "GROUP_TEXTS", 20)
+    rng = np.random.default_rng(7)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, size=n)]
+    passage, origin = some(30), some(200)
+    texts = [" ".join(origin)]
+    for _ in range(150):
+        words = list(origin)
+        for at in rng.choice(200, size=3, replace=False):
+            words[at] = some(1)[0]
+        texts.append(" ".join(words))
+    texts += [" ".join(some(rng.integers(3, 60)) + passage) for _ in range(100)]
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and simhash.similar(sets[i], sets[j], 0.8):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and len(set(root)) < 110
+
+
+def test_recall_on_the_tables(spark):
+    """No pair of distinct texts at Jaccard 0.8 on five words stays in sf0.01."""
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in docs]
+    by: dict[int, list[int]] = {}
+    for k, s in enumerate(sets):
+        for h in s.tolist():
+            by.setdefault(h, []).append(k)
+    met = {(i, j) for at in by.values() if len(at) > 1 for i, j in itertools.combinations(at, 2)}
+    links = [(docs[i][0], docs[j][0]) for i, j in met if simhash.similar(sets[i], sets[j], 0.8)]
+    assert len(links) > 20
+    root = {d: d for d, _ in docs}
+    for a, b in links:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {d: new if r == old else r for d, r in root.items()}
+    empty = [d for d, t in docs if not t.split()]
+    root.update({d: min(empty) for d in empty})
+    kept = simhash.deduplicated(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, r in root.items() if d == r)
 
 
 def test_components_of_long_chains(spark):
@@ -491,3 +527,24 @@ def test_pipeline_stages(spark, data):
     assert docs.filter(F.col("text").rlike('token = "[0-9a-fA-F]{40}"')).count() == 0
     assert decontamination.contaminated(docs, spark.read.parquet(f"{data}/benchmark.parquet")).count() == 0
     assert corpus_pipeline.run(spark, data).select("doc_id").distinct().count() == before
+
+
+def test_pipeline_of_odd_rows(spark, data, odd, none, tmp_path):
+    bench = spark.read.parquet(f"{data}/benchmark.parquet")
+    leaked = bench.orderBy("item_id").first()["text"]
+    rng = np.random.default_rng(17)
+    prose = " ".join("".join(rng.choice(list("aeioulnrst"), size=5)) for _ in range(400))
+    rows = [(60, prose, "en", "a"), (60, prose, "en", "a"), (61, prose + " more", None, None), (None, f"{prose[:900]} {leaked} {prose[900:1500]}", "en", "a"), (63, prose[::-1] + ' api_key = "9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c"', "en", "a")]
+    both = odd.unionByName(spark.createDataFrame(rows, SCHEMA), allowMissingColumns=True)
+    for name, docs, items in (("odd", both, bench), ("none", both.limit(0), bench), ("free", both, bench.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for label, stage in corpus_pipeline.STAGES[:-1]:
+            docs = shared.written(stage(spark, docs, f"{tmp_path}/{name}"), label)
+            assert docs.columns == both.columns
+        got = {r["doc_id"]: r["text"] for r in docs.collect()}
+        want = {"odd": {60, 63}, "none": set(), "free": {60, 63, None}}[name]
+        assert docs.count() == len(got) and want <= set(got) <= want | {7, 8}
+        assert name == "none" or secrets.MARK in got[63]
+        assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()} == set(got)

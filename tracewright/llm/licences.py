@@ -282,6 +282,7 @@ def scanned(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     sure = (F.col("best") != "unknown") & (F.col("probability") >= model.least) & (F.coalesce("share", F.lit(0.0)) >= CONFIRM)
     out = out.select(*key, "length", F.when(sure, F.col("best")).otherwise(F.lit("unknown")).alias("family"), F.col("best").alias("predicted"), F.round("probability", 6).alias("probability"), "template", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("similarity"))
     out = written(out, "licence-scores")
+    discard(found, weights, templates)
     one, known = out.filter("paragraph = last"), F.col("family") != "unknown"
 
     def inside(line: str, run: str) -> Column:

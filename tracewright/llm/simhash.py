@@ -20,6 +20,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 from math import ceil, comb
 
@@ -36,10 +37,12 @@ from .shared import discard, unused, written
 BLOCK_ROWS = 16_384
 #: Cost of shuffling one probe, in candidate comparisons.
 PROBE_COST = 80.0
-#: Texts of one Hamming component that one task compares with as many others.
-GROUP_TEXTS = 1500
-#: Shingles that are counted as common, at most.
-FREQUENT = 1 << 17
+#: Texts of a Hamming component that all its texts are compared with.
+PIVOTS = 2
+#: Texts that one task compares with the same text, or that share a prefix shingle there, in the mean.
+GROUP_TEXTS = 2048
+#: Cells that shingles are counted in, to take the common ones last.
+CELLS = 1 << 22
 #: Candidates that are compared at a time.
 _CHUNK = 1 << 18
 
@@ -356,8 +359,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles (all words where it has fewer)."""
     words = text.lower().split()
-    k = min(shingle, len(words))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1) if k), dtype=np.uint64))
+    n, k = len(words), min(shingle, len(words))
+    if not n:
+        return np.empty(0, dtype=np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths).tolist()
+    made = b"".join([digest(joined[a:b]) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=False)])
+    return np.unique(np.frombuffer(made, dtype=">u8").astype(np.uint64))
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -371,85 +381,54 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def single_linkage(sets: list[np.ndarray], least: float) -> list[int]:
-    """For each set the least index it is chained to; pairs that are chained already are not compared."""
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i in range(len(sets)):
-        for j in range(i):
-            a, b = find(i), find(j)
-            if a != b and similar(sets[i], sets[j], least):
-                root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(sets))]
-
+def pivot_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of texts ``component, _text, fp``: every text with the ``PIVOTS`` nearest to its component's majority of bits.
 
-def verified_links(members: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Links ``a, b`` between texts (``component, key, text``) of a component whose shingle sets are similar.
-
-    A component of up to ``GROUP_TEXTS`` texts is compared in one task. The
-    texts of a larger one are dealt in blocks and every two blocks meet in a
-    task, so each pair is still compared somewhere.
+    Copies that were made from one text differ less from it than from each
+    other, and its fingerprint is about the majority. Linear in the texts.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / GROUP_TEXTS).cast("int")).drop("n")
-    rows = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("key", F.lit(5)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("component", "key", "text", "block", other)
-    rows = rows.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "key", F.col("text").cast("binary").alias("text"))
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "component", "one", "two").sortWithinPartitions("component", "one", "two", "key")
+    bits = [F.sum(F.getbit("fp", F.lit(k)).cast("long")).alias(f"b{k}") for k in range(64)]
+    sums = members.groupBy("component").agg(F.count("*").alias("n"), *bits)
+    major = F.lit(0).cast("long")
+    for k in range(64):
+        major = major.bitwiseOR(F.when(2 * F.col(f"b{k}") > F.col("n"), F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long"))
+    apart = members.join(sums.select("component", major.alias("major")), "component").withColumn("apart", F.bit_count(F.col("fp").bitwiseXOR(F.col("major"))))
+    nth = F.row_number().over(Window.partitionBy("component").orderBy("apart", "_text"))
+    pivots = apart.select("component", "_text", nth.alias("nth")).filter(F.col("nth") <= PIVOTS).select("component", F.col("_text").alias("pivot"))
+    pairs = members.select("component", "_text").join(pivots, "component").filter("pivot != _text")
+    return pairs.select(F.least("pivot", "_text").alias("one"), F.greatest("pivot", "_text").alias("two"), F.col("pivot").alias("a"), F.col("_text").alias("b")).dropDuplicates(["one", "two"]).select("a", "b")
+
+
+def shingle_cells(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all texts (``text``) fall into each of ``CELLS`` cells; that many sums reach the driver."""
+    ranges = 64
+    width = CELLS // ranges
 
     def run(batches):
-        group, keys, sets = None, [], []
-
-        def out():
-            roots = single_linkage(sets, least)
-            found = [(keys[i], keys[r]) for i, r in enumerate(roots) if i != r]
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
+        found = np.zeros(CELLS, dtype=np.uint32)
         for batch in batches:
-            for component, one, two, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if keys and (component, one, two) != group:
-                    yield out()
-                    keys, sets = [], []
-                group = (component, one, two)
-                keys.append(key), sets.append(shingle_set(text or b"", shingle))
-        if keys:
-            yield out()
-
-    return dealt.mapInArrow(run, "a long, b long")
+            for t in batch.column(0).to_pylist():
+                np.add.at(found, (shingle_set(t or b"", shingle) & np.uint64(CELLS - 1)).astype(np.int64), 1)
+        packed = [zlib.compress(found[k * width : (k + 1) * width].tobytes(), 1) for k in range(ranges)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), pa.array(packed, pa.binary())], names=["part", "cells"])
 
+    def total(pdf):
+        both = sum(np.frombuffer(zlib.decompress(x), dtype=np.uint32).astype(np.uint64) for x in pdf["cells"])
+        return pdf[["part"]].head(1).assign(cells=zlib.compress(both.tobytes(), 1))
 
-def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the commonest shingles and their counts in one of eight texts; at most ``FREQUENT`` reach the driver."""
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t or b"", shingle) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["key"])
+    parts = written(texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, cells binary"), "cells", texts=True)
+    out = np.zeros(CELLS, dtype=np.uint64)
+    for r in parts.groupBy("part").applyInPandas(total, "part int, cells binary").collect():
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["cells"]), dtype=np.uint64)
+    discard(parts)
+    return np.minimum(out, 2**32 - 1).astype(np.uint32)
 
-    some = texts.filter(F.pmod("_text", F.lit(8)) == 0).select(F.col("text").cast("binary").alias("text"))
-    counts = written(some.mapInArrow(run, "key long").groupBy("key").count().filter("count >= 4"), "counts", texts=True)
-    rows = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
-    discard(counts)
-    keys = np.array([r["key"] for r in rows], dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.array([r["count"] for r in rows], dtype=np.int64)[order]
 
-
-def prefix(hashes: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a sorted set, common ones last: two sets of Jaccard ``least`` share one of them."""
+def prefix(hashes: np.ndarray, least: float, cells: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, those of full cells last: two sets of Jaccard ``least`` share one of them."""
     n = len(hashes)
-    keys, counts = frequent
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        hashes = hashes[np.lexsort((hashes, np.where(keys[at] == hashes, counts[at], 0)))]
-    return hashes[: n - ceil(least * n - 1e-9) + 1]
+    order = np.lexsort((hashes, cells[(hashes & np.uint64(len(cells) - 1)).astype(np.int64)]))
+    return hashes[order][: n - ceil(least * n - 1e-9) + 1]
 
 
 def _whole_keys(batches):
@@ -471,12 +450,12 @@ def _whole_keys(batches):
 
 def shared_prefixes(texts: DataFrame, least: float, shingle: int) -> DataFrame:
     """``key, n, place, _text``: the prefix shingles that several texts have, the size of the set and the place in it."""
-    frequent = frequent_shingles(texts, shingle)
+    cells = texts.sparkSession.sparkContext.broadcast(shingle_cells(texts, shingle))  # 16 MB whatever the corpus
 
     def spread(batches):
         for batch in batches:
             sets = [shingle_set(t or b"", shingle) for t in batch.column(1).to_pylist()]
-            firsts = [prefix(s, least, frequent) if len(s) else s for s in sets]
+            firsts = [prefix(s, least, cells.value) if len(s) else s for s in sets]
             many = np.array([len(f) for f in firsts], dtype=np.int64)
             places = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             cols = [np.concatenate([np.empty(0, np.uint64), *firsts]).view(np.int64), np.repeat([len(s) for s in sets], many).astype(np.int32), places.astype(np.int32), np.repeat(batch.column(0).to_numpy(), many)]
@@ -502,21 +481,35 @@ def prefix_pairs(shared: DataFrame, groups: DataFrame, least: float, every: bool
     """Pairs ``a, b`` of texts of different groups that share a prefix shingle and may reach ``least``.
 
     ``every`` gives all of them, else only neighbours under a shingle by size.
+    The texts of a shingle that very many have are dealt in blocks, and every
+    two blocks of it meet somewhere.
     """
     rows = shared.join(groups, "_text", "left").withColumn("root", F.coalesce("root", "_text"))
+    counts = shared.groupBy("key").count().filter(F.col("count") > GROUP_TEXTS)
+    hot = written(counts.select("key", F.ceil(F.col("count") / GROUP_TEXTS).cast("int").alias("blocks")), "hot-shingles")
+    one, two = F.lit(0).alias("one"), F.lit(0).alias("two")
+    if every and not hot.isEmpty():
+        rows = rows.join(hot, "key", "left")
+        block = F.pmod(F.xxhash64("_text", F.lit(9)), F.coalesce("blocks", F.lit(1))).cast("int")
+        rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        one, two = F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
+        rows = rows.select("key", one, two, "block", "n", "_text", "place", "root")
+    else:
+        rows = rows.select("key", one, two, F.lit(0).alias("block"), "n", "_text", "place", "root")
 
     def run(batches):
-        for key, n, text, place, root in _whole_keys(batches):
-            at, d = np.arange(len(key)), 1
+        for code, key, one, two, block, n, text, place, root in _whole_keys(_coded(batches)):
+            at, d = np.arange(len(code)), 1
             while True:
-                at = at[at + d < len(key)]
-                at = at[(key[at] == key[at + d]) & (n[at] >= least * n[at + d] - 1e-9)]  # sizes rise under a key
+                at = at[at + d < len(code)]
+                at = at[(code[at] == code[at + d]) & (n[at] >= least * n[at + d] - 1e-9)]  # sizes rise under a key
                 if not len(at):
                     break
                 to = at + d
                 # of the first shingle that two sets share on, no more than the rest of each can be shared
                 most = np.minimum(n[at] - place[at], n[to] - place[to])
                 may = (root[at] != root[to]) & (most * (1 + least) >= least * (n[at].astype(np.int64) + n[to]) - 1e-6)
+                may &= (one[at] == two[at]) | (block[at] != block[to])  # pairs within a block meet where it is alone
                 a, b = text[at[may]], text[to[may]]
                 for k in range(0, len(a), _CHUNK):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[k : k + _CHUNK]), pa.array(np.maximum(a, b)[k : k + _CHUNK])], names=["a", "b"])
@@ -524,27 +517,52 @@ def prefix_pairs(shared: DataFrame, groups: DataFrame, least: float, every: bool
                     break
                 d += 1
 
-    return _dealt(rows.select("key", "n", "_text", "place", "root"), "key", "n", "_text").mapInArrow(run, "a long, b long").distinct()
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = rows.repartition(tasks, "key", "one", "two").sortWithinPartitions("key", "one", "two", "n", "_text")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _coded(batches):
+    """Batches sorted by ``key, one, two`` with a running number of these three put first."""
+    last, code = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns[:3]]
+        change = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        first = tuple(c[0] for c in cols)
+        code += last is not None and first != last
+        codes = code + np.concatenate([[0], np.cumsum(change)])
+        last, code = tuple(c[-1] for c in cols), int(codes[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), *batch.columns], names=["code", *batch.schema.names])
 
 
 def verified_pairs(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """The ``pairs`` whose shingle sets are similar; ``texts`` is ``_text, text``."""
-    first = pairs.select("a", F.col("a").alias("_text"), F.lit(0).alias("side")).distinct()
-    rows = first.unionByName(pairs.select("a", F.col("b").alias("_text"), F.lit(1).alias("side"))).join(texts, "_text")
+    """The ``pairs`` (``a, b``) whose shingle sets are similar; ``texts`` is ``_text, text``.
+
+    Each task makes the set of a text ``a`` once for all its ``b``; where those
+    are very many, they are dealt over tasks that get ``a`` each.
+    """
+    counts = pairs.groupBy("a").count().filter(F.col("count") > GROUP_TEXTS).select(F.col("a").alias("h"), F.ceil(F.col("count") / GROUP_TEXTS).alias("parts"))
+    dealt = pairs.join(counts, F.col("a") == F.col("h"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    first = dealt.select("a", "part", F.col("a").alias("_text"), F.lit(0).alias("side")).distinct()
+    rows = first.unionByName(dealt.select("a", "part", F.col("b").alias("_text"), F.lit(1).alias("side"))).join(texts, "_text")
 
     def run(batches):
         one, hashes = None, None
         for batch in batches:
             found = []
-            for a, side, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, part, side, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 mine = shingle_set(text or b"", shingle)
                 if side == 0:
-                    one, hashes = a, mine
-                elif one == a and similar(hashes, mine, least):
+                    one, hashes = (a, part), mine
+                elif one == (a, part) and similar(hashes, mine, least):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return _dealt(rows.select("a", "side", "_text", F.col("text").cast("binary").alias("text")), "a", "side").mapInArrow(run, "a long, b long")
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = rows.select("a", "part", "side", "_text", F.col("text").cast("binary").alias("text"))
+    return rows.repartition(tasks, "a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, radius: int = 10, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -552,32 +570,46 @@ def deduplicated(docs: DataFrame, radius: int = 10, similarity: float = 0.8, shi
 
     Groups are made by links of Jaccard ``similarity`` on ``shingle`` words, and
     no such link is lost. Fingerprints linked within ``radius`` bits give most
-    of them at little cost. Then texts of different groups that share a shingle
-    of their prefixes are compared, first with their neighbours and then, by the
-    groups found so far, all of them. Texts are known by a 64-bit hash here.
+    of them at little cost: the texts of a component are compared with those
+    nearest to its majority of bits. Then texts of different groups that share a
+    shingle of their prefixes are compared, first with their neighbours and
+    then, by the groups found so far, all of them. Texts and rows are told apart
+    by two 64-bit hashes each, and distinct texts are numbered.
+
+    Nulls and odd rows: null and empty texts, and texts without words, are one
+    group of their own kind each (all have no shingles); of rows with equal
+    least ids a fixed one stays, and of rows repeated in full one; a row with a
+    null id goes before any other; very long texts are compared whole.
     """
-    text_key, row_key, nth = unused(docs, "_text", "_row", "_nth")
+    names = dict(zip(("_text", "_text2", "_row", "_row2", "_nth"), unused(docs, "_text", "_text2", "_row", "_row2", "_nth"), strict=True))
     whole = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({text_key: F.xxhash64(whole), row_key: F.xxhash64("doc_id", whole)})
+    hashes = {"_text": F.xxhash64(whole), "_text2": F.xxhash64(F.lit(1), whole), "_row": F.xxhash64("doc_id", whole), "_row2": F.xxhash64(F.lit(1), whole, "doc_id")}
+    keyed = docs.withColumns({names[k]: v for k, v in hashes.items()})
+
+    out = ["doc_id", *hashes, "fp"]
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t or b"", shingle) for t in batch.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(fps)], names=["doc_id", "_text", "_row", "fp"])
+            fps = np.array([fingerprint(t or b"", shingle) for t in batch.column(5).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(fps)], names=out)
 
-    some = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_key).alias("_text"), F.col(row_key).alias("_row"), F.col("text").cast("binary").alias("text"))
-    prints = written(some.mapInArrow(run, "doc_id long, _text long, _row long, fp long"), "fingerprints", texts=True)
-    texts = written(prints.groupBy("_text").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "_row")).alias("first")), "texts")
+    some = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(names[k]).alias(k) for k in hashes), F.col("text").cast("binary").alias("text"))
+    prints = written(some.mapInArrow(run, "doc_id long, _text long, _text2 long, _row long, _row2 long, fp long"), "fingerprints", texts=True)
+    texts = prints.groupBy("_text", "_text2").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "_row", "_row2")).alias("first"))
+    texts = written(texts.select(F.monotonically_increasing_id().alias("_text"), "fp", "first"), "texts")
     edges = written(links(texts.select("fp").distinct(), radius), "links")
     roots = connected(edges).withColumnsRenamed({"node": "fp", "root": "component"})
     grouped = texts.join(roots, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     several = grouped.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
-    members = written(grouped.join(several, "component").select("component", "_text", F.col("first._row").alias("_row")), "members")
-    with_text = keyed.select(F.col(row_key).alias("_row"), "text").join(members, "_row").dropDuplicates(["_text"]).select("component", F.col("_text").alias("key"), "text")
-    verified = written(verified_links(with_text, similarity, shingle), "verified", texts=True)
-    final = written(connected(verified).withColumnsRenamed({"node": "_text"}), "groups")
-    plain = keyed.select(F.col(row_key).alias("_row"), "text").join(texts.select("_text", F.col("first._row").alias("_row")), "_row").dropDuplicates(["_text"]).select("_text", "text")
+    members = written(grouped.join(several, "component").select("component", "_text", "fp"), "members")
+    firsts = texts.select(F.col("_text").alias("number"), F.col("first._row").alias("r"), F.col("first._row2").alias("r2"))
+    rows = keyed.select(F.col(names["_row"]).alias("r"), F.col(names["_row2"]).alias("r2"), "text")
+    plain = rows.join(firsts, ["r", "r2"]).dropDuplicates(["r", "r2"]).select(F.col("number").alias("_text"), "text")
     plain = written(plain, "plain", texts=True)
+    pairs = written(pivot_pairs(members), "pairs")
+    verified = written(verified_pairs(pairs, plain, similarity, shingle), "verified", texts=True)
+    discard(pairs, edges, members, prints)
+    final = written(connected(verified).withColumnsRenamed({"node": "_text"}), "groups")
     shared = written(shared_prefixes(plain, similarity, shingle), "shared", texts=True)
     for every in (False, True):
         pairs = written(prefix_pairs(shared, final, similarity, every), "pairs")
@@ -586,7 +618,7 @@ def deduplicated(docs: DataFrame, radius: int = 10, similarity: float = 0.8, shi
         final = written(connected(written(known.unionByName(more), "known")).withColumnsRenamed({"node": "_text"}), "groups")
         discard(pairs, more)
     kept = texts.join(final, "_text", "left").groupBy(F.coalesce("root", "_text").alias("group")).agg(F.min("first").alias("first"))
-    kept = written(kept.select(F.col("first._row").alias("_row")), "kept")
-    discard(edges, members, verified, prints, plain, shared)
-    one = F.row_number().over(Window.partitionBy(row_key).orderBy(text_key))  # rows repeated in full
-    return keyed.join(kept.withColumnRenamed("_row", row_key), row_key, "left_semi").withColumn(nth, one).filter(F.col(nth) == 1).select(*docs.columns)
+    kept = written(kept.select(F.col("first._row").alias(names["_row"]), F.col("first._row2").alias(names["_row2"])), "kept")
+    discard(verified, plain, shared, texts)
+    one = F.row_number().over(Window.partitionBy(names["_row"], names["_row2"]).orderBy(names["_text"]))  # rows repeated in full
+    return keyed.join(kept, [names["_row"], names["_row2"]], "left_semi").withColumn(names["_nth"], one).filter(F.col(names["_nth"]) == 1).select(*docs.columns)
