@@ -30,7 +30,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 #: Rows of an Arrow batch that carries whole texts.
-TEXT_ROWS = 512
+TEXT_ROWS = 128
 
 
 def written(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
