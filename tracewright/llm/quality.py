@@ -172,23 +172,35 @@ def _matched(rows: DataFrame, params: DataFrame, lang: str, source: str, how: st
     return rows.join(params, rows[lang].eqNullSafe(params["p_lang"]) & rows[source].eqNullSafe(params["p_source"]), how).drop("p_lang", "p_source")
 
 
+#: Groups to a file of a table with a row for each.
+_GROUP_ROWS = 50_000
+
+
+def _few(groups: DataFrame, n: int, label: str) -> DataFrame:
+    """A table of ``n`` groups written to few files, so joins with it need no shuffle while it is small."""
+    return written(groups.repartition(max(1, -(-n // _GROUP_ROWS))), label)
+
+
 def _with_parents(groups: DataFrame, values: list[str]) -> DataFrame:
-    """``groups`` (``g_lang, g_source`` and ``values``) with the values of language and all as ``l_..`` and ``a_..``."""
+    """Stored ``groups`` (``g_lang, g_source`` and ``values``) with the values of language and all as ``l_..`` and ``a_..``."""
 
-    def renamed(table: DataFrame, prefix: str, *keys: str) -> DataFrame:
-        return table.select(*keys, *(F.col(v).alias(f"{prefix}_{v}") for v in values))
+    def renamed(table: DataFrame, prefix: str) -> DataFrame:
+        return table.select(F.col("g_lang").alias("p_lang"), *(F.col(v).alias(f"{prefix}_{v}") for v in values))
 
-    langs = renamed(groups.filter(F.col("g_source").eqNullSafe(ALL)), "l", F.col("g_lang").alias("p_lang"))
-    alls = renamed(groups.filter(F.col("g_lang").eqNullSafe(ALL)), "a", F.lit(1).alias("one"))
-    out = groups.join(langs, groups["g_lang"].eqNullSafe(langs["p_lang"])).drop("p_lang").withColumn("one", F.lit(1))
-    return out.join(alls, "one").drop("one")
+    out = groups
+    for prefix, at in (("l", F.col("g_lang")), ("a", F.lit(ALL))):
+        # the row of all is met under its name, that of a language under its own
+        parents = renamed(groups.filter(F.col("g_source").eqNullSafe(ALL)), prefix)
+        out = out.withColumn("up", at)
+        out = out.join(parents, out["up"].eqNullSafe(parents["p_lang"])).drop("p_lang", "up")
+    return out
 
 
-def usual_rates(table: DataFrame, prior: float) -> DataFrame:
+def usual_rates(table: DataFrame, prior: float, n: int) -> DataFrame:
     """Medians of the rates for each language and source (``p_lang, p_source, usual``), mixed with those of language and all."""
     rate = {s: F.least(F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)) * _BINS[0]) / _BINS[0], F.lit(_TOP)) for s, (a, b, _) in RATES.items()}
     medians = [F.coalesce(F.percentile(rate[s], 0.5), F.lit(0.0)) for s in STATS]
-    groups = written(_levels(table).groupBy("g_lang", "g_source").agg(F.count(F.nullif("n_words", F.lit(0))).alias("n"), F.array(*medians).alias("usual")), "usual")
+    groups = _few(_levels(table).groupBy("g_lang", "g_source").agg(F.count(F.nullif("n_words", F.lit(0))).alias("n"), F.array(*medians).alias("usual")), n, "usual")
     full = _with_parents(groups, ["n", "usual"])
 
     def mixed(n: str, own: str, parent):
@@ -240,7 +252,7 @@ def _estimated(sums: DataFrame, factor: float, floors: tuple[float, ...], prior:
     return sums.mapInArrow(run, "p_lang string, p_source string, mean array<double>, inverse array<double>, moved double")
 
 
-def concentrated(good: DataFrame, groups: DataFrame, params: DataFrame, share: float, factor: float, floors: tuple[float, ...], prior: float) -> DataFrame:
+def concentrated(good: DataFrame, groups: DataFrame, n: int, params: DataFrame, share: float, factor: float, floors: tuple[float, ...], prior: float) -> DataFrame:
     """The next estimates of ``groups``: one aggregation of the rows by group and binned distance, then only its sums."""
     near = _matched(good, params, "g_lang", "g_source", "inner").withColumn("bin", F.floor(F.log1p(F.greatest(_quadratic("mean", "inverse"), F.lit(0.0))) * _BINS[1]).cast("int"))
     moments = [F.count("*").alias("n"), *(F.sum(F.col(s)).alias(f"s{i}") for i, s in enumerate(STATS)), *(F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}_{j}") for i, j in _pairs())]
@@ -249,13 +261,13 @@ def concentrated(good: DataFrame, groups: DataFrame, params: DataFrame, share: f
     before = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     # a bin counts if the share is not reached before it
     inner = binned.withColumns({"before": before, "all": F.sum("n").over(group)}).filter(F.col("before") < F.lit(share) * F.col("all"))
-    sums = inner.groupBy("g_lang", "g_source").agg(*(F.sum(c).alias(c) for c in _SUMS)).withColumnsRenamed({"g_lang": "p_lang", "g_source": "p_source"})
-    every = _matched(groups, sums, "g_lang", "g_source").fillna(0, _SUMS).fillna(0.0, _SUMS)
+    sums = _few(inner.groupBy("g_lang", "g_source").agg(*(F.sum(c).alias(c) for c in _SUMS)), n, "sums").withColumnsRenamed({"g_lang": "p_lang", "g_source": "p_source"})
+    every = _few(_matched(groups, sums, "g_lang", "g_source").fillna(0, _SUMS).fillna(0.0, _SUMS), n, "sums")
     every = _matched(_with_parents(every, _SUMS), params.drop("moved"), "g_lang", "g_source")
-    return _estimated(every, factor, floors, prior)
+    return _few(_estimated(every, factor, floors, prior), n, "centres")
 
 
-def estimates(good: DataFrame, groups: DataFrame, share: float, steps: int, floors: tuple[float, ...], prior: float) -> DataFrame:
+def estimates(good: DataFrame, groups: DataFrame, n: int, share: float, steps: int, floors: tuple[float, ...], prior: float) -> DataFrame:
     """``p_lang, p_source, mean, inverse`` of all ``groups`` from the rows that pass the base rules."""
     p = len(STATS)
     factor = share / chi2_cdf(chi2_quantile(share, p), p + 2)
@@ -265,9 +277,9 @@ def estimates(good: DataFrame, groups: DataFrame, share: float, steps: int, floo
     spread = [F.pow((F.col(s)[2] - F.col(s)[0]) / 1.349, 2) + F.lit(f * f) for s, f in zip(STATS, floors, strict=True)]
     packed = [1 / spread[i] if i == j else F.lit(0.0) for i, j in _pairs()]
     start = quartiles.select(F.col("g_lang").alias("p_lang"), F.col("g_source").alias("p_source"), F.array(*(F.col(s)[1] for s in STATS)).alias("mean"), F.array(*packed).alias("inverse"))
-    params = written(start, "centres")
+    params = _few(start, n, "centres")
     for _ in range(steps):
-        new = written(concentrated(rows, groups, params, share, factor, floors, prior), "centres")
+        new = concentrated(rows, groups, n, params, share, factor, floors, prior)
         discard(params)
         params = new
         if (params.agg(F.max("moved").alias("most")).first()["most"] or 0.0) < STILL:
@@ -276,29 +288,34 @@ def estimates(good: DataFrame, groups: DataFrame, share: float, steps: int, floo
     return params
 
 
-def judged(table: DataFrame, share: float = 0.75, steps: int = 20, p_reject: float = 1e-7, prior: float = 100.0, min_words: int = 20, max_repeat: int = 30, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+def judged(table: DataFrame, whole: DataFrame | None = None, share: float = 0.75, steps: int = 20, p_reject: float = 1e-7, prior: float = 100.0, min_words: int = 20, max_repeat: int = 30, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """Stored counts with ``base_failed``, ``distance`` (squared) and ``kept``; other columns stay.
 
-    Only rows that pass the base rules enter the estimates. Steps end when
+    With ``whole``, the same rows with other columns, those are judged. Only rows that pass the base rules enter the estimates. Steps end when
     all centres stand still, after ``steps`` at most.
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     bare = table.select("lang", "source", *_BASE).withColumn("base_failed", failed)
-    usual = written(usual_rates(bare, prior), "usual")
+    groups = _levels(bare.select("lang", "source").distinct()).select("g_lang", "g_source").distinct()
+    groups = written(groups, "quality-groups")
+    n = groups.count()
+    groups = _few(groups, n, "quality-groups")
+    usual = _few(usual_rates(bare, prior, n), n, "usual")
     good = vectors(bare.filter("not base_failed"), usual)
-    groups = written(_levels(bare.select("lang", "source").distinct()).select("g_lang", "g_source").distinct(), "quality-groups")
-    last = estimates(good, groups, share, steps, floors, prior).drop("moved")
-    out = _matched(vectors(table.withColumn("base_failed", failed), usual), last, "lang", "source")
+    last = estimates(good, groups, n, share, steps, floors, prior).drop("moved")
+    out = _matched(vectors((table if whole is None else whole).withColumn("base_failed", failed), usual), last, "lang", "source")
     out = out.withColumn("distance", _quadratic("mean", "inverse")).drop("mean", "inverse")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(1 - p_reject, len(STATS))))
 
 
 def accepted(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, with their own columns."""
+    table = written(counts(docs), "counts", texts=True)
+    # counted again beside the documents themselves: that needs neither a join nor a copy of the texts
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     parts = lambda batch: [batch.column(0).field(c) for c in ("text", "lang", "source")]
-    table = written(_counted(whole, f"doc {whole.schema['doc'].dataType.simpleString()}", parts), "counts", texts=True)
-    return judged(table, **options).filter("kept").select("doc.*")
+    again = _counted(whole, f"doc {whole.schema['doc'].dataType.simpleString()}", parts)
+    return judged(table, again, **options).filter("kept").select("doc.*")
 
 
 def quality(docs: DataFrame, **options) -> DataFrame:

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -75,3 +76,33 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Bits of a membership filter.
+FILTER_BITS = 1 << 23
+
+
+def membership(keys: DataFrame):
+    """Splits a table by whether a long column may be among ``keys`` (one long column): ``inside(df, column)`` and ``outside(df, column)``.
+
+    What is outside is none of them; what is inside mostly is. It spares most
+    rows a shuffle before an exact join. The filter is a table of at most
+    ``FILTER_BITS / 64`` words whatever the number of keys, so it is broadcast;
+    with very many keys it lets every row through to the exact join.
+    """
+
+    def place(column):
+        return F.shiftrightunsigned(F.xxhash64(F.lit(3), column), 64 - (FILTER_BITS.bit_length() - 1))
+
+    def bit_of(column):
+        return place(column).bitwiseAND(F.lit(63)).cast("int")
+
+    key = F.col(keys.columns[0])
+    bits = keys.select(F.shiftright(place(key), 6).alias("filter_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit_of(key)).alias("bit"))
+    words = written(bits.groupBy("filter_word").agg(F.bit_or("bit").alias("filter_bits")).repartition(1), "filter")
+
+    def split(df: DataFrame, column, how: str) -> DataFrame:
+        met = (F.shiftright(place(column), 6) == words["filter_word"]) & (F.getbit(words["filter_bits"], bit_of(column)) == 1)
+        return df.join(F.broadcast(words), met, how)
+
+    return lambda df, column: split(df, column, "left_semi"), lambda df, column: split(df, column, "left_anti")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import discard, unused, written
+from .shared import discard, membership, unused, written
 
 #: Fingerprints of one key that one task compares at a time.
 BLOCK_ROWS = 16_384
@@ -546,7 +546,9 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, least: float, shingle: in
     counts = pairs.groupBy("a").count().filter(F.col("count") > GROUP_TEXTS).select(F.col("a").alias("h"), F.ceil(F.col("count") / GROUP_TEXTS).alias("parts"))
     dealt = pairs.join(counts, F.col("a") == F.col("h"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
     first = dealt.select("a", "part", F.col("a").alias("_text"), F.lit(0).alias("side")).distinct()
-    rows = first.unionByName(dealt.select("a", "part", F.col("b").alias("_text"), F.lit(1).alias("side"))).join(texts, "_text")
+    ids = written(first.unionByName(dealt.select("a", "part", F.col("b").alias("_text"), F.lit(1).alias("side"))), "pair-texts")
+    needed, _ = membership(ids.select("_text"))
+    rows = ids.join(needed(texts, F.col("_text")).hint("merge"), "_text")
 
     def run(batches):
         one, hashes = None, None
@@ -573,8 +575,9 @@ def deduplicated(docs: DataFrame, radius: int = 10, similarity: float = 0.8, shi
     of them at little cost: the texts of a component are compared with those
     nearest to its majority of bits. Then texts of different groups that share a
     shingle of their prefixes are compared, first with their neighbours and
-    then, by the groups found so far, all of them. Texts and rows are told apart
-    by two 64-bit hashes each, and distinct texts are numbered.
+    then, by the groups found so far, all of them. Rows are told apart by two
+    64-bit hashes, and so are texts; only between near copies does one hash
+    stand for a text.
 
     Nulls and odd rows: null and empty texts, and texts without words, are one
     group of their own kind each (all have no shingles); of rows with equal
@@ -585,7 +588,6 @@ def deduplicated(docs: DataFrame, radius: int = 10, similarity: float = 0.8, shi
     whole = F.coalesce("text", F.lit(""))
     hashes = {"_text": F.xxhash64(whole), "_text2": F.xxhash64(F.lit(1), whole), "_row": F.xxhash64("doc_id", whole), "_row2": F.xxhash64(F.lit(1), whole, "doc_id")}
     keyed = docs.withColumns({names[k]: v for k, v in hashes.items()})
-
     out = ["doc_id", *hashes, "fp"]
 
     def run(batches):
@@ -593,32 +595,41 @@ def deduplicated(docs: DataFrame, radius: int = 10, similarity: float = 0.8, shi
             fps = np.array([fingerprint(t or b"", shingle) for t in batch.column(5).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(fps)], names=out)
 
-    some = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(names[k]).alias(k) for k in hashes), F.col("text").cast("binary").alias("text"))
-    prints = written(some.mapInArrow(run, "doc_id long, _text long, _text2 long, _row long, _row2 long, fp long"), "fingerprints", texts=True)
-    texts = prints.groupBy("_text", "_text2").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "_row", "_row2")).alias("first"))
-    texts = written(texts.select(F.monotonically_increasing_id().alias("_text"), "fp", "first"), "texts")
+    bare = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(names[k]).alias(k) for k in hashes), F.col("text").cast("binary").alias("text"))
+    prints = written(bare.mapInArrow(run, "doc_id long, _text long, _text2 long, _row long, _row2 long, fp long"), "fingerprints", texts=True)
+    texts = prints.groupBy("_text", "_text2").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "_row", "_row2")).alias("first"), F.count("*").alias("rows"))
+    texts = written(texts, "texts")
     edges = written(links(texts.select("fp").distinct(), radius), "links")
     roots = connected(edges).withColumnsRenamed({"node": "fp", "root": "component"})
     grouped = texts.join(roots, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     several = grouped.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
     members = written(grouped.join(several, "component").select("component", "_text", "fp"), "members")
-    firsts = texts.select(F.col("_text").alias("number"), F.col("first._row").alias("r"), F.col("first._row2").alias("r2"))
-    rows = keyed.select(F.col(names["_row"]).alias("r"), F.col(names["_row2"]).alias("r2"), "text")
-    plain = rows.join(firsts, ["r", "r2"]).dropDuplicates(["r", "r2"]).select(F.col("number").alias("_text"), "text")
-    plain = written(plain, "plain", texts=True)
-    pairs = written(pivot_pairs(members), "pairs")
-    verified = written(verified_pairs(pairs, plain, similarity, shingle), "verified", texts=True)
-    discard(pairs, edges, members, prints)
-    final = written(connected(verified).withColumnsRenamed({"node": "_text"}), "groups")
+    # the first row of each text: most texts have one row, and only the others need a join
+    firsts = texts.filter("rows > 1").select("_text", F.col("first._row").alias("_row"), F.col("first._row2").alias("_row2"))
+    repeated, single = membership(firsts.select("_text"))
+    alone = single(bare, F.col("_text")).select("_text", "text")
+    exact = texts.select(F.col("first._row").alias("_row"), F.col("first._row2").alias("_row2"))
+    chosen = repeated(bare, F.col("_text")).join(exact.hint("merge"), ["_row", "_row2"], "left_semi").dropDuplicates(["_row", "_row2"])
+    plain = alone.unionByName(chosen.select("_text", "text"))
     shared = written(shared_prefixes(plain, similarity, shingle), "shared", texts=True)
-    for every in (False, True):
-        pairs = written(prefix_pairs(shared, final, similarity, every), "pairs")
-        more = written(verified_pairs(pairs, plain, similarity, shingle), "more", texts=True)
-        known = final.select(F.col("_text").alias("a"), F.col("root").alias("b"))
-        final = written(connected(written(known.unionByName(more), "known")).withColumnsRenamed({"node": "_text"}), "groups")
-        discard(pairs, more)
-    kept = texts.join(final, "_text", "left").groupBy(F.coalesce("root", "_text").alias("group")).agg(F.min("first").alias("first"))
+    none = connected(edges.limit(0)).withColumnsRenamed({"node": "_text"})
+    pairs = written(pivot_pairs(members).unionByName(prefix_pairs(shared, none, similarity, False)).select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two"), "a", "b").dropDuplicates(["one", "two"]).select("a", "b"), "pairs")
+    more = written(verified_pairs(pairs, plain, similarity, shingle), "verified", texts=True)
+    discard(pairs, members)
+    groups = connected(more).withColumnsRenamed({"node": "_text"})
+    pairs = written(prefix_pairs(shared, groups, similarity, True), "pairs")
+    rest = written(verified_pairs(pairs, plain, similarity, shingle), "verified", texts=True)
+    discard(pairs, shared)
+    final = connected(written(more.unionByName(rest), "verified")).withColumnsRenamed({"node": "_text"})
+    # a text that nothing is like is a group by both its hashes
+    group = [F.coalesce("root", "_text").alias("group"), F.when(F.col("root").isNull(), F.col("_text2")).alias("group2")]
+    kept = texts.join(final, "_text", "left").groupBy(*group).agg(F.min("first").alias("first"))
     kept = written(kept.select(F.col("first._row").alias(names["_row"]), F.col("first._row2").alias(names["_row2"])), "kept")
-    discard(verified, plain, shared, texts)
+    # only rows that may go, or are repeated in full, are joined; all others stay
+    same = ["_row", "_row2"]
+    going = prints.join(kept.withColumnsRenamed({names[k]: k for k in same}), same, "left_anti").select("_row").unionByName(prints.groupBy(*same).count().filter("count > 1").select("_row"))
+    may_go, stay = membership(going)
+    discard(edges, prints, texts, more, rest)
     one = F.row_number().over(Window.partitionBy(names["_row"], names["_row2"]).orderBy(names["_text"]))  # rows repeated in full
-    return keyed.join(kept, [names["_row"], names["_row2"]], "left_semi").withColumn(names["_nth"], one).filter(F.col(names["_nth"]) == 1).select(*docs.columns)
+    checked = may_go(keyed, F.col(names["_row"])).join(kept.hint("merge"), [names["_row"], names["_row2"]], "left_semi").withColumn(names["_nth"], one).filter(F.col(names["_nth"]) == 1)
+    return stay(keyed, F.col(names["_row"])).select(*docs.columns).unionByName(checked.select(*docs.columns))
