@@ -42,14 +42,16 @@ def written(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
+    # the driver keeps the plan of every query as text, and here are many queries
+    wanted = {"spark.sql.maxPlanStringLength": "4096"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(TEXT_ROWS)} if texts else {})
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
-        if texts:
-            spark.conf.set(key, str(TEXT_ROWS))
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracewright_path = path
     return out

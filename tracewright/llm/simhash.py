@@ -42,7 +42,7 @@ PIVOTS = 2
 #: Texts that one task compares with the same text, or that share a prefix shingle there, in the mean.
 GROUP_TEXTS = 2048
 #: Cells that shingles are counted in, to take the common ones last.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: Candidates that are compared at a time.
 _CHUNK = 1 << 18
 
@@ -450,7 +450,7 @@ def _whole_keys(batches):
 
 def shared_prefixes(texts: DataFrame, least: float, shingle: int) -> DataFrame:
     """``key, n, place, _text``: the prefix shingles that several texts have, the size of the set and the place in it."""
-    cells = texts.sparkSession.sparkContext.broadcast(shingle_cells(texts, shingle))  # 16 MB whatever the corpus
+    cells = texts.sparkSession.sparkContext.broadcast(shingle_cells(texts, shingle))  # 4 MB whatever the corpus
 
     def spread(batches):
         for batch in batches:
@@ -469,7 +469,9 @@ def shared_prefixes(texts: DataFrame, least: float, shingle: int) -> DataFrame:
 
     schema = "key long, n int, place int, _text long"
     rows = texts.select("_text", F.col("text").cast("binary").alias("text")).mapInArrow(spread, schema)
-    return _dealt(rows, "key").mapInArrow(several, schema)
+    out = written(_dealt(rows, "key").mapInArrow(several, schema), "shared", texts=True)
+    cells.destroy()
+    return out
 
 
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -611,7 +613,7 @@ def deduplicated(docs: DataFrame, radius: int = 10, similarity: float = 0.8, shi
     exact = texts.select(F.col("first._row").alias("_row"), F.col("first._row2").alias("_row2"))
     chosen = repeated(bare, F.col("_text")).join(exact.hint("merge"), ["_row", "_row2"], "left_semi").dropDuplicates(["_row", "_row2"])
     plain = alone.unionByName(chosen.select("_text", "text"))
-    shared = written(shared_prefixes(plain, similarity, shingle), "shared", texts=True)
+    shared = shared_prefixes(plain, similarity, shingle)
     none = connected(edges.limit(0)).withColumnsRenamed({"node": "_text"})
     pairs = written(pivot_pairs(members).unionByName(prefix_pairs(shared, none, similarity, False)).select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two"), "a", "b").dropDuplicates(["one", "two"]).select("a", "b"), "pairs")
     more = written(verified_pairs(pairs, plain, similarity, shingle), "verified", texts=True)
