@@ -1,11 +1,13 @@
 """Siblings, demonstrations, episodes, recipes, cards and streams on small fixtures."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import demonstrations, episodes, generation, rewards, siblings, worlds
+from tracewright.operators.schema import STEP_FIELDS, trajectory_schema
 from tracewright.plans import catalog
 from tracewright.sources import cards
 from tracewright.streaming import resumable as streams
@@ -18,38 +20,68 @@ def demo(*actions):
     return {"task": "Close the orders.", "schema": SCHEMA, "rows": ROWS, "actions": list(actions), "answer": "closed"}
 
 
-def test_siblings_keep_shapes_and_numbers():
-    scenario = {"id": "s", "task": "mail ann@example.com about big-box", "environment": {"rows": ROWS}, "checkers": [{"query": "SELECT * FROM t WHERE n = 'big-box'", "equals": [[2, "open", "big-box"]]}, {"any_of": ["see big-box", "done"]}]}
-    made = siblings.sibling(scenario, 3)
-    names = {label: siblings.relabelled(label, 3 + k) for k, label in enumerate(siblings.labels_of(ROWS))}
-    assert list(names) == ["open", "ann@example.com", "big-box", "done"] and names["ann@example.com"] == "nna4@example.com" and names["big-box"] == "gib-box5"
-    assert made["environment"]["rows"][2] == [3, names["done"], "12.50"] and made["environment"]["rows"][3][2] == "x"
-    assert made["task"] == "mail nna4@example.com about gib-box5" and made["checkers"][0]["equals"] == [[2, names["open"], "gib-box5"]]
-    assert made["checkers"][1]["any_of"] == ["see gib-box5", names["done"]]
-    assert siblings.sibling({"id": "m", "task": "t", "environment": {"rows": []}})["id"] == "m"
+def test_siblings_keep_shapes_and_numbers(spark):
+    cells = spark.createDataFrame([("s", r, c, x) for r, row in enumerate(ROWS) for c, x in enumerate(row) if isinstance(x, str)] + [("m", 0, 0, "1.5")], "scenario_id string, row int, col int, text string")
+    texts = spark.createDataFrame([("s", "task", "mail ann@example.com about big-box"), ("s", "answer", "see big-box"), ("s", "equals", "done"), ("m", "task", "t")], "scenario_id string, place string, text string")
+    names = {r["label"]: r["new"] for r in siblings.label_map(cells, F.lit(3)).collect()}
+    assert names == {"open": "nepo3", "ann@example.com": "nna4@example.com", "big-box": "gib-box5", "done": "enod6"}
+    new_cells, new_texts = siblings.held_out(cells, texts, F.lit(3))
+    got = {(r["row"], r["col"]): r["text"] for r in new_cells.collect() if r["scenario_id"] == "s"}
+    assert got[2, 1] == names["done"] and got[2, 2] == "12.50" and got[3, 2] == "x"
+    assert {(r["sibling_id"], r["place"], r["text"]) for r in new_texts.collect()} == {("s~sibling", "task", "mail nna4@example.com about gib-box5"), ("s~sibling", "answer", "see gib-box5"), ("s~sibling", "equals", "enod6"), ("m", "task", "t")}
 
 
-def test_demonstrations_assert_the_change():
-    s = demonstrations.scenario_from_demonstration(demo("UPDATE orders SET status = 'closed' WHERE id = 1", "DELETE FROM orders WHERE id = 4", "INSERT INTO orders VALUES (9, 'new', NULL)"))
+def made(spark, *demos):
+    rows = [(f"demo{k}", d["task"], d["schema"], None, json.dumps(d["rows"]), json.dumps(d["actions"]), d["answer"], None) for k, d in enumerate(demos)]
+    return sorted(demonstrations.scenarios(spark.createDataFrame(rows, demonstrations.DEMOS)).collect(), key=lambda r: r["scenario_id"])
+
+
+def test_demonstrations_assert_the_change(spark):
+    actions = ["UPDATE orders SET status = 'closed' WHERE id = 1", "DELETE FROM orders WHERE id = 4", "INSERT INTO orders VALUES (9, 'new', NULL)"]
+    good, idle, bad, plain = made(spark, demo(*actions), demo("SELECT * FROM orders"), demo("UPDATE nothing SET a = 1"), {**demo("INSERT INTO log VALUES ('a \"b\"')"), "schema": SCHEMA + "; CREATE TABLE log (t TEXT)"})
+    s = demonstrations.scenario_of(good)
     queries = [c["query"] for c in s["checkers"]]
     assert any("id=1" in q for q in queries) and any("COUNT(*)" in q and "id=4" in q for q in queries) and any("id=9" in q for q in queries) and any("id=2" in q for q in queries)
-    plan = {"demo": ["UPDATE orders SET status = 'closed' WHERE id = 1", "DELETE FROM orders WHERE id = 4", "INSERT INTO orders VALUES (9, 'new', NULL)"]}
     env = s["environment"]
-    assert worlds.played(env["schema"], env["rows"], env["table"], plan["demo"], "", s["checkers"])["passed"]
+    assert worlds.played(env["schema"], env["rows"], env["table"], actions, "", s["checkers"])["passed"]
     assert not worlds.played(env["schema"], env["rows"], env["table"], [], "", s["checkers"])["passed"]
-    assert demonstrations.gates([s], plan) == ["fewer than 3 scenarios"]
-    with pytest.raises(ValueError):
-        demonstrations.scenario_from_demonstration(demo("SELECT * FROM orders"))
-    with pytest.raises(ValueError):
-        demonstrations.scenario_from_demonstration(demo("UPDATE nothing SET a = 1"))
+    assert demonstrations.gates([s], {"demo0": actions}) == ["fewer than 3 scenarios"]
+    for row in (idle, bad):
+        with pytest.raises(ValueError):
+            demonstrations.scenario_of(row)
+    assert demonstrations.scenario_of(plain)["checkers"][0]["equals"] == [['a "b"']]
 
 
-def test_row_checks_are_bounded():
+def test_row_checks_are_bounded(spark):
     rows = [[k, "open", ""] for k in range(40)]
-    s = demonstrations.scenario_from_demonstration({**demo("UPDATE orders SET status = 'c' WHERE id < 30"), "rows": rows})
+    (row,) = made(spark, {**demo("UPDATE orders SET status = 'c' WHERE id < 30"), "rows": rows})
+    s = demonstrations.scenario_of(row)
     assert sum(c["query"].startswith("SELECT * FROM orders WHERE") for c in s["checkers"]) == demonstrations.MOST_ROW_CHECKS + 1
 
 
+def test_read_only_worlds_and_check_kinds():
+    world = worlds.SqliteWorld(SCHEMA, ROWS, "orders", read_only=True)
+    assert world.execute("WITH x AS (SELECT 1) DELETE FROM orders").startswith("SQLError") and world.execute("SELECT count(*) FROM orders").endswith("4\n(1 row)")
+    code = [{"kind": "code", "name": "c", "test": "assert f(2) == 4"}, {"kind": "called_tool", "name": "t"}]
+    run = lambda answer, allow: worlds.played(SCHEMA, ROWS, "orders", ["SELECT 1"], answer, code, allow_code=allow)["failed"]
+    assert run("def f(x): return 2 * x", True) == "" and run("def f(x): return x", True) == "c" and run("def f(x): return 2 * x", False) == "c"
+
+
+def test_exported_arguments_are_objects(spark):
+    from tracewright.sources import writers
+
+    steps = [("tool_call", "search", json.dumps({"q": 'a "b" \n é', "n": [1, None]})), ("tool_call", "odd", "not json"), ("final_answer", None, None)]
+    fields = dict.fromkeys(STEP_FIELDS)
+    rows = [{f.name: None for f in trajectory_schema().fields}]
+    rows[0].update(id="t", query="q", mode="single_agent", steps=[{**fields, "step_type": k, "tool_name": n, "tool_args": a} for k, n, a in steps], final_answer="done", tools=[])
+    table = spark.createDataFrame(rows, trajectory_schema())
+    line = json.loads(writers.jsonl(table).first()["value"])
+    assert [s["tool_args"] for s in line["steps"]] == [{"q": 'a "b" \n é', "n": [1, None]}, "not json", None]
+    assert line["messages"][1]["tool_calls"][0]["arguments"] == {"q": 'a "b" \n é', "n": [1, None]}
+    call = json.loads(writers.adp(table).first()["steps"][0]["content"])
+    assert call == {"tool": "search", "args": {"q": 'a "b" \n é', "n": [1, None]}}
+
+
 def test_episodes():
     scenario = {"id": "e", "task": "t", "environment": {"schema": SCHEMA, "rows": ROWS, "table": "orders"}, "checkers": [{"query": "SELECT count(*) FROM orders WHERE status = 'open'", "equals": [[0]]}], "max_steps": 3}
 

@@ -72,7 +72,7 @@ def _audit(args) -> int:
         runs = [worlds.played(env["schema"], env.get("rows") or [], env.get("table"), actions, s["task"] if text is None else text, s["checkers"]) for actions, text in worlds.ADVERSARIES.values()]
         robust += not any(r["passed"] for r in runs)
     score = round(robust / (len(pack) or 1), 4)
-    print(json.dumps({"n": len(pack), "robust": robust, "score": score, "fingerprint": provenance.pack_fingerprint(pack)}))
+    print(json.dumps({"n": len(pack), "robust": robust, "score": score, "fingerprint": provenance.pack_fingerprint(provenance.scenario_table(local_session("2"), pack)).first()["pack_fingerprint"]}))
     return int(score < args.min_robustness)
 
 

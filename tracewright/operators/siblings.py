@@ -1,59 +1,56 @@
-"""Held-out siblings of scenarios: the same task with other labels."""
+"""Held-out siblings of scenarios: the same tasks with other labels, as joins over cells and texts.
+
+A pack is two tables: ``cells`` (``scenario_id, row, col, text``) of its worlds,
+and ``texts`` (``scenario_id, place, text``) of everything that speaks about
+them (task, queries, expected values, answers). The labels are a third table
+made of the cells; both are rewritten by it.
+"""
 
 from __future__ import annotations
 
-import copy
-from typing import Any
-
-
-def labels_of(rows: list[list[Any]]) -> list[str]:
-    """Text cells of three or more characters that are no numbers, in the order they are first seen."""
-    cells = (cell for row in rows for cell in row if isinstance(cell, str))
-    return list(dict.fromkeys(c for c in cells if len(c) >= 3 and not c.replace(".", "").isdigit()))
-
-
-def relabelled(label: str, index: int) -> str:
-    """Another label of the same shape: the part before ``@`` or the first ``-`` is reversed and a number is added."""
-    if "@" in label:
-        name, domain = label.split("@", 1)
-        return name[::-1] + f"{index}@{domain}"
-    if "-" in label:
-        head, tail = label.split("-", 1)
-        return head[::-1] + f"-{tail}{index}"
-    return label[::-1] + str(index)
-
-
-def sibling(scenario: dict[str, Any], seed: int = 0) -> dict[str, Any]:
-    """A scenario of one table with its labels renamed in rows, task and checks; a scenario that seeds itself stays as it is."""
-    rows = (scenario.get("environment") or {}).get("rows") or []
-    names = {label: relabelled(label, seed + k) for k, label in enumerate(labels_of(rows))}
-    if not names:
-        return copy.deepcopy(scenario)
-
-    def renamed(value: Any) -> Any:
-        """Texts are rewritten label by label; a value that is a label is exchanged whole."""
-        if isinstance(value, list):
-            return [renamed(v) for v in value]
-        if not isinstance(value, str):
-            return value
-        if value in names:
-            return names[value]
-        for old, new in names.items():
-            value = value.replace(old, new)
-        return value
-
-    out = copy.deepcopy(scenario)
-    out["id"] = f"{scenario['id']}~sibling"
-    out["task"] = renamed(scenario["task"]) if scenario["task"] not in names else names[scenario["task"]]
-    out["environment"]["rows"] = [[names.get(c, c) if isinstance(c, str) else c for c in row] for row in rows]
-    for check in out.get("checkers") or []:
-        for key in ("query", "contains", "any_of"):
-            if check.get(key) is not None:
-                check[key] = renamed(check[key])
-        if check.get("equals") is not None:
-            check["equals"] = [[names.get(c, c) if isinstance(c, str) else c for c in row] for row in check["equals"]]
-    return out
-
-
-def held_out_pack(pack: list[dict[str, Any]], seed: int = 0) -> list[dict[str, Any]]:
-    return [sibling(s, seed) for s in pack]
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def renamed(label: Column, number: Column) -> Column:
+    """A label of the same shape: what stands before ``@``, or else before the first ``-``, is turned round, and a number is added."""
+    sign = F.when(label.contains("@"), "@").when(label.contains("-"), "-").otherwise("")
+    head = F.when(sign == "", label).otherwise(F.call_function("substring_index", label, sign, F.lit(1)))
+    tail = F.when(sign == "", F.lit("")).otherwise(F.substr(label, F.char_length(head) + 1))
+    digits = number.cast("string")
+    return F.when(sign == "-", F.concat(F.reverse(head), tail, digits)).otherwise(F.concat(F.reverse(head), digits, tail))
+
+
+def label_map(cells: DataFrame, seed: Column) -> DataFrame:
+    """``scenario_id, label, new``: the distinct text cells of three or more characters that are no numbers, numbered by first place from ``seed`` on."""
+    words = cells.filter("char_length(text) >= 3 and not replace(text, '.', '') rlike '^[0-9]+$'")
+    first = words.groupBy("scenario_id", F.col("text").alias("label")).agg(F.min(F.struct("row", "col")).alias("at"))
+    number = F.row_number().over(Window.partitionBy("scenario_id").orderBy("at")) - 1
+    return first.select("scenario_id", "label", "at", renamed(F.col("label"), seed + number).alias("new"))
+
+
+def relabelled_cells(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """``cells`` with every label exchanged; other cells stay."""
+    by = labels.select("scenario_id", F.col("label").alias("text"), "new")
+    return cells.join(by, ["scenario_id", "text"], "left").select("scenario_id", "row", "col", F.coalesce("new", "text").alias("text"))
+
+
+def relabelled_texts(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``texts`` with the labels of their scenario replaced inside, by first place; a text that is a label is exchanged whole."""
+    lists = labels.groupBy("scenario_id").agg(F.array_sort(F.collect_list(F.struct("at", "label", "new"))).alias("labels"))
+    whole = F.filter("labels", lambda x: x["label"] == F.col("text"))
+    inside = F.aggregate("labels", F.col("text"), lambda text, x: F.replace(text, x["label"], x["new"]))
+    rows = texts.join(lists, "scenario_id", "left")
+    return rows.select("scenario_id", "place", F.when(F.col("labels").isNull(), F.col("text")).when(F.size(whole) > 0, F.get(whole, 0)["new"]).otherwise(inside).alias("text"))
+
+
+def held_out(cells: DataFrame, texts: DataFrame, seed: Column) -> tuple[DataFrame, DataFrame]:
+    """The cells and texts of the siblings; a scenario without labels keeps its own name and texts."""
+    labels = label_map(cells, seed)
+    other = labels.select("scenario_id").distinct().withColumn("made", F.lit(True))
+
+    def named(rows: DataFrame) -> DataFrame:
+        name = F.when(F.col("made"), F.concat("scenario_id", F.lit("~sibling"))).otherwise(F.col("scenario_id"))
+        return rows.join(other, "scenario_id", "left").withColumn("sibling_id", name).drop("made")
+
+    return named(relabelled_cells(cells, labels)), named(relabelled_texts(texts, labels))

@@ -18,6 +18,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sandbox import code_holds
+
 #: Rows of a SELECT that an agent is shown.
 SHOWN_ROWS = 50
 
@@ -43,13 +45,22 @@ def judged_rows(check: SqlCheck, rows: list[list]) -> bool:
 
 
 def holds(spark: SparkSession, check: SqlCheck) -> bool:
-    """A check on the session's views; a query that fails fails the check. Checks expect a handful of rows and read no more than one over."""
-    most = max(len(check.equals or []), 1000) + 1
+    """A check on the session's views; a query that fails fails the check.
+
+    ``equals`` reads one row more than it expects. ``contains`` is looked for in
+    the values of every row, on the executors.
+    """
     try:
-        rows = [list(r) for r in spark.sql(check.query).limit(most).collect()]
+        found = spark.sql(check.query)
+        if check.equals is not None and [list(r) for r in found.limit(len(check.equals) + 1).collect()] != [list(r) for r in check.equals]:
+            return False
+        if check.contains is not None:
+            texts = F.concat_ws(", ", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None")) for c in found.columns))
+            if found.filter(texts.contains(check.contains)).isEmpty():
+                return False
+        return check.non_empty is None or found.isEmpty() != check.non_empty
     except PySparkException:
         return False
-    return judged_rows(check, rows)
 
 
 def updated(df: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
@@ -91,9 +102,11 @@ def text_table(columns: list[str], rows: list[tuple]) -> str:
     """Rows as a text table with a count below."""
 
     def cell(value: Any) -> str:
-        return "NULL" if value is None else f"{value:g}" if isinstance(value, float) else str(value)
+        return "None" if value is None else f"{value:g}" if isinstance(value, float) else str(value)
 
-    return "\n".join([" | ".join(columns), *(" | ".join(map(cell, r)) for r in rows), f"({len(rows)} rows)"])
+    if not columns:
+        return "(no result)"
+    return "\n".join([" | ".join(columns), *(" | ".join(map(cell, r)) for r in rows), f"({len(rows)} row{'s' * (len(rows) != 1)})"])
 
 
 class SqliteWorld:
@@ -112,8 +125,9 @@ class SqliteWorld:
         if self.read_only and not reads:
             return "SQLError: only SELECT statements are allowed"
         try:
+            self.db.execute(f"PRAGMA query_only = {int(self.read_only)}")
             cursor = self.db.execute(query)
-            if reads:
+            if cursor.description is not None:
                 return text_table([d[0] for d in cursor.description], cursor.fetchmany(SHOWN_ROWS))
             self.db.commit()
             return f"OK: {cursor.rowcount} row(s) affected"
@@ -132,8 +146,8 @@ SCENARIOS = "scenario_id string, task string, schema string, table string, rows
 RUNS = "scenario_id string, passed boolean, outcome double, steps int, observations string, failed string"
 
 
-def played(schema: str, rows: list, table: str | None, actions: list[str], answer: str, checks: list[dict]) -> dict[str, Any]:
-    """One scripted rollout: run the actions, then check the end state and the answer."""
+def played(schema: str, rows: list, table: str | None, actions: list[str], answer: str, checks: list[dict], allow_code: bool = False) -> dict[str, Any]:
+    """One scripted rollout: run the actions, then check the end state and the answer; code checks hold only if running code is allowed."""
     with closing(SqliteWorld(schema, rows, table)) as world:
         seen = [world.execute(a) for a in actions]
         failed = []
@@ -144,8 +158,12 @@ def played(schema: str, rows: list, table: str | None, actions: list[str], answe
                     ok = judged_rows(one, world.rows(check["query"]))
                 except sqlite3.Error:
                     ok = False
+            elif check["kind"] == "called_tool":
+                ok = check.get("tool", "sql_query") in (("sql_query",) if actions else ())
+            elif check["kind"] == "code":
+                ok = allow_code and code_holds(answer or "", check["test"])
             else:
-                ok = any(x.lower() in (answer or "").lower() for x in check["any_of"])
+                ok = any(x.lower() in (answer or "").lower() for x in check.get("any_of") or [])
             if not ok:
                 failed.append(check["name"])
     share = round(1 - len(failed) / len(checks), 6) if checks else 1.0

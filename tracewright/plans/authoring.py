@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.sql import register
 from ..operators import rewards
-from ..operators.demonstrations import scenario_from_demonstration
+from ..operators.demonstrations import scenario_of, scenarios
 from ..operators.episodes import collected
 from ..operators.generation import Recipe, generated, planned, run_recipe
-from ..operators.siblings import sibling
+from ..operators.siblings import held_out
 from .tables import table, views
 
 
@@ -44,7 +44,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan of three rounds through the benchmark items, and the tool that its trajectories call."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.substring("text", 1, 60).alias("query"))
-    recipe = Recipe("bench", count=120)
+    recipe = Recipe("bench", count=3 * queries.count())
     rows = generated(planned(queries, recipe.count, recipe.modes), recipe)
     tool = F.try_element_at(F.transform(F.filter("steps", lambda s: s["step_type"] == "tool_call"), lambda s: s["tool_name"]), F.lit(1))
     return rows.select("ord", "id", "mode", F.coalesce(tool, F.lit("")).alias("tool"), F.size("steps").cast("bigint").alias("num_steps"))
@@ -60,35 +60,36 @@ def held_out_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Siblings of one-nation scenarios, made on the executors."""
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name")
 
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for key, name in zip(pdf["n_nationkey"], pdf["n_name"], strict=True):
-                scenario = {"id": str(key), "task": f"Which key has {name}?", "environment": {"rows": [[int(key), name]]}, "checkers": [{"kind": "answer", "any_of": [name]}]}
-                made = sibling(scenario, int(key))
-                out.append((key, made["id"], made["task"], made["environment"]["rows"][0][1]))
-            yield pd.DataFrame(out, columns=["n_nationkey", "id", "task", "label"])
-
-    return rows.mapInPandas(run, "n_nationkey long, id string, task string, label string")
+    name = F.col("n_nationkey").cast("string").alias("scenario_id")
+    cells = rows.select(name, F.lit(0).alias("row"), F.lit(1).alias("col"), F.col("n_name").alias("text"))
+    texts = rows.select(name, F.lit("task").alias("place"), F.concat(F.lit("Which key has "), "n_name", F.lit("?")).alias("text")).unionByName(rows.select(name, F.lit("answer").alias("place"), F.col("n_name").alias("text")))
+    _, found = held_out(cells, texts, F.col("scenario_id").cast("long"))
+    one = lambda place: F.max(F.when(F.col("place") == place, F.col("text")))
+    out = found.groupBy("scenario_id", "sibling_id").agg(one("task").alias("task"), one("answer").alias("label"))
+    return out.select(F.col("scenario_id").cast("bigint").alias("n_nationkey"), F.col("sibling_id").alias("id"), "task", "label")
 
 
 def demonstrated_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenarios from a demonstration per region, played by a policy that repeats it or does nothing."""
     regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("ord"), "r_name")
 
-    def make(pdf_iter):
+    key = F.col("ord").cast("string")
+    row = F.to_json(F.array(F.array(key, F.col("r_name")), F.array(F.lit("99"), F.lit("other"))))
+    action = F.concat(F.lit("UPDATE region SET name = name || '!' WHERE id = "), key)
+    demos = regions.select(
+        F.concat(F.lit("region-"), key).alias("scenario_id"), F.concat(F.lit("Mark "), "r_name", F.lit(".")).alias("task"), F.lit("CREATE TABLE region (id INTEGER PRIMARY KEY, name TEXT)").alias("schema"),
+        F.lit("region").alias("table"), row.alias("rows"), F.to_json(F.array(action)).alias("actions"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("int").alias("max_steps"),
+    )
+
+    def make(batches):
         import pandas as pd
 
-        for pdf in pdf_iter:
+        for pdf in batches:
             out = []
-            for key, name in zip(pdf["ord"], pdf["r_name"], strict=True):
-                action = f"UPDATE region SET name = name || '!' WHERE id = {key}"
-                demo = {"task": f"Mark {name}.", "schema": "CREATE TABLE region (id INTEGER PRIMARY KEY, name TEXT)", "rows": [[int(key), name], [99, "other"]], "actions": [action]}
-                s = scenario_from_demonstration(demo, f"region-{key}")
-                s["plan"] = [action] if key % 2 == 0 else ["SELECT * FROM region"]
-                out.append((key, json.dumps(s)))
+            for r in pdf.to_dict("records"):
+                number = int(r["scenario_id"].split("-")[1])
+                plan = [f"UPDATE region SET name = name || '!' WHERE id = {number}"] if number % 2 == 0 else ["SELECT * FROM region"]
+                out.append((number, json.dumps({**scenario_of(r), "plan": plan})))
             yield pd.DataFrame(out, columns=["ord", "scenario"])
 
     def policy(seen, episode):
@@ -96,7 +97,7 @@ def demonstrated_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
         plan = episode.scenario["plan"]
         return {"query": plan[done]} if done < len(plan) else {"answer": "done"}
 
-    made = regions.mapInPandas(make, "ord long, scenario string")
+    made = scenarios(demos).mapInPandas(make, "ord long, scenario string")
     return collected(made, policy, json.loads).select("ord", "scenario_id", "passed", "outcome", "reward", "steps")
 
 
@@ -113,7 +114,7 @@ SELECT source, n, round(greatest((r + 3.8416e0/(2e0*n) - 1.96e0*sqrt(r*(1-r)/n +
   round(least((r + 3.8416e0/(2e0*n) + 1.96e0*sqrt(r*(1-r)/n + 3.8416e0/(4e0*n*n))) / (1 + 3.8416e0/n), 1), 4)::DOUBLE AS hi, {_SEED.format("source || '||7'")} AS seed FROM r""",
     "generated_plan": f"""
 WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS place, substring(text, 1, 60) AS q FROM benchmark),
-p AS (SELECT ord, q, CASE ord % 3 WHEN 0 THEN 'single_agent' WHEN 1 THEN 'multi_agent' ELSE 'code_execution' END AS mode FROM range(0, 120) AS t(ord) JOIN b ON place = ord % (SELECT count(*) FROM benchmark)),
+p AS (SELECT ord, q, CASE ord % 3 WHEN 0 THEN 'single_agent' WHEN 1 THEN 'multi_agent' ELSE 'code_execution' END AS mode FROM (SELECT unnest(range(0, 3 * (SELECT count(*) FROM benchmark))) AS ord) AS t JOIN b ON place = ord % (SELECT count(*) FROM benchmark)),
 s AS (SELECT *, {_SEED.format("q || '||' || ord || '||' || mode || '||0'")} AS seed FROM p)
 SELECT ord, lpad(lower(hex(seed)), 12, '0') AS id, mode, CASE WHEN mode = 'code_execution' THEN '' ELSE ['search', 'lookup', 'calculate'][seed % 3 + 1] END AS tool, CASE mode WHEN 'single_agent' THEN 4 WHEN 'multi_agent' THEN 5 ELSE 3 END::BIGINT AS num_steps FROM s""",
     "held_out_siblings": """

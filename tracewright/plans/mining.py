@@ -14,7 +14,7 @@ DIMS = ("length_score", "value_score", "quality_score")
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as cases: the expected tool is the return flag, the predicted one the line status, null on the first line."""
-    items = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    items = table(spark, sf_dir, "lineitem")
     predicted = F.when(F.col("l_linenumber") == 1, F.lit(None)).when(F.col("l_quantity") > 25, F.col("l_returnflag")).otherwise(F.col("l_linestatus"))
     return items.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("case_id"), F.col("l_returnflag").alias("expected_tool"), predicted.alias("predicted_tool"),
@@ -92,7 +92,7 @@ def confidence_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (tool_calling_report, failure_counts, most_missed_tools, judge_failures_unpivot, weak_dimensions, targeted_queries, evolve_queries, sft_semi_join, dpo_pairs, rft_top_quantile, confidence_routing)}
 
-_C = """WITH c AS (SELECT l_returnflag AS expected_tool, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_quantity > 25 THEN l_returnflag ELSE l_linestatus END AS predicted_tool, l_tax = l_discount AS same FROM lineitem WHERE l_linenumber <= 3),
+_C = """WITH c AS (SELECT l_returnflag AS expected_tool, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_quantity > 25 THEN l_returnflag ELSE l_linestatus END AS predicted_tool, l_tax = l_discount AS same FROM lineitem),
 s AS (SELECT *, coalesce(predicted_tool = expected_tool, false) AS tool_ok, coalesce(predicted_tool = expected_tool, false) AND same AS args_ok FROM c),
 f AS (SELECT *, CASE WHEN predicted_tool IS NULL THEN 'invalid_call' WHEN NOT tool_ok THEN 'wrong_tool' ELSE 'bad_args' END AS kind FROM s WHERE NOT (tool_ok AND args_ok))"""
 _S = """WITH s AS (SELECT doc_id, source, lang, round(least(n_chars / 2000e0, 1), 2) AS length_score, (1 - toxic)::DOUBLE AS value_score, quality::DOUBLE AS quality_score FROM documents JOIN labels USING (doc_id)),

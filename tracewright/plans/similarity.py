@@ -111,7 +111,7 @@ def modular_cycle_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tool_relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three items that share most words with each query, ties by a stable seed."""
-    queries = table(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("q"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
     tools = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
     shared = queries.join(tools, "w").groupBy("q", "item_id").agg(F.count("*").alias("overlap"))
     ranked = shared.withColumn("seed", stable_seed(F.lit(7), F.col("item_id"), F.col("q")))
@@ -200,7 +200,7 @@ SELECT doc_id AS idx, item_id, CASE doc_id % 3 WHEN 0 THEN 'single_agent' WHEN 1
 FROM documents JOIN b ON b.at = doc_id % (SELECT count(*) FROM benchmark)""",
     "tool_relevance_topk": f"""
 WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark),
-s AS (SELECT q.item_id AS q, t.item_id, count(*) AS overlap FROM w q JOIN w t USING (w) WHERE q.item_id < 10 GROUP BY 1, 2),
+s AS (SELECT q.item_id AS q, t.item_id, count(*) AS overlap FROM w q JOIN w t USING (w) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, {_SEED.format("'7||' || item_id || '||' || q")}, item_id) AS place FROM s)
 SELECT * FROM r WHERE place <= 3""",
     "content_hashes": "SELECT event_id, substr(sha256('{\"k\": ' || json_extract_string(props, '$.k') || '}'), 1, 16) AS hash FROM events",
