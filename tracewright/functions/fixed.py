@@ -17,10 +17,12 @@ DANGER = ("rm -rf", "drop table", "delete from", "os.system", "subprocess", "<sc
 
 # Words that the judge's token overlap ignores.
 STOP_WORDS = (
-    "the,a,an,and,or,but,if,then,else,of,to,in,on,at,for,with,by,from,as,is,are,was,were,be,been,being,it,its,this,that,these,those,"
-    "i,you,he,she,we,they,me,him,her,us,them,my,your,his,their,our,what,which,who,whom,do,does,did,have,has,had,will,would,shall,"
-    "should,can,could,may,might,must,about,into,over,after,before,than,so,no,not,up,down,out,off,just,also,there,here"
-).split(",")
+    "the", "a", "an", "and", "or", "but", "if", "then", "else", "of", "to", "in", "on", "at", "for", "with", "by", "from", "as", "is", "are", "was",
+    "were", "be", "been", "being", "it", "its", "this", "that", "these", "those", "i", "you", "he", "she", "we", "they", "me", "him", "her", "us",
+    "them", "my", "your", "his", "their", "our", "what", "which", "who", "whom", "do", "does", "did", "have", "has", "had", "will", "would", "shall",
+    "should", "can", "could", "may", "might", "must", "about", "into", "over", "after", "before", "than", "so", "no", "not", "up", "down", "out",
+    "off", "just", "also", "there", "here",
+)
 
 # Redaction rules in their order. (?U) lets \w and \b know all letters.
 REDACTIONS = (
