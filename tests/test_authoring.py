@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import demonstrations, episodes, generation, rewards, siblings, worlds
+from tracewright.operators import steps as step_operators
 from tracewright.operators.schema import STEP_FIELDS, trajectory_schema
 from tracewright.plans import catalog
 from tracewright.sources import cards
@@ -78,6 +79,9 @@ def test_exported_arguments_are_objects(spark):
     line = json.loads(writers.jsonl(table).first()["value"])
     assert [s["tool_args"] for s in line["steps"]] == [{"q": 'a "b" \n é', "n": [1, None]}, "not json", None]
     assert line["messages"][1]["tool_calls"][0]["arguments"] == {"q": 'a "b" \n é', "n": [1, None]}
+    private = table.withColumn("steps", F.transform("steps", lambda s: s.withField("tool_args", F.lit('{"to": {"mail": "ann@example.com"}}')).withField("observation", F.lit("key sk-abcdefghijklmnop1234"))))
+    line = json.loads(writers.jsonl(step_operators.redacted(private)).first()["value"])
+    assert line["steps"][0]["tool_args"] == {"to": {"mail": "[redacted-email]"}} and line["steps"][0]["observation"] == "key [redacted-api_key]" and line["steps"][0]["tool_name"] == "search"
     call = json.loads(writers.adp(table).first()["steps"][0]["content"])
     assert call == {"tool": "search", "args": {"q": 'a "b" \n é', "n": [1, None]}}
 
@@ -151,3 +155,20 @@ def test_streaming_rate_limit(spark, tmp_path):
     query.awaitTermination()
     got = [(r["recent"], r["rejected"]) for r in spark.table("limited").filter("ip = 'a'").orderBy("ts").collect()]
     assert got == [(1, False), (2, False), (3, False), (4, True), (4, True), (1, False)]
+
+
+def test_lines_keep_their_order(spark, tmp_path):
+    from tracewright.sources import readers
+
+    lines = [json.dumps({"id": str(k), "query": f"q{k % 3}"}) for k in range(50)] + ["", json.dumps({"id": "0", "query": "q0"})]
+    (tmp_path / "lines.jsonl").write_text("\n".join(lines))
+    got = readers.trajectories_jsonl(spark, str(tmp_path / "lines.jsonl")).orderBy("ord").collect()
+    assert [r["id"] for r in got] == [*map(str, range(50)), "0"] and len({r["ord"] for r in got}) == 51
+
+
+def test_first_user_turn_is_the_query(spark):
+    from tracewright.sources import readers
+
+    q = spark.createDataFrame([(json.dumps({"id": "a", "question": [[{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]], "function": []}),)], "value string")
+    a = spark.createDataFrame([(json.dumps({"id": "a", "ground_truth": [{"f": {"x": ["1"]}}]}),)], "value string")
+    assert readers.bfcl_cases(q, a).first()["query"] == "u"

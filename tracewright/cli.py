@@ -9,8 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from .functions.text import redact, shingles, tokens
-from .operators import judge, provenance, similarity, worlds
+from .functions.text import shingles, tokens
+from .operators import judge, provenance, similarity, steps, worlds
 from .session import local_session, ship
 from .sources import readers, writers
 
@@ -22,9 +22,9 @@ def _session():
 
 
 def _import(args) -> int:
-    found = readers.traces(_session().read.text(args.path).filter(F.trim("value") != ""), args.format)
+    found = readers.traces(readers.numbered_lines(_session(), args.path), args.format)
     if args.redact:
-        found = found.withColumns({"query": redact(F.col("query")), "final_answer": redact(F.col("final_answer"))})
+        found = steps.redacted(found)
     writers.save(found, args.out, "jsonl")
     return 0
 

@@ -1,4 +1,4 @@
-"""The learned verifier: a logistic regression over trajectory features, with held-out report and optional Platt scaling."""
+"""The learned verifier: a logistic regression over trajectory features, with held-out report."""
 
 from __future__ import annotations
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ERROR_WORDS
-from ..functions.text import blank
+from ..functions.text import blank, redact
+from .schema import STEP_FIELDS
 
 REASONING = ("thought", "plan", "critique")
 MESSAGE = "struct<role:string,content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
@@ -129,3 +130,13 @@ def features() -> dict[str, Column]:
         "verification_score": F.coalesce(F.col("verification.score"), F.lit(0.0)),
     }
     return {name: F.coalesce(value.cast("double"), F.lit(0.0)) for name, value in out.items()}
+
+
+#: Fields of a step that name things and are not redacted.
+NAMING = ("step_type", "agent", "tool_name")
+
+
+def redacted(trajectories: DataFrame) -> DataFrame:
+    """Trajectories with query, answer, metadata and every text of their steps redacted, arguments and code included."""
+    steps = F.transform("steps", lambda s: F.struct(*((s[f] if f in NAMING else redact(s[f])).alias(f) for f in STEP_FIELDS)))
+    return trajectories.withColumns({"query": redact(F.col("query")), "final_answer": redact(F.col("final_answer")), "metadata": redact(F.col("metadata")), "steps": steps})

@@ -15,12 +15,20 @@ from ..operators.schema import STEP, STEP_FIELDS, TOOL, VERIFICATION, trajectory
 _RECORD = f"id string, query string, mode string, domain string, tools array<{TOOL}>, steps array<{STEP}>, final_answer string, success boolean, generator_model string, metadata string, verification {VERIFICATION}"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``ord, value`` of the lines that aren't blank; ``ord`` rises with the place of a line in its file, also for equal lines."""
+    return spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).filter(F.trim("value") != "").select("ord", "value")
+
+
 def trajectories_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Trajectories from JSON lines with the defaults of missing fields; a missing id is a hash of the line."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    got = lines.select("value", F.from_json("value", _RECORD).alias("r"))
+    """Trajectories from JSON lines with the defaults of missing fields; a missing id is a hash of the line.
+
+    ``ord`` rises with the place of a line in its file.
+    """
+    lines = numbered_lines(spark, path)
+    got = lines.select("ord", "value", F.from_json("value", _RECORD).alias("r"))
     return got.select(
-        F.xxhash64("value").alias("ord"),
+        "ord",
         F.coalesce("r.id", F.substring(F.sha2("value", 256), 1, 12)).alias("id"),
         F.coalesce("r.query", F.lit("")).alias("query"),
         F.coalesce("r.mode", F.lit("single_agent")).alias("mode"),
@@ -87,7 +95,8 @@ def manifest(text: str) -> dict:
 
 def bfcl_cases(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Tool-calling cases of raw JSON lines (``value``): questions joined to their answers, those without a ground truth dropped."""
-    user = F.get_json_object("value", "$.question[0][0].content")
+    said = F.flatten(F.from_json(F.get_json_object("value", "$.question"), "array<array<struct<role:string,content:string>>>"))
+    user = F.coalesce(F.get(F.filter(said, lambda m: m["role"] == "user"), 0)["content"], F.lit(""))
     q = questions.select(F.get_json_object("value", "$.id").alias("id"), user.alias("query"), F.regexp_replace(F.get_json_object("value", "$.function"), r'"type":\s*"dict"', '"type":"object"').alias("tools"))
     truth = F.from_json(F.get_json_object("value", "$.ground_truth"), "array<map<string,map<string,array<string>>>>")
     a = answers.select(F.get_json_object("value", "$.id").alias("id"), F.try_element_at(truth, F.lit(1)).alias("truth"))
@@ -221,7 +230,10 @@ def imported(line: str, source: str = "auto") -> dict[str, Any] | None:
 
 
 def traces(lines: DataFrame, source: str = "auto") -> DataFrame:
-    """Trajectories from raw traces (``value``: one JSON text each); traces without messages are dropped."""
+    """Trajectories from raw traces (``value``: one JSON text each); traces without messages are dropped.
+
+    ``ord`` is that of ``lines``, or a hash of the trace where they have none.
+    """
     names = [f.name for f in trajectory_schema().fields]
 
     def run(batches):
@@ -229,7 +241,8 @@ def traces(lines: DataFrame, source: str = "auto") -> DataFrame:
             rows = [(o, imported(v, source)) for o, v in zip(pdf["ord"], pdf["value"], strict=True)]
             yield pd.DataFrame([{"ord": o, **r} for o, r in rows if r], columns=names)
 
-    return lines.select(F.xxhash64("value").alias("ord"), "value").mapInPandas(run, trajectory_schema())
+    place = F.col("ord").cast("long") if "ord" in lines.columns else F.xxhash64("value")
+    return lines.select(place.alias("ord"), "value").mapInPandas(run, trajectory_schema())
 
 
 def conversation_traces(conversations: DataFrame) -> DataFrame:
