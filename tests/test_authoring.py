@@ -79,6 +79,8 @@ def test_exported_arguments_are_objects(spark):
     line = json.loads(writers.jsonl(table).first()["value"])
     assert [s["tool_args"] for s in line["steps"]] == [{"q": 'a "b" \n é', "n": [1, None]}, "not json", None]
     assert line["messages"][1]["tool_calls"][0]["arguments"] == {"q": 'a "b" \n é', "n": [1, None]}
+    text = table.select(step_operators.completion_text()).first()[0]
+    assert text == 'Action: search({"q": "a \\"b\\" \\n \\u00e9", "n": [1, null]})\nAction: odd(not json)\nFinal answer: done'
     private = table.withColumn("steps", F.transform("steps", lambda s: s.withField("tool_args", F.lit('{"to": {"mail": "ann@example.com"}}')).withField("observation", F.lit("key sk-abcdefghijklmnop1234"))))
     line = json.loads(writers.jsonl(step_operators.redacted(private)).first()["value"])
     assert line["steps"][0]["tool_args"] == {"to": {"mail": "[redacted-email]"}} and line["steps"][0]["observation"] == "key [redacted-api_key]" and line["steps"][0]["tool_name"] == "search"

@@ -23,6 +23,20 @@ def case_score() -> Column:
     return F.when(F.col("tool_ok") & F.col("args_ok"), 1.0).when(F.col("tool_ok"), 0.5).otherwise(0.0)
 
 
+def case_report(cases: DataFrame) -> DataFrame:
+    """One row ``n, tool_accuracy, arg_accuracy, score`` of scored cases."""
+    shares = {"tool_accuracy": F.col("tool_ok").cast("double"), "arg_accuracy": F.col("args_ok").cast("double"), "score": F.col("score")}
+    return cases.agg(F.count("*").alias("n"), *(F.round(F.coalesce(F.avg(v), F.lit(0.0)), 4).alias(k) for k, v in shares.items()))
+
+
+def models_compared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: the reports of two models' scored cases side by side, and what changed."""
+    names = ("tool_accuracy", "arg_accuracy", "score")
+    old, new = (case_report(c).select("n", *(F.col(k).alias(f"{k}_{when}") for k in names)) for c, when in ((before, "before"), (after, "after")))
+    both = old.join(new.drop("n"))  # one row each
+    return both.withColumns({f"delta_{k}": F.round(F.col(f"{k}_after") - F.col(f"{k}_before"), 4) for k in ("tool_accuracy", "score")})
+
+
 def scored_cases(cases: DataFrame) -> DataFrame:
     """``tool_ok, args_ok, score`` of rows ``case_id, expected_tool, predicted_tool, expected_arg, predicted_arg``."""
     tool = F.coalesce(F.col("predicted_tool") == F.col("expected_tool"), F.lit(False))

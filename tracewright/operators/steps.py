@@ -140,3 +140,19 @@ def redacted(trajectories: DataFrame) -> DataFrame:
     """Trajectories with query, answer, metadata and every text of their steps redacted, arguments and code included."""
     steps = F.transform("steps", lambda s: F.struct(*((s[f] if f in NAMING else redact(s[f])).alias(f) for f in STEP_FIELDS)))
     return trajectories.withColumns({"query": redact(F.col("query")), "final_answer": redact(F.col("final_answer")), "metadata": redact(F.col("metadata")), "steps": steps})
+
+
+def completion_text() -> Column:
+    """A trajectory as one text, as preference pairs hold it: reasoning, actions with their arguments as JSON, observations, code and the answer."""
+
+    def said(s: Column) -> Column:
+        agent = F.when(blank(s["agent"]) != "", F.concat(F.lit("["), s["agent"], F.lit("] "))).otherwise(F.lit(""))
+        thought = F.trim(F.coalesce(F.nullif(s["thought"], F.lit("")), blank(s["content"])))
+        call = F.concat(agent, F.lit("Action: "), blank(s["tool_name"]), F.lit("("), F.coalesce(s["tool_args"], F.lit("{}")), F.lit(")"))
+        code = F.concat(F.lit("Code:\n"), F.trim(blank(s["code"])), F.lit("\nOutput: "), F.trim(blank(s["code_output"])))
+        text = F.when(s["step_type"].isin(*REASONING) & (thought != ""), F.concat(agent, thought)).when(s["step_type"] == "tool_call", call)
+        return text.when(s["step_type"] == "observation", F.concat(F.lit("Observation: "), F.trim(blank(s["observation"])))).when(s["step_type"] == "code_execution", code)
+
+    answer = F.trim(blank(F.col("final_answer")))
+    lines = F.concat(F.transform("steps", said), F.array(F.when(answer != "", F.concat(F.lit("Final answer: "), answer))))
+    return F.trim(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"))

@@ -27,6 +27,13 @@ def tool_calling_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.agg(F.count("*").alias("n"), ratio(F.sum(F.col("tool_ok").cast("bigint")), F.count("*")).alias("tool_accuracy"), ratio(F.sum(F.col("args_ok").cast("bigint")), F.count("*")).alias("arg_accuracy"), F.round(F.avg("score"), 4).alias("score"))
 
 
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases as they are against a second model that also answers the first line of every order."""
+    cases = _cases(spark, sf_dir)
+    better = cases.withColumn("predicted_tool", F.coalesce("predicted_tool", "expected_tool"))
+    return M.models_compared(M.scored_cases(cases), M.scored_cases(better))
+
+
 def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.failures(M.scored_cases(_cases(spark, sf_dir))).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -90,7 +97,7 @@ def confidence_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", route.alias("route")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (tool_calling_report, failure_counts, most_missed_tools, judge_failures_unpivot, weak_dimensions, targeted_queries, evolve_queries, sft_semi_join, dpo_pairs, rft_top_quantile, confidence_routing)}
+QUERIES = {f.__name__: f for f in (tool_calling_report, model_comparison, failure_counts, most_missed_tools, judge_failures_unpivot, weak_dimensions, targeted_queries, evolve_queries, sft_semi_join, dpo_pairs, rft_top_quantile, confidence_routing)}
 
 _C = """WITH c AS (SELECT l_returnflag AS expected_tool, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_quantity > 25 THEN l_returnflag ELSE l_linestatus END AS predicted_tool, l_tax = l_discount AS same FROM lineitem),
 s AS (SELECT *, coalesce(predicted_tool = expected_tool, false) AS tool_ok, coalesce(predicted_tool = expected_tool, false) AND same AS args_ok FROM c),
@@ -109,6 +116,13 @@ n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round, item_id) A
 
 ORACLES = {
     "tool_calling_report": f"{_C} SELECT count(*) AS n, round(sum(tool_ok::INT) / count(*)::DOUBLE, 4) AS tool_accuracy, round(sum(args_ok::INT) / count(*)::DOUBLE, 4) AS arg_accuracy, round(avg(CASE WHEN tool_ok AND args_ok THEN 1e0 WHEN tool_ok THEN 0.5e0 ELSE 0e0 END), 4) AS score FROM s",
+    "model_comparison": f"""{_C}, m AS (
+  SELECT 'b' AS model, tool_ok, args_ok FROM s UNION ALL
+  SELECT 'a', coalesce(coalesce(predicted_tool, expected_tool) = expected_tool, false), coalesce(coalesce(predicted_tool, expected_tool) = expected_tool, false) AND same FROM c),
+k AS (SELECT model, count(*) AS n, 2 * sum(tool_ok::INT) AS t, 2 * sum(args_ok::INT) AS g, sum(tool_ok::INT + (tool_ok AND args_ok)::INT) AS s FROM m GROUP BY 1),
+r AS (SELECT model, n, floor((t * 10000e0 + n) / (2e0 * n)) / 10000e0 AS t, floor((g * 10000e0 + n) / (2e0 * n)) / 10000e0 AS g, floor((s * 10000e0 + n) / (2e0 * n)) / 10000e0 AS s FROM k)
+SELECT b.n, b.t AS tool_accuracy_before, b.g AS arg_accuracy_before, b.s AS score_before, a.t AS tool_accuracy_after, a.g AS arg_accuracy_after, a.s AS score_after,
+  round(a.t - b.t, 4) AS delta_tool_accuracy, round(a.s - b.s, 4) AS delta_score FROM r b JOIN r a ON b.model = 'b' AND a.model = 'a'""",
     "failure_counts": f"{_C} SELECT kind, count(*) AS n FROM f GROUP BY 1",
     "most_missed_tools": f"{_C} SELECT expected_tool, count(*) AS missed FROM f GROUP BY 1 ORDER BY missed DESC, expected_tool LIMIT 5",
     "judge_failures_unpivot": f"{_S} SELECT doc_id, dimension, value, printf('%s=%.2f < 0.70', dimension, value) AS detail FROM u WHERE value < 0.7",
