@@ -184,16 +184,12 @@ def _few(groups: DataFrame, n: int, label: str) -> DataFrame:
 def _with_parents(groups: DataFrame, values: list[str]) -> DataFrame:
     """Stored ``groups`` (``g_lang, g_source`` and ``values``) with the values of language and all as ``l_..`` and ``a_..``."""
 
-    def renamed(table: DataFrame, prefix: str) -> DataFrame:
-        return table.select(F.col("g_lang").alias("p_lang"), *(F.col(v).alias(f"{prefix}_{v}") for v in values))
-
-    out = groups
-    for prefix, at in (("l", F.col("g_lang")), ("a", F.lit(ALL))):
-        # the row of all is met under its name, that of a language under its own
-        parents = renamed(groups.filter(F.col("g_source").eqNullSafe(ALL)), prefix)
-        out = out.withColumn("up", at)
-        out = out.join(parents, out["up"].eqNullSafe(parents["p_lang"])).drop("p_lang", "up")
-    return out
+    langs = groups.filter(F.col("g_source").eqNullSafe(ALL)).select(F.col("g_lang").alias("p_lang"), *(F.col(v).alias(f"l_{v}") for v in values))
+    out = groups.join(langs, groups["g_lang"].eqNullSafe(langs["p_lang"])).drop("p_lang")
+    top = groups.filter(F.col("g_lang").eqNullSafe(ALL)).select(*values).first()  # one row of sums or medians
+    if top is None:
+        return out.limit(0).withColumns({f"a_{v}": F.col(v) for v in values})
+    return out.withColumns({f"a_{v}": F.array(*map(F.lit, top[v])) if isinstance(top[v], list) else F.lit(top[v]) for v in values})
 
 
 def usual_rates(table: DataFrame, prior: float, n: int) -> DataFrame:
