@@ -67,3 +67,73 @@ sim AS (SELECT doc_id, item_id, n, start, common / (total + n - 4 - common)::DOU
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, start) AS k FROM sim WHERE s >= 0.8)
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS window_start, CAST(n AS INTEGER) AS n_words, round(s, 6) AS similarity FROM best WHERE k = 1
 """
+
+OP12 = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+    list_transform(range(0, 4), lambda k: CAST('0x' || substr(sha256('1:' || doc_id), 8 * k + 1, 8) AS BIGINT)) AS h
+  FROM documents),
+c AS (SELECT *, len(w) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b FROM u),
+f AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(w[1 : a], '') AS pre, array_to_string(w[a + 1 : b], '') AS mid, array_to_string(w[b + 1 : n], '') AS suf
+  FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output FROM f),
+r AS (
+  SELECT *, CASE form WHEN 'plain' THEN output
+    WHEN 'psm' THEN split_part(substr(output, 4), '<S>', 1) || split_part(output, '<M>', 2) || split_part(split_part(output, '<S>', 2), '<M>', 1)
+    ELSE split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2) || split_part(substr(output, 4), '<P>', 1) END AS restored
+  FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars, sha256(output) AS output_sha256, sha256(restored) AS restored_sha256
+FROM r
+"""
+
+_FRAMED = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+
+
+def _climbed(source: str, levels: int, name: str) -> str:
+    """Levels of a tree over ``source`` (``tree, i, hash, m``; m nodes) to ``name`` (``tree, hash``); runs of siblings as ``name_c<k>``."""
+    sql = f"{name}_n0 AS (SELECT * FROM {source})"
+    for k in range(1, levels + 1):
+        sql += f""",
+{name}_c{k} AS (SELECT tree, i // 16 AS run, m, string_agg(hash, '' ORDER BY i) AS hashes FROM {name}_n{k - 1} GROUP BY ALL),
+{name}_n{k} AS (SELECT tree, run AS i, CASE WHEN m = 1 THEN hashes ELSE sha256(hashes) END AS hash, (m + 15) // 16 AS m FROM {name}_c{k})"""
+    return sql + f",\n{name} AS (SELECT tree, hash FROM {name}_n{levels})"
+
+
+def _folded(rows: str, levels: int, name: str, out: str) -> str:
+    """``rows`` (``tree, i, proof, f`` and others) taken up ``name``'s levels: siblings added to ``proof``, ``f`` folded."""
+    sql = ""
+    for k in range(1, levels + 1):
+        before, after = (rows if k == 1 else f"{out}_{k - 1}"), (out if k == levels else f"{out}_{k}")
+        spot = f"(i // {16 ** (k - 1)}) % 16 * 64"
+        sql += f""",
+{after} AS (
+  SELECT r.* REPLACE (CASE WHEN c.m = 1 THEN proof ELSE proof || substr(hashes, 1, {spot}) || substr(hashes, {spot} + 65) END AS proof,
+    CASE WHEN c.m = 1 THEN f ELSE sha256(substr(hashes, 1, {spot}) || f || substr(hashes, {spot} + 65)) END AS f)
+  FROM {before} r JOIN {name}_c{k} c ON c.tree = r.tree AND c.run = r.i // {16**k})"""
+    return sql
+
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of an ASCII text bit by bit, which DuckDB has no function for."""
+    step = "list_reduce(range(0, 8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(a, b))"
+    return f"xor(list_reduce([ascii(x)::BIGINT for x in string_split({text}, '')], lambda a, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+#: Five levels are enough for a million documents of a source, two for 256 sources.
+OP13 = f"""
+WITH d AS (SELECT doc_id, source, coalesce(':' || source, '-') AS tree, lang, n_chars, text, crc32 % 5 = 0 AS tampered FROM (SELECT *, {crc32_sql('doc_id::VARCHAR')} AS crc32 FROM documents)),
+l AS (
+  SELECT doc_id, tree, sha256({"||".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS hash,
+    CASE WHEN tampered THEN sha256({"||".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))}) END AS claimed
+  FROM d),
+leaves AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, hash) - 1 AS i, hash, count(*) OVER (PARTITION BY tree) AS m, doc_id, claimed FROM l),
+plain AS (SELECT tree, i, hash, m FROM leaves),
+{_climbed("plain", 5, "s")},
+tops AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, hash, count(*) OVER () AS m, tree AS source FROM s),
+topnodes AS (SELECT tree, i, hash, m FROM tops),
+{_climbed("topnodes", 2, "t")},
+start AS (SELECT tree, i, doc_id, hash AS leaf, '' AS proof, coalesce(claimed, hash) AS f FROM leaves){_folded("start", 5, "s", "low")},
+mid AS (SELECT tops.tree, tops.i, doc_id, leaf, proof, f, tops.hash AS subroot FROM low JOIN tops ON low.tree = tops.source){_folded("mid", 2, "t", "top")}
+SELECT doc_id, leaf, subroot, t.hash AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.hash AS verified FROM top CROSS JOIN t
+"""

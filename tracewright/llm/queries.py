@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import spread
-from . import chat, decontamination, licences, oracles, packing, planes, quality, reputation, secrets, sharding, simhash, tokens
+from . import chat, decontamination, fim, licences, merkle, oracles, packing, planes, quality, reputation, secrets, sharding, simhash, tokens
 from .shared import written
 
 
@@ -96,6 +96,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 3).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_chat_formatting, op3_best_fit_packing, op4_token_planes, op5_hypergeometric_shards, op6_host_reputation, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_secret_scan, op10_quality_rules)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transformed(_documents(spark, sf_dir).select("doc_id", "text"), seed=1)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return found.select(F.col("doc_id").cast("long"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
-ORACLES: dict[str, str] = {"op6_host_reputation": oracles.OP6, "op8_benchmark_decontamination": oracles.OP8}
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "lang", "n_chars", "text")
+
+    def leaf(text):
+        return merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    claimed = F.when(tampered, leaf(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    found = merkle.manifest(docs, "doc_id", "source", leaf(F.col("text")), claimed)
+    return found.select(F.col("doc_id").cast("long"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_chat_formatting, op3_best_fit_packing, op4_token_planes, op5_hypergeometric_shards, op6_host_reputation, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_secret_scan, op10_quality_rules, op12_fill_in_middle, op13_merkle_manifest)}
+
+ORACLES: dict[str, str] = {"op6_host_reputation": oracles.OP6, "op8_benchmark_decontamination": oracles.OP8, "op12_fill_in_middle": oracles.OP12, "op13_merkle_manifest": oracles.OP13}
