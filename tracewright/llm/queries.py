@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import spread
-from . import chat, decontamination, fim, licences, merkle, oracles, packing, planes, quality, reputation, secrets, sharding, simhash, tokens
+from . import chat, decontamination, embeddings, fim, licences, merkle, oracles, packing, planes, quality, reputation, secrets, sharding, simhash, tokens
 from .shared import written
 
 
@@ -96,6 +96,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 3).alias("distance"))
 
 
+def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.transformed(_documents(spark, sf_dir).select("doc_id", "text"), seed=1)
     back = fim.restored(F.col("output"), F.col("form"))
@@ -114,6 +118,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_chat_formatting, op3_best_fit_packing, op4_token_planes, op5_hypergeometric_shards, op6_host_reputation, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_secret_scan, op10_quality_rules, op12_fill_in_middle, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_chat_formatting, op3_best_fit_packing, op4_token_planes, op5_hypergeometric_shards, op6_host_reputation, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_secret_scan, op10_quality_rules, op11_projection_forest, op12_fill_in_middle, op13_merkle_manifest)}
 
 ORACLES: dict[str, str] = {"op6_host_reputation": oracles.OP6, "op8_benchmark_decontamination": oracles.OP8, "op12_fill_in_middle": oracles.OP12, "op13_merkle_manifest": oracles.OP13}
