@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewright import cli
 from tracewright.functions import hashing, text
 from tracewright.functions.stats import pass_hat_k, wilson
-from tracewright.operators import boards, judge, mining, provenance, similarity, steps, verify, worlds
+from tracewright.operators import boards, judge, mining, overlap, provenance, similarity, steps, verify, worlds
 from tracewright.operators.schema import STEP_FIELDS, trajectory_schema
 from tracewright.sources import readers, writers
 
@@ -284,3 +284,84 @@ def test_cli_diff_and_validate(tmp_path, capsys):
     (tmp_path / "p").write_text(json.dumps([{"id": "x", "task": "t"}]))
     assert cli.main(["validate", str(tmp_path / "p")]) == 1
     capsys.readouterr()
+
+
+def plain_overlap(texts, others):
+    def jac(a, b):
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+    theirs = [python_shingles(t) for t in others]
+    return [max((jac(set(python_shingles(t)), set(o)) for o in theirs), default=0.0) for t in texts]
+
+
+@pytest.mark.parametrize("hot", [32, 2, 0])
+def test_best_overlap_is_the_greatest_of_all(spark, monkeypatch, hot):
+    monkeypatch.setattr(overlap, "HOT", hot)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(WORDS[:5], k=rng.randint(0, 14))) for _ in range(80)] + [None, "", "unmet words only here"]
+    others = [" ".join(rng.choices(WORDS[:6], k=rng.randint(1, 14))) for _ in range(40)]
+    for pool in (others, [*others, "", "", others[0]], [""], []):
+        got = {r["ord"]: r["overlap"] for r in overlap.best_overlap(sets(spark, texts), sets(spark, pool)).collect()}
+        want = plain_overlap(texts, pool)
+        assert got == pytest.approx(dict(enumerate(want)))
+    clean, flagged = overlap.decontaminated(sets(spark, texts), sets(spark, others), 0.4)
+    want = plain_overlap(texts, others)
+    assert {r["ord"]: r["overlap"] for r in flagged.collect()} == pytest.approx({k: v for k, v in enumerate(want) if v >= 0.4})
+    assert {r["ord"] for r in clean.collect()} == {k for k, v in enumerate(want) if v < 0.4}
+
+
+def test_a_shingle_in_every_text_is_no_product(spark, monkeypatch):
+    met = []
+
+    def counted(df, label, keep=overlap.stored):
+        out = keep(df, label)
+        if label == "overlap-candidates":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(overlap, "stored", counted)
+    rng = random.Random(5)
+    common = "the same three words stand here "
+    texts = [common + " ".join(f"t{rng.randrange(10**6)}" for _ in range(20)) for _ in range(300)]
+    others = [common + " ".join(f"o{rng.randrange(10**6)}" for _ in range(rng.randint(15, 25))) for _ in range(299)] + [texts[7]]
+    got = {r["ord"]: r["overlap"] for r in overlap.best_overlap(sets(spark, texts), sets(spark, others)).collect()}
+    assert got == pytest.approx(dict(enumerate(plain_overlap(texts, others)))) and got[7] == 1.0
+    assert sum(met) < 50 * len(texts) and sum(met) < 5 * (len(texts) + len(others))
+
+
+def test_near_copies_are_linked_to_one(spark, monkeypatch):
+    links = []
+
+    def counted(df, label, keep=similarity.stored):
+        out = keep(df, label)
+        if label in ("leader-links", "pairs"):
+            links.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "stored", counted)
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(2000):
+        own = list(words)
+        own[rng.randrange(60)] = f"x{k}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"y{rng.randrange(10**6)}" for _ in range(30)) for _ in range(200)]
+    kept, removed = similarity.deduplicate(sets(spark, texts), 0.8)
+    kept, removed = {r["ord"] for r in kept.collect()}, {r["ord"]: r["kept"] for r in removed.collect()}
+    assert 0 in kept and kept >= set(range(2000, 2200)) and len(kept) + len(removed) == 2200
+    assert sum(links) < 10_000
+
+
+def test_containment_finds_what_holds_the_item(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(WORDS, k=40)) for _ in range(30)]
+    items = [" ".join(t.split()[5:20]) for t in texts[:10]] + ["", "words of no text at all"]
+    got = {(r["ord"], r["item"]): r["share"] for r in overlap.containment(sets(spark, texts), sets(spark, items), 0.3).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for j, o in enumerate(items):
+            a, b = set(python_shingles(t)), set(python_shingles(o))
+            if b and len(a & b) >= 0.3 * len(b):
+                want[i, j] = round(len(a & b) / len(b), 4)
+    assert got == want and len(got) >= 10

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from .functions.text import shingles, tokens
-from .operators import judge, provenance, similarity, steps, worlds
+from .operators import judge, overlap, provenance, steps, worlds
 from .session import local_session, ship
 from .sources import readers, writers
 
@@ -58,7 +58,7 @@ def _contamination(args) -> int:
     rows = spark.createDataFrame([(k, s["task"]) for k, s in enumerate(pack)], "ord long, text string")
     corpus = readers.corpus(spark, args.corpus).select(F.xxhash64("text").alias("ord"), "text")
     sets = [t.select("ord", shingles(tokens(F.col("text"))).alias("shingles")) for t in (rows, corpus)]
-    flagged = [(r["ord"], r["overlap"]) for r in similarity.best_overlap(*sets).filter(F.col("overlap") >= args.threshold).collect()]
+    flagged = [(r["ord"], r["overlap"]) for r in overlap.best_overlap(*sets, floor=args.threshold).filter(F.col("overlap") >= args.threshold).collect()]
     print(json.dumps({"n": len(pack), "flagged": [{"id": pack[k]["id"], "overlap": round(o, 4)} for k, o in flagged]}))
     return int(bool(flagged))
 

@@ -1,10 +1,16 @@
-"""Near-duplicates, decontamination and overlap on word shingles.
+"""Near-duplicates on word shingles.
 
 Rows with equal shingle sets (copies) are one class, known by its first row, so
 copies are never expanded into pairs. Similar classes come from an inverted
 index with a prefix filter: two sets with Jaccard at least t share one of their
-``n - ceil(t n) + 1`` rarest members, so only those meet, and the length filter
-drops pairs of unlike sizes. All empty sets are one class.
+``n - ceil(t n) + 1`` rarest members, so only those meet, and the length and
+position filters drop pairs within the join. All empty sets are one class.
+
+Keep-first deduplication doesn't make the pairs of a group of near copies.
+Under each key the first open row leads; a row that leads all its keys stays
+for sure, and the rows under its keys are compared with it alone. So k near
+copies of one text are k links to it. Rounds go on while they settle a good part
+of the rows; what is left, of which little is alike, is settled by pairs.
 """
 
 from __future__ import annotations
@@ -44,9 +50,11 @@ def _rare_first(sets: DataFrame, others: DataFrame | None = None) -> DataFrame:
     return members.join(ranks, "s").withColumn("pos", F.row_number().over(order))
 
 
-def _prefix(members: DataFrame, threshold: float) -> DataFrame:
+def prefix_keys(firsts: DataFrame, threshold: float) -> DataFrame:
+    """``ord, n, pos, key``: the shingles under which a set can meet another of at least ``threshold``."""
+    members = _rare_first(firsts.filter(F.size("shingles") > 0))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return members.filter(F.col("pos") <= keep).select("ord", "n", "s")
+    return members.filter(F.col("pos") <= keep).select("ord", "n", "pos", F.col("s").alias("key"))
 
 
 def classes(sets: DataFrame) -> DataFrame:
@@ -63,15 +71,23 @@ def distinct_sets(sets: DataFrame, members: DataFrame) -> DataFrame:
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """All pairs ``i < j`` of first rows of classes with Jaccard at least ``threshold`` (``sim``)."""
-    return _similar_pairs(stored(sets, "sets"), None, threshold)
+    sets = stored(sets, "sets")
+    firsts = stored(distinct_sets(sets, classes(sets)), "firsts")
+    return _pairs(stored(prefix_keys(firsts, threshold), "keys"), firsts, threshold)
+
+
+def _pairs(keys: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of rows of ``keys`` that share a key, verified."""
+    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("ord", "n", "pos"))) for side in "ij")
+    met = a.join(b, "key").filter((F.col("ord_i") < F.col("ord_j")) & _may_reach(threshold))
+    return _verified(met.select(F.col("ord_i").alias("i"), F.col("ord_j").alias("j")).distinct(), firsts, threshold)
 
 
-def _similar_pairs(sets: DataFrame, members: DataFrame | None, threshold: float) -> DataFrame:
-    firsts = stored(distinct_sets(sets, members or classes(sets)), "firsts")
-    prefix = _prefix(_rare_first(firsts.filter(F.size("shingles") > 0)), threshold)
-    a, b = prefix.select(F.col("ord").alias("i"), F.col("n").alias("ni"), "s"), prefix.select(F.col("ord").alias("j"), F.col("n").alias("nj"), "s")
-    met = a.join(b, "s").filter((F.col("i") < F.col("j")) & (F.least("ni", "nj") >= threshold * F.greatest("ni", "nj") - 1e-9))
-    return _verified(met.select("i", "j").distinct(), firsts, threshold)
+def _may_reach(threshold: float) -> Column:
+    """Whether sizes, and what is left of either set behind a key (``pos`` null: unknown), allow the threshold."""
+    sizes = F.least("n_i", "n_j") >= threshold * F.greatest("n_i", "n_j") - 1e-9
+    wanted = (F.col("n_i") + F.col("n_j")) * (threshold / (1 + threshold)) - 1e-9
+    return sizes & F.coalesce(F.least(F.col("n_i") - F.col("pos_i"), F.col("n_j") - F.col("pos_j")) + 1 >= wanted, F.lit(True))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -94,76 +110,86 @@ def lsh_pairs(sets: DataFrame, threshold: float, perms: int = 64, bands: int = 1
     """
     if bands > perms:
         raise ValueError("more bands than permutations")
-    return _lsh_pairs(stored(sets, "sets"), None, threshold, perms, bands)
+    sets = stored(sets, "sets")
+    firsts = stored(distinct_sets(sets, classes(sets)), "firsts")
+    return _pairs(stored(bands_of(firsts, bands, perms), "keys"), firsts, threshold)
 
 
-def _lsh_pairs(sets: DataFrame, members: DataFrame | None, threshold: float, perms: int = 64, bands: int = 16) -> DataFrame:
-    firsts = stored(distinct_sets(sets, members or classes(sets)), "firsts")
+def bands_of(firsts: DataFrame, bands: int = 16, perms: int = 64) -> DataFrame:
+    """``ord, n, pos, key``: the bands of every set's signature; a place in the set is not known of them."""
     signed = minhash(firsts.filter(F.size("shingles") > 0), perms)
     keys = signed.select("ord", F.explode(band_keys(F.col("sig"), bands, perms)).alias("key"))
-    a, b = keys.select(F.col("ord").alias("i"), "key"), keys.select(F.col("ord").alias("j"), "key")
-    return _verified(a.join(b, "key").filter("i < j").select("i", "j").distinct(), firsts, threshold)
-
-
-def greedy_kept(members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keep-first in order of ``ord``: a row goes when it is similar to an earlier row that stays.
-
-    Only first rows of classes can stay, and later copies share the fate of
-    their class. Rounds decide every class whose earlier neighbours allow it,
-    until none is open; the least open one always decides. Returns kept ``ord``
-    and removed ``ord, kept, sim`` with the most similar (then earliest) kept
-    row before it. ``members`` has the ``ord, first`` of :func:`classes`. The
-    state is written after each round, so lineage stays short.
+    return keys.join(firsts.select("ord", F.size("shingles").alias("n")), "ord").select("ord", "n", F.lit(None).cast("int").alias("pos"), "key")
+
+
+#: Share of the open rows that a round of leaders must settle for another one to follow.
+WORTH = 0.2
+
+
+def _led(keys: DataFrame, firsts: DataFrame, threshold: float) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """Rounds of leaders: rows that stay, rows that go (``ord`` each, written), and the keys of rows still open."""
+    stay, go = [], []
+    open_rows = keys.select("ord").distinct().count()
+    while open_rows:
+        leaders = keys.groupBy("key").agg(F.min("ord").alias("lead"), F.min_by("n", "ord").alias("n_i"))
+        under = stored(keys.join(leaders, "key").select("ord", F.col("n").alias("n_j"), "lead", "n_i").distinct(), "led")
+        sure = stored(under.groupBy("ord").agg(F.max(F.col("lead") != F.col("ord")).alias("waits")).filter("not waits").select("ord"), "sure")
+        links = under.filter("lead != ord").join(sure.select(F.col("ord").alias("lead")), "lead", "left_semi")
+        links = links.filter(F.least("n_i", "n_j") >= threshold * F.greatest("n_i", "n_j") - 1e-9).select(F.col("lead").alias("i"), F.col("ord").alias("j"))
+        gone = stored(_verified(stored(links, "leader-links"), firsts, threshold).select(F.col("j").alias("ord")).distinct(), "gone")
+        stay.append(sure)
+        go.append(gone)
+        settled = sure.count() + gone.count()
+        keys = stored(keys.join(sure, "ord", "left_anti").join(gone, "ord", "left_anti"), "keys")
+        open_rows -= settled
+        if settled < WORTH * (open_rows + settled):
+            break
+    return stay, go, keys
+
+
+def _greedy(pairs: DataFrame) -> DataFrame:
+    """``ord, state``: keep-first over pairs ``i < j`` as a fixpoint.
+
+    A row goes when it is similar to an earlier row that stays. Rounds decide
+    every row whose earlier neighbours allow it, until none is open; the least
+    open one always decides. The state is written after each round, so lineage
+    stays short.
     """
-    pairs = stored(pairs, "pairs")
     state = stored(pairs.select(F.explode(F.array("i", "j")).alias("ord")).distinct().withColumn("state", F.lit("u")), "state")
     while not state.filter("state = 'u'").isEmpty():
         before = pairs.join(state.select(F.col("ord").alias("i"), F.col("state").alias("si")), "i").groupBy(F.col("j").alias("ord"))
         seen = before.agg(F.max(F.col("si") == "k").alias("any_kept"), F.min(F.col("si") == "r").alias("all_removed"))
         decided = F.when(F.coalesce("any_kept", F.lit(False)), "r").when(F.coalesce("all_removed", F.lit(True)), "k").otherwise("u")
         state = stored(state.join(seen, "ord", "left").select("ord", F.when(F.col("state") != "u", F.col("state")).otherwise(decided).alias("state")), "state")
-    gone = state.filter("state = 'r'").select(F.col("ord").alias("first"))
-    kept = members.filter("ord = first").select("ord", "first").join(gone, "first", "left_anti").select("ord")
-    copies = members.filter("ord != first").join(gone, "first", "left_anti").select("ord", F.col("first").alias("kept"), F.lit(1.0).alias("sim"))
-    standing = state.filter("state = 'k'").select(F.col("ord").alias("other"))
-    beside = pairs.select(F.col("j").alias("first"), F.col("i").alias("other"), "sim").unionAll(pairs.select("i", "j", "sim"))
-    near = members.join(gone, "first").join(beside.join(standing, "other"), "first").filter("other < ord")
-    best = F.max_by(F.struct(F.col("other").alias("kept"), "sim"), F.struct("sim", -F.col("other"))).alias("best")
-    removed = near.groupBy("ord").agg(best).select("ord", "best.kept", F.round("best.sim", 3).alias("sim"))
-    return kept, removed.unionByName(copies)
+    return state
 
 
 def deduplicate(sets: DataFrame, threshold: float = 0.85, method: str = "pairwise") -> tuple[DataFrame, DataFrame]:
-    """Kept and removed rows by exact pairs (``pairwise``) or banded MinHash (``minhash``; shingles as texts)."""
+    """Keep-first in order of ``ord`` by exact similarity (``pairwise``) or among rows that share a MinHash band (``minhash``; shingles as texts).
+
+    Returns kept ``ord`` and removed ``ord, kept, sim`` with the most similar
+    (then earliest) kept row before it. Only first rows of classes can stay, and
+    later copies share the fate of their class.
+    """
     if method not in ("pairwise", "minhash"):
         raise ValueError(f"unknown method {method!r}")
     sets = stored(sets, "sets")
     members = stored(classes(sets), "classes")
-    pairs = (_similar_pairs if method == "pairwise" else _lsh_pairs)(sets, members, threshold)
-    return greedy_kept(members, pairs)
-
-
-def best_overlap(sets: DataFrame, others: DataFrame) -> DataFrame:
-    """``ord, overlap``: the greatest Jaccard of each set with any of ``others``; 0 where nothing is shared."""
-    members = sets.select("ord", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    theirs = others.select(F.col("ord").alias("o"), F.size("shingles").alias("m"), F.explode("shingles").alias("s"))
-    shared = members.join(theirs, "s").groupBy("ord", "o", "n", "m").agg(F.count("*").alias("both"))
-    best = shared.groupBy("ord").agg(F.max(F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("overlap"))
-    no_words = F.size("shingles") == 0
-    any_empty = others.agg(F.max(F.size("shingles") == 0).alias("e"))
-    found = sets.select("ord", no_words.alias("empty")).join(best, "ord", "left").join(F.broadcast(any_empty))
-    return found.select("ord", F.when(F.col("empty") & F.coalesce("e", F.lit(False)), 1.0).otherwise(F.coalesce("overlap", F.lit(0.0))).alias("overlap"))
-
-
-def decontaminated(sets: DataFrame, contaminants: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Clean and flagged ``ord, overlap`` against the contaminants."""
-    found = best_overlap(sets, contaminants)
-    return found.filter(F.col("overlap") < threshold), found.filter(F.col("overlap") >= threshold)
-
-
-def containment(sets: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Extension: items of which a row holds at least the share ``threshold`` of shingles."""
-    members = sets.select("ord", F.explode("shingles").alias("s"))
-    theirs = items.select(F.col("ord").alias("item"), F.size("shingles").alias("m"), F.explode("shingles").alias("s"))
-    shared = members.join(theirs, "s").groupBy("ord", "item", "m").agg(F.count("*").alias("both"))
-    return shared.select("ord", "item", F.round(F.col("both") / F.col("m"), 4).alias("share")).filter(F.col("both") >= threshold * F.col("m"))
+    firsts = stored(distinct_sets(sets, members), "firsts")
+    keys = stored(prefix_keys(firsts, threshold) if method == "pairwise" else bands_of(firsts), "keys")
+    _, go, rest = _led(keys, firsts, threshold)
+    state = _greedy(stored(_pairs(rest, firsts, threshold).select("i", "j"), "pairs"))
+    gone = state.filter("state = 'r'").select("ord")
+    for part in go:
+        gone = gone.unionByName(part)
+    gone = stored(gone.withColumnRenamed("ord", "first"), "gone")
+    kept = members.filter("ord = first").select("ord", "first").join(gone, "first", "left_anti").select("ord")
+    copies = members.filter("ord != first").join(gone, "first", "left_anti").select("ord", F.col("first").alias("kept"), F.lit(1.0).alias("sim"))
+    # the kept rows that a class that goes is similar to, before or behind it: of near copies one
+    mark = gone.select(F.col("first").alias("ord"))
+    a, b = (side.select("key", *(F.col(c).alias(f"{c}_{name}") for c in ("ord", "n", "pos"))) for side, name in ((keys.join(mark, "ord", "left_semi"), "i"), (keys.join(mark, "ord", "left_anti"), "j")))
+    beside = _verified(a.join(b, "key").filter(_may_reach(threshold)).select(F.col("ord_i").alias("i"), F.col("ord_j").alias("j")).distinct(), firsts, threshold)
+    near = members.join(beside.withColumnsRenamed({"i": "first", "j": "other"}), "first").filter("other < ord")
+    best = F.max_by(F.struct(F.col("other").alias("kept"), "sim"), F.struct("sim", -F.col("other"))).alias("best")
+    removed = near.groupBy("ord").agg(best).select("ord", "best.kept", F.round("best.sim", 3).alias("sim"))
+    return kept, removed.unionByName(copies)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import canary, content_hash, minhash, stable_seed
 from ..functions.text import tokens
+from ..operators import overlap as V
 from ..operators import similarity as S
 from ..sources.shared import spread
 from .tables import table
@@ -58,27 +59,27 @@ def dedup_minhash_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontam_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.decontaminated(_docs(spark, sf_dir), _items(spark, sf_dir), OVERLAP)[0].select(F.col("ord").alias("doc_id"))
+    return V.decontaminated(_docs(spark, sf_dir), _items(spark, sf_dir), OVERLAP)[0].select(F.col("ord").alias("doc_id"))
 
 
 def decontam_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.decontaminated(_docs(spark, sf_dir), _items(spark, sf_dir), OVERLAP)[1].select(F.col("ord").alias("doc_id"), F.round("overlap", 4).alias("overlap"))
+    return V.decontaminated(_docs(spark, sf_dir), _items(spark, sf_dir), OVERLAP)[1].select(F.col("ord").alias("doc_id"), F.round("overlap", 4).alias("overlap"))
 
 
 def corpus_overlap_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item's greatest similarity with any document."""
-    found = S.best_overlap(_items(spark, sf_dir), _docs(spark, sf_dir))
+    found = V.best_overlap(_items(spark, sf_dir), _docs(spark, sf_dir))
     return found.select(F.col("ord").alias("item_id"), F.round("overlap", 4).alias("overlap"))
 
 
 def contamination_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canary, overlap and flag of every item of the pack."""
-    found = S.best_overlap(_items(spark, sf_dir), _docs(spark, sf_dir))
+    found = V.best_overlap(_items(spark, sf_dir), _docs(spark, sf_dir))
     return found.select(F.col("ord").alias("item_id"), canary(F.col("ord"), "pack").alias("canary"), F.round("overlap", 4).alias("overlap"), (F.col("overlap") >= OVERLAP).alias("flagged"))
 
 
 def containment_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.containment(_docs(spark, sf_dir), _items(spark, sf_dir), 0.8)
+    found = V.containment(_docs(spark, sf_dir), _items(spark, sf_dir), 0.8)
     return found.select(F.col("ord").alias("doc_id"), F.col("item").alias("item_id"), "share")
 
 
