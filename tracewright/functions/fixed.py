@@ -46,3 +46,28 @@ FEATURES = (
     "error_observation_ratio", "avg_observation_chars", "has_final_answer", "final_answer_words", "thought_before_first_call",
     "query_words", "mode_single", "mode_multi", "mode_code", "has_verification", "verification_verified", "verification_score",
 )
+
+# What an argument of a name that holds the hint gets, first hint first; arith, query and location are worked out from the query.
+ARGUMENT_HINTS = (
+    ("expression", "arith"), ("query", "query"), ("search", "query"), ("keyword", "query"), ("city", "location"), ("town", "location"), ("location", "location"),
+    ("destination", "location"), ("place", "location"), ("path", "data/report.csv"), ("file", "data/report.csv"), ("email", "team@example.com"),
+    ("recipient", "team@example.com"), ("subject", "Status update"), ("body", "Here is the latest status update you requested."),
+    ("message", "Here is the latest status update you requested."), ("url", "https://example.com"), ("name", "report"), ("to", "team@example.com"),
+)
+# Hints that must be the whole name or its last part.
+WHOLE_HINTS = ("to", "cc", "bcc")
+
+# Cities that are known, and those that stand in where a query names none.
+CITIES = (
+    "new york", "san francisco", "los angeles", "hong kong", "mexico city", "são paulo", "sao paulo", "ho chi minh city", "rio de janeiro", "cape town", "paris",
+    "london", "tokyo", "berlin", "sydney", "toronto", "singapore", "mumbai", "delhi", "beijing", "shanghai", "cairo", "dubai", "madrid", "rome", "amsterdam",
+    "seattle", "austin", "boston", "chicago", "lagos", "nairobi", "bangkok", "seoul", "hanoi", "jakarta", "istanbul", "moscow", "vienna", "zurich", "oslo",
+    "stockholm", "helsinki", "dublin", "lisbon",
+)
+STAND_IN_CITIES = ("Paris", "Tokyo", "London", "Berlin", "Singapore", "Toronto", "Sydney", "Madrid")
+
+# Words that the generator's tokens leave out.
+GENERATOR_STOP_WORDS = (
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "were", "be", "i", "you", "we", "it", "this", "that", "what", "whats",
+    "how", "do", "does", "can", "please", "me", "my", "your", "our", "from", "by", "at", "as", "about", "into",
+)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_seed
 from ..functions.text import phrase
 from ..sources.shared import stored
 from . import judge, similarity, steps
+from .numbering import numbered
 from .schema import MODES, STEP, TOOL, VERIFICATION, step
 from .verify import verified
 
@@ -32,9 +33,8 @@ class Recipe:
 
 
 def planned(queries: DataFrame, count: int | None, modes: tuple[str, ...]) -> DataFrame:
-    """``ord, query, mode``: one row per query, or ``count`` rows that cycle through the queries (``ord, query``)."""
-    order = Window.orderBy("ord")
-    bank = stored(queries.withColumn("_at", (F.row_number().over(order) - 1).cast("long")), "bank")  # the recipe's own queries: few
+    """``ord, query, mode``: one row per query, or ``count`` rows that cycle through the queries (``ord, query``), however many they are."""
+    bank = stored(numbered(queries, [F.col("ord")], rank="_at"), "bank")
     n = bank.count()
     plan = queries.sparkSession.range(count if count is not None else n).withColumnRenamed("id", "ord")
     mode = F.element_at(F.array(*map(F.lit, modes)), (F.col("ord") % len(modes) + 1).cast("int"))
@@ -84,3 +84,20 @@ def run_recipe(spark: SparkSession, recipe: Recipe, queries: DataFrame) -> dict[
     if removed is not None:
         metrics = metrics.join(removed.agg(F.count("*").alias("duplicates_removed")))
     return {"trajectories": rows, "evals": evals, "metrics": metrics}
+
+
+def first_seen(rows: DataFrame, column: str, order: str) -> DataFrame:
+    """Distinct values of a column with the least ``order`` of each, and their place (from 0) in order of appearance; nulls are no value."""
+    seen = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("first"))
+    return numbered(seen, [F.col("first"), F.col(column)], rank="place")
+
+
+def sampled_tasks(tasks: DataFrame, key: str, n: int, domains: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """``n`` rows ``idx`` and the task's columns: the tasks (``domain`` among ``domains``, if any are given) in order of a stable seed, over and over if there are too few."""
+    pool = tasks.filter(F.col("domain").isin(*domains)) if domains else tasks
+    pool = stored(numbered(pool, [stable_seed(F.lit(seed), F.col(key)), F.col(key)], rank="_at"), "pool")
+    size = pool.count()
+    if not size or n <= 0:
+        return pool.limit(0).select(F.lit(0).cast("long").alias("idx"), *tasks.columns)
+    plan = tasks.sparkSession.range(n).select(F.col("id").alias("idx"), (F.col("id") % size).alias("_at"))
+    return plan.join(pool, "_at").select("idx", *tasks.columns)

@@ -166,3 +166,45 @@ def ensemble(evals: DataFrame) -> DataFrame:
         F.round(1 - (F.max("overall") - F.min("overall")), 3).alias("agreement"), F.count("*").alias("judges"),
     )
     return out
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(blank(text), r"(?U)^\s+|\s+$", "")
+
+
+#: What a transcript for a judging model ends on.
+REQUEST = "Return ONLY the JSON object scoring this trajectory on the six rubric dimensions."
+
+
+def transcript() -> Column:
+    """A trajectory as the text that a judging model reads: query, tools, mode, numbered steps and answer; arguments are shown as JSON."""
+
+    def line(s: Column, i: Column) -> Column:
+        kind = s["step_type"]
+        said = _stripped(F.coalesce(F.nullif(s["thought"], F.lit("")), s["content"]))
+        call = F.concat(F.lit("TOOL_CALL: "), F.coalesce(s["tool_name"], F.lit("None")), F.lit("("), F.coalesce(F.nullif(s["tool_args"], F.lit("")), F.lit("{}")), F.lit(")"))
+        code = F.concat(F.lit("CODE:\n"), _stripped(s["code"]), F.lit("\nOUTPUT: "), _stripped(s["code_output"]))
+        last = F.concat(F.lit("FINAL_ANSWER: "), _stripped(F.coalesce(F.nullif(s["content"], F.lit("")), F.col("final_answer"))))
+        text = F.when(kind == "tool_call", call).when(kind == "observation", F.concat(F.lit("OBSERVATION: "), _stripped(s["observation"]))).when(kind == "code_execution", code).when(kind == "final_answer", last)
+        text = text.otherwise(F.concat(F.upper(blank(kind)), F.lit(": "), said))
+        agent = F.when(blank(s["agent"]) != "", F.concat(F.lit("("), s["agent"], F.lit(") "))).otherwise(F.lit(""))
+        return F.concat((i + 1).cast("string"), F.lit(". "), agent, text)
+
+    names = F.array_join(F.transform("tools", lambda t: t["name"]), ", ")
+    tools = F.when(F.size("tools") > 0, F.concat(F.lit("AVAILABLE TOOLS: "), names, F.lit("\n\n"))).otherwise(F.lit(""))
+    head = F.concat(F.lit("USER QUERY:\n"), blank(F.col("query")), F.lit("\n\n"), tools, F.lit("MODE: "), blank(F.col("mode")), F.lit("\n\nTRAJECTORY STEPS:\n"))
+    lines = F.array_join(F.transform("steps", line), "\n")
+    end = F.concat(F.lit("\nFINAL ANSWER:\n"), blank(F.col("final_answer")), F.lit("\n\n" + REQUEST))
+    return F.concat(head, lines, F.when(F.size("steps") > 0, F.lit("\n")).otherwise(F.lit("")), end)
+
+
+def lenient_score(value: Column, default: float = 0.0) -> Column:
+    """A score out of a JSON value: numbers, booleans as 1 and 0, and texts that hold nothing but a number; ``default`` for anything else."""
+    parsed = F.try_parse_json(value)
+    kind = F.schema_of_variant(parsed)
+    text = F.regexp_replace(F.try_variant_get(parsed, "$", "string"), r"(?U)^\s+|\s+$", "")
+    digits = r"\d+(?:_\d+)*"
+    number = F.when(text.rlike(rf"^[+-]?(?:{digits}\.?(?:{digits})?|\.{digits})(?:[eE][+-]?{digits})?$"), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    special = F.when(F.lower(text).rlike(r"^[+-]?nan$"), F.lit(float("nan"))).when(F.lower(text).rlike(r"^\+?inf(inity)?$"), F.lit(float("inf"))).when(F.lower(text).rlike(r"^-inf(inity)?$"), F.lit(float("-inf")))
+    found = F.when(kind == "BOOLEAN", F.when(F.try_variant_get(parsed, "$", "boolean"), 1.0).otherwise(0.0)).when(kind == "STRING", F.coalesce(number, special)).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(parsed, "$", "double"))
+    return F.coalesce(found, F.lit(default))

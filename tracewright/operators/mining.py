@@ -82,18 +82,47 @@ def preference_pairs(scored: DataFrame, min_margin: float = 0.0) -> DataFrame:
     return out.filter(~F.col("same") & (F.col("margin") >= min_margin)).drop("same")
 
 
-def top_quantile(episodes: DataFrame, q: float) -> DataFrame:
-    """Episodes with a reward at or above the top quantile's last one; ties stay.
+#: Values that the last step of a selection takes to the driver at most, and the parts that a step cuts the rows into.
+LAST_VALUES, PARTS = 4096, 2000
+
+
+def value_at(values: DataFrame, column: str, place: int) -> float:
+    """The value at ``place`` (from 0) in descending order, ties counted, of a column without nulls and NaN.
 
-    The cutoff is found from counts per reward, so no single task sorts all rows.
+    A selection in rounds: approximate percentiles bracket the place, exact
+    counts tell how many rows are above the bracket, and only the rows within go
+    on. Each round leaves about one part in ``PARTS`` of the rows, or a single value.
     """
+    v = F.col(column)
+    while True:
+        n = values.count()
+        if n <= LAST_VALUES:
+            return sorted((r[0] for r in values.select(v).collect()), reverse=True)[place]
+        share = 1 - (place + 0.5) / n
+        ends = [min(max(share - 1 / PARTS, 0.0), 1.0), min(share + 1 / PARTS, 1.0)]
+        low, high = values.agg(F.percentile_approx(v, ends, 10 * PARTS)).first()[0]
+        above, within = values.agg(F.count_if(v > high), F.count_if((v >= low) & (v <= high))).first()
+        if above > place:  # the estimate was off: go on above, or below
+            values = values.filter(v > high)
+        elif above + within <= place:
+            values, place = values.filter(v < low), place - above - within
+        elif low == high:
+            return low
+        elif within == n:  # nothing was cut off
+            equal = values.agg(F.count_if(v == high)).first()[0]
+            if place < equal:
+                return high
+            values, place = values.filter(v < high), place - equal
+        else:
+            values, place = values.filter((v >= low) & (v <= high)), place - above
+
+
+def top_quantile(episodes: DataFrame, q: float) -> DataFrame:
+    """Episodes with a reward at or above the top quantile's last one; ties stay. Rewards that are null or NaN are no rewards: they neither count nor stay."""
     if not 0 < q <= 1:
         raise ValueError("the quantile must be in (0, 1]")
-    n = episodes.count()
+    rated = episodes.filter(F.col("reward").isNotNull() & ~F.isnan(F.col("reward").cast("double")))
+    n = rated.count()
     if not n:
-        return episodes
-    place = max(0, min(n - 1, int(n * q) - 1))
-    counts = episodes.groupBy("reward").agg(F.count("*").alias("n"))
-    above = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.col("reward").desc())))  # distinct rewards only
-    cutoff = above.filter(F.col("upto") > place).agg(F.max("reward")).first()[0]
-    return episodes.filter(F.col("reward") >= cutoff)
+        return rated
+    return rated.filter(F.col("reward") >= F.lit(value_at(rated.select("reward"), "reward", max(0, min(n - 1, int(n * q) - 1)))))

@@ -26,7 +26,7 @@ from .similarity import classes, distinct_sets
 #: Sets of the other table that make a shingle hot.
 HOT = 32
 #: How many of a row's shingles are read by the end of each round; the last round reads all.
-READ = (1, 8, 64, 1 << 62)
+READ = (4, 64, 1 << 62)
 
 
 def _distinct(sets: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -43,7 +43,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan of three rounds through the benchmark items, and the tool that its trajectories call."""
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.substring("text", 1, 60).alias("query"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("query"))
     recipe = Recipe("bench", count=3 * queries.count())
     rows = generated(planned(queries, recipe.count, recipe.modes), recipe)
     tool = F.try_element_at(F.transform(F.filter("steps", lambda s: s["step_type"] == "tool_call"), lambda s: s["tool_name"]), F.lit(1))
@@ -52,7 +52,7 @@ def generated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recipe_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of a recipe of two rounds through the benchmark items."""
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.substring("text", 1, 60).alias("query"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("query"))
     return run_recipe(spark, Recipe("bench", count=2 * queries.count()), queries)["metrics"]
 
 
@@ -113,7 +113,7 @@ WITH m AS (SELECT source, count(*) AS n, sum(quality)::BIGINT AS p FROM document
 SELECT source, n, round(greatest((r + 3.8416e0/(2e0*n) - 1.96e0*sqrt(r*(1-r)/n + 3.8416e0/(4e0*n*n))) / (1 + 3.8416e0/n), 0), 4)::DOUBLE AS lo,
   round(least((r + 3.8416e0/(2e0*n) + 1.96e0*sqrt(r*(1-r)/n + 3.8416e0/(4e0*n*n))) / (1 + 3.8416e0/n), 1), 4)::DOUBLE AS hi, {_SEED.format("source || '||7'")} AS seed FROM r""",
     "generated_plan": f"""
-WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS place, substring(text, 1, 60) AS q FROM benchmark),
+WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS place, text AS q FROM benchmark),
 p AS (SELECT ord, q, CASE ord % 3 WHEN 0 THEN 'single_agent' WHEN 1 THEN 'multi_agent' ELSE 'code_execution' END AS mode FROM (SELECT unnest(range(0, 3 * (SELECT count(*) FROM benchmark))) AS ord) AS t JOIN b ON place = ord % (SELECT count(*) FROM benchmark)),
 s AS (SELECT *, {_SEED.format("q || '||' || ord || '||' || mode || '||0'")} AS seed FROM p)
 SELECT ord, lpad(lower(hex(seed)), 12, '0') AS id, mode, CASE WHEN mode = 'code_execution' THEN '' ELSE ['search', 'lookup', 'calculate'][seed % 3 + 1] END AS tool, CASE mode WHEN 'single_agent' THEN 4 WHEN 'multi_agent' THEN 5 ELSE 3 END::BIGINT AS num_steps FROM s""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
-from ..functions.text import metric_tokens
+from ..functions.text import clipped, metric_tokens
 from .tables import table
 
 
@@ -38,9 +38,9 @@ def domain_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overview_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English rows with a passing evaluation; rows without one drop out as soon as a least score is asked for."""
+    """Rows with a passing evaluation, their preview and a digest of the whole text; rows without an evaluation drop out as soon as a least score is asked for."""
     evals = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("overall"))
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "source", "lang", F.substring("text", 1, 60).alias("preview"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", clipped(F.col("text"), 60).alias("preview"), F.md5("text").alias("text_md5"))
     return docs.join(evals, "doc_id", "left").filter("overall >= 0.6")
 
 
@@ -133,8 +133,8 @@ SELECT (SELECT count(*) FROM documents) AS num_trajectories, (SELECT round(avg(n
     "mode_distribution": "SELECT coalesce(nullif(lang, ''), 'unspecified') AS mode, count(*) AS n FROM documents GROUP BY 1",
     "domain_distribution": "SELECT coalesce(nullif(source, ''), 'unspecified') AS domain, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, domain LIMIT 8",
     "overview_filter": """
-SELECT d.doc_id, source, lang, substring(text, 1, 60) AS preview, quality::DOUBLE AS overall
-FROM documents d LEFT JOIN labels l USING (doc_id) WHERE lang = 'en' AND quality::DOUBLE >= 0.6""",
+SELECT d.doc_id, source, lang, CASE WHEN length(text) > 60 THEN substring(text, 1, 60) || '…' ELSE text END AS preview, md5(text) AS text_md5, quality::DOUBLE AS overall
+FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality::DOUBLE >= 0.6""",
     "tool_usage_top15": "SELECT event_type AS tool, count(*) AS calls FROM events GROUP BY 1 ORDER BY calls DESC, tool LIMIT 15",
     "tool_signature_per_user": "SELECT user_id, string_agg(event_type, '>' ORDER BY event_id) AS signature, count(*) AS num_calls FROM events WHERE event_type <> '' GROUP BY 1",
     "tool_coverage": """

@@ -59,7 +59,7 @@ def weak_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.substring("text", 1, 40).alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("query"))
 
 
 def targeted_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def dpo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rft_top_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", F.round(F.col("value"), 0).alias("reward"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("reward"))
     return M.top_quantile(events, 0.1)
 
 
@@ -110,7 +110,7 @@ def _varied(rounds: int, templates: tuple[str, ...], as_is: bool) -> str:
     listed = ", ".join("'" + t.replace("'", "''") + "'" for t in templates)
     made = f"replace([{listed}][CAST(('0x' || substr(sha256(item_id || '||' || round), 1, 12)) AS BIGINT) % {len(templates)} + 1], '{{q}}', q)"
     text = f"CASE WHEN round = 0 THEN q ELSE {made} END" if as_is else made
-    return f"""WITH b AS (SELECT item_id, substring(text, 1, 40) AS q FROM benchmark), r AS (SELECT item_id, round, {text} AS query FROM b, range(0, {rounds + 1}) AS t(round) WHERE trim(q) <> ''),
+    return f"""WITH b AS (SELECT item_id, text AS q FROM benchmark), r AS (SELECT item_id, round, {text} AS query FROM b, range(0, {rounds + 1}) AS t(round) WHERE trim(q) <> ''),
 n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round, item_id) AS k FROM r) SELECT item_id, round, query FROM n WHERE k = 1"""
 
 
@@ -134,7 +134,7 @@ SELECT b.n, b.t AS tool_accuracy_before, b.g AS arg_accuracy_before, b.s AS scor
 o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY overall DESC, doc_id) AS b, row_number() OVER (PARTITION BY query ORDER BY overall, doc_id DESC) AS w FROM r)
 SELECT x.query, x.doc_id::VARCHAR AS chosen, y.doc_id::VARCHAR AS rejected, x.overall AS chosen_score, y.overall AS rejected_score, round(x.overall - y.overall, 4) AS margin
 FROM o x JOIN o y USING (query) WHERE x.b = 1 AND y.w = 1 AND x.doc_id <> y.doc_id AND round(x.overall - y.overall, 4) >= 0.01""",
-    "rft_top_quantile": """WITH e AS (SELECT event_id, round(value, 0) AS reward FROM events), o AS (SELECT reward, row_number() OVER (ORDER BY reward DESC) AS k FROM e)
+    "rft_top_quantile": """WITH e AS (SELECT event_id, value AS reward FROM events), o AS (SELECT reward, row_number() OVER (ORDER BY reward DESC) AS k FROM e)
 SELECT * FROM e WHERE reward >= (SELECT reward FROM o WHERE k = greatest(CAST(floor((SELECT count(*) FROM e) * 0.1e0) AS BIGINT), 1))""",
     "confidence_routing": "SELECT event_type, CASE WHEN least(value / 100e0, 1) < 0.3 THEN 'auto_fail' WHEN least(value / 100e0, 1) >= 0.7 THEN 'auto_pass' ELSE 'needs_judge' END AS route, count(*) AS n FROM events GROUP BY 1, 2",
 }

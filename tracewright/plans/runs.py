@@ -59,7 +59,7 @@ def learned_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resumable_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan worked off in two calls of a stream; the second goes on where the first ended."""
     base = f"{folder(spark)}/tracewright/stream-{uuid.uuid4().hex}"
-    plan = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.substring("text", 1, 40).alias("query"))
+    plan = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("query"))
     plan.filter("ord % 2 = 0").write.parquet(f"{base}/plan")
     schema = "ord bigint, query string"
 
@@ -82,5 +82,5 @@ SELECT o_custkey::VARCHAR AS scenario_id, open = 0 AS passed, CASE WHEN open = 0
     "imported_traces": """
 WITH x AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS q, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS a, count(*) FILTER (WHERE role = 'assistant') AS n FROM conversations WHERE text <> '' GROUP BY 1)
 SELECT md5(coalesce(q, '')) AS query_md5, md5(coalesce(a, '')) AS answer_md5, n AS num_steps, a IS NOT NULL AS success FROM x""",
-    "resumable_stream": "SELECT item_id AS ord, md5(substring(text, 1, 40)) AS answer FROM benchmark",
+    "resumable_stream": "SELECT item_id AS ord, md5(text) AS answer FROM benchmark",
 }

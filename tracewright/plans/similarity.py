@@ -9,6 +9,7 @@ from ..functions.hashing import canary, content_hash, minhash, stable_seed
 from ..functions.text import tokens
 from ..operators import overlap as V
 from ..operators import similarity as S
+from ..operators.numbering import numbered
 from ..sources.shared import spread
 from .tables import table
 
@@ -103,11 +104,11 @@ def stable_seed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def modular_cycle_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan of as many rows as documents that cycles through the benchmark items."""
-    numbered = table(spark, sf_dir, "benchmark").select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("bigint").alias("at"))  # a small task bank
-    n = numbered.count()
+    bank = numbered(table(spark, sf_dir, "benchmark").select("item_id"), [F.col("item_id")], rank="at")
+    n = bank.count()
     plan = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), (F.col("doc_id") % F.lit(n)).alias("at"))
     modes = F.array(F.lit("single_agent"), F.lit("multi_agent"), F.lit("code_execution"))
-    return plan.join(numbered, "at").select("idx", "item_id", F.element_at(modes, (F.col("idx") % 3 + 1).cast("int")).alias("mode"))
+    return plan.join(bank, "at").select("idx", "item_id", F.element_at(modes, (F.col("idx") % 3 + 1).cast("int")).alias("mode"))
 
 
 def tool_relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,14 @@ def prepare_folder(trajectories: DataFrame, path: str, name: str, evals: DataFra
     return text
 
 
-def markdown(df: DataFrame, most: int = 50) -> str:
-    """A report table as Markdown (reports are short; ``most`` rows are shown)."""
-    rows = df.limit(most).collect()
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """A report of any length as lines of Markdown (``value``), one for each row."""
+    cells = [F.coalesce(F.regexp_replace(F.replace(F.format_string("%.6g", c) if t in ("double", "float") else F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), r"[\r\n]+", " "), F.lit("")) for c, t in df.dtypes]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def markdown(df: DataFrame) -> str:
+    """A whole report table as Markdown, for reports that are short by nature; longer ones go to files by :func:`markdown_lines`."""
+    rows = df.collect()
     head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
     return head + "".join(f"| {' | '.join('' if v is None else f'{v:g}' if isinstance(v, float) else str(v) for v in r)} |\n" for r in rows)

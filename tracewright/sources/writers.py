@@ -8,19 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import steps as P
 
 _NO_NULLS = {"ignoreNullFields": "false"}
-#: Stands around JSON that is a value inside other JSON until it is spliced in.
-_OPEN, _CLOSE = "\x02", "\x03"
 
 
 def _object(args: Column) -> Column:
-    """A column of JSON objects, marked so that :func:`_spliced` puts it in as an object; anything else stays a text."""
-    return F.when(args.rlike(r"^\s*\{") & F.try_parse_json(args).isNotNull(), F.concat(F.lit(_OPEN), F.base64(args.cast("binary")), F.lit(_CLOSE))).otherwise(args)
-
-
-def _spliced(text: Column) -> Column:
-    """JSON text with the marked values as JSON instead of quoted texts."""
-    parts = F.split(text, r'"\\u0002|\\u0003"')
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.decode(F.unbase64(F.replace(x, F.lit("\\r\\n"), F.lit(""))), "utf-8")).otherwise(x)), "")
+    """Texts of JSON objects as objects (a VARIANT), anything else as the text it is."""
+    return F.coalesce(F.when(args.rlike(r"^\s*\{"), F.try_parse_json(args)), args.cast("variant"))
 
 
 def _with_objects(steps: Column) -> Column:
@@ -35,7 +27,7 @@ def jsonl(trajectories: DataFrame) -> DataFrame:
     """One JSON text per trajectory in the column ``value``."""
     fields = ["id", "query", "mode", "domain", _calls_with_objects(P.messages()).alias("messages"), "tools", _with_objects(F.col("steps")).alias("steps"), "final_answer", "success", "generator_model", "metadata"]
     bare, full = F.to_json(F.struct(*fields), _NO_NULLS), F.to_json(F.struct(*fields, "verification"), _NO_NULLS)
-    return trajectories.select(_spliced(F.when(F.col("verification").isNull(), bare).otherwise(full)).alias("value"))
+    return trajectories.select(F.when(F.col("verification").isNull(), bare).otherwise(full).alias("value"))
 
 
 def sharegpt(trajectories: DataFrame) -> DataFrame:
@@ -45,7 +37,7 @@ def sharegpt(trajectories: DataFrame) -> DataFrame:
         def one(speaker: str, value: Column) -> Column:
             return F.array(F.struct(F.lit(speaker).alias("from"), value.alias("value")))
 
-        calls = F.transform(m["tool_calls"], lambda c: F.struct(F.lit("function_call").alias("from"), _spliced(F.to_json(F.struct(c["name"].alias("name"), _object(c["arguments"]).alias("arguments")))).alias("value")))
+        calls = F.transform(m["tool_calls"], lambda c: F.struct(F.lit("function_call").alias("from"), F.to_json(F.struct(c["name"].alias("name"), _object(c["arguments"]).alias("arguments"))).alias("value")))
         none = F.array().cast("array<struct<from:string,value:string>>")
         said = F.when(m["content"] != "", one("gpt", m["content"])).otherwise(none)
         return F.when(m["role"] == "user", one("human", m["content"])).when(m["role"] == "tool", one("observation", m["content"])).when(m["role"] == "assistant", F.concat(said, F.coalesce(calls, none))).otherwise(none)
@@ -57,7 +49,7 @@ def adp(trajectories: DataFrame) -> DataFrame:
     """``id, schema, instruction, tools, steps (type, agent, content), output``."""
 
     def step(s: Column) -> Column:
-        call = _spliced(F.to_json(F.struct(s["tool_name"].alias("tool"), _object(s["tool_args"]).alias("args")), _NO_NULLS))
+        call = F.to_json(F.struct(s["tool_name"].alias("tool"), _object(s["tool_args"]).alias("args")), _NO_NULLS)
         code = F.to_json(F.struct(s["code"].alias("code"), s["code_output"].alias("output")), _NO_NULLS)
         said = F.coalesce(F.nullif(s["thought"], F.lit("")), F.nullif(s["content"], F.lit("")), F.lit(""))
         content = F.when(s["step_type"] == "tool_call", call).when(s["step_type"] == "code_execution", code).when(s["step_type"] == "observation", F.coalesce(s["observation"], F.lit(""))).otherwise(said)
@@ -98,7 +90,7 @@ def dpo(pairs: DataFrame, with_margin: bool = True) -> DataFrame:
 def grpo(episodes: DataFrame) -> DataFrame:
     """``prompt, completion, reward``: the first call as JSON, else the final answer."""
     call = F.try_element_at(P.of_type("tool_call"), F.lit(1))
-    text = F.when(call.isNotNull(), _spliced(F.to_json(F.struct(call["tool_name"].alias("tool"), _object(call["tool_args"]).alias("args"))))).otherwise(F.coalesce("final_answer", F.lit("")))
+    text = F.when(call.isNotNull(), F.to_json(F.struct(call["tool_name"].alias("tool"), _object(call["tool_args"]).alias("args")))).otherwise(F.coalesce("final_answer", F.lit("")))
     return episodes.select(F.col("query").alias("prompt"), text.alias("completion"), "reward")
 
 
