@@ -14,11 +14,12 @@ times shards) goes back as a small table; ``MAX_PARTS`` bounds both. A shard of
 over ``BLOCK_ROWS`` rows is permuted in blocks of its second hash, whose sizes
 are counted first, so no task holds a whole shard.
 
-The hash covers the identity columns and the row's number in the input, so rows
+The hash covers the identity columns and the row's place in its file, so rows
 repeated in full are dealt like any others. Parts, shards and slots are worked
-out on these hashes from several scans of the table, which therefore must come
-from files (as read, or as written by :func:`~.shared.written`): those give the
-same rows in the same places each time, also after a lost executor.
+out on these hashes from several scans, which may be cut into other splits each
+time, as executors come and go; a row's file and its place in it stay the same.
+A table that doesn't come straight from Parquet files is written once, and what
+was written is read.
 
 Nulls and odd rows: the hash covers nulls; rows that are repeated in full, and
 ties of a hash, are in arbitrary but fixed order; a very long text is carried
@@ -34,10 +35,11 @@ from decimal import Decimal, localcontext
 from functools import lru_cache
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import unused
+from .shared import unused, written
 
 MAX_PARTS = 20_000
 #: Rows that one part permutes, in the mean (up to ``MAX_PARTS``).
@@ -112,6 +114,19 @@ def communication_matrix(part_rows: list[int], sizes: list[int], seed: int) -> l
     return matrix
 
 
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name`` that tells each row from all others, and is the same in every scan however it is split."""
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    if "_metadata" not in {c.lower() for c in df.columns}:
+        try:
+            return df.withColumn(name, place)
+        except AnalysisException:  # not rows as they stand in Parquet files
+            pass
+    own = unused(df, "_metadata_")[0]
+    df = written(df.withColumnsRenamed({c: own for c in df.columns if c.lower() == "_metadata"}), "rows")
+    return df.withColumn(name, place).withColumnRenamed(own, "_metadata")
+
+
 def shuffled(df: DataFrame, identity: list[str], shards: int = 24, seed: int = 17, parts: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, from 0 without gaps in each shard)."""
     spark = df.sparkSession
@@ -125,7 +140,7 @@ def shuffled(df: DataFrame, identity: list[str], shards: int = 24, seed: int = 1
     def key(n: int):
         return F.xxhash64(F.lit(seed + n), *identity, F.col(nth))
 
-    keyed = df.withColumn(nth, F.monotonically_increasing_id())
+    keyed = placed(df, nth)
     keyed = keyed.withColumns({part: F.pmod(key(0), F.lit(parts)).cast("int"), first: key(1), second: key(2)}).drop(nth)
     rows = {r[0]: r[1] for r in keyed.groupBy(part).agg(F.count("*")).collect()}
     sizes = shard_sizes(sum(rows.values()), shards)
