@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_seed
 from ..functions.synthesis import expression, hint, location, named_location, small_numbers, task_phrase
+from ..sources.shared import stored
 
 RULE = "struct<pos:int,name:string,required:boolean,depth:int,kind:string,fixed:string,hint:string>"
 
@@ -34,7 +35,7 @@ def rules(tools: DataFrame) -> DataFrame:
     each = read.select("tool", "properties", F.size("needed").alias("n"), F.posexplode(F.concat("needed", extra)).alias("pos", "name"))
     rows = each.select("tool", "pos", "name", (F.col("pos") < F.col("n")).alias("required"), F.lit(0).alias("depth"), F.coalesce(F.try_element_at("properties", F.col("name")), F.lit("{}")).alias("node"))
     while True:  # a step for each level of arrays in the deepest schema
-        rows = rows.withColumn("fixed", F.to_json(F.try_variant_get(F.try_parse_json("node"), "$.enum[0]", "variant"))).withColumn("kind", F.get_json_object("node", "$.type"))
+        rows = stored(rows.drop("fixed", "kind"), "rules").withColumn("fixed", F.to_json(F.try_variant_get(F.try_parse_json("node"), "$.enum[0]", "variant"))).withColumn("kind", F.get_json_object("node", "$.type"))
         inner = F.col("fixed").isNull() & (F.col("kind") == "array")
         if rows.filter(inner).isEmpty():
             break
