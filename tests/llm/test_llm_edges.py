@@ -117,6 +117,27 @@ def test_special_token_strings_in_queries_ids(spark):
             assert (row["n_tokens"], row["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+def test_sharding_holds_when_splits_change(spark, tmp_path):
+    """Counts are made under one number of splits, rows under another, as when executors come or go."""
+    spark.range(4000).selectExpr("id % 50 AS id", "repeat('x', 40) AS text").repartition(5).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "t"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for first, then in (("64m", "2k"), ("2k", "64m")):
+            spark.conf.set(key, first)
+            table = spark.read.parquet(str(tmp_path / "t"))
+            n = table.rdd.getNumPartitions()
+            found = sharding.shuffled(table, ["id", "text"], shards=7, parts=9, block_rows=50)
+            spark.conf.set(key, then)
+            assert spark.read.parquet(str(tmp_path / "t")).rdd.getNumPartitions() != n
+            sizes = found.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+            assert sorted(r["n"] for r in sizes) == [571] * 4 + [572] * 3 and all(r["n"] == r["slots"] == r["last"] + 1 for r in sizes)
+    finally:
+        spark.conf.set(key, before)
+    clash = spark.read.parquet(str(tmp_path / "t")).withColumn("_metadata", F.lit(1))
+    assert sharding.shuffled(clash, ["id"], shards=2).columns == ["id", "text", "_metadata", "shard", "slot"]
+
+
 def test_sharding(spark, odd, none):
     found = sharding.shuffled(odd, ["doc_id", "text"], shards=4)
     assert set(odd.columns) < set(found.columns) and "rank" in found.columns

@@ -163,5 +163,5 @@ def shuffled(df: DataFrame, identity: list[str], shards: int = 24, seed: int = 1
     before = Window.partitionBy("shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("shard", cell, F.coalesce(F.sum(place).over(before), F.lit(0)).alias(base))
     slot = F.row_number().over(Window.partitionBy("shard", cell).orderBy(second)) - 1
-    placed = out.withColumn(cell, block).withColumn(place, slot).join(bases, ["shard", cell])
-    return placed.withColumn("slot", F.col(base) + F.col(place)).drop(cell, place, base, second)
+    found = out.withColumn(cell, block).withColumn(place, slot).join(bases, ["shard", cell])
+    return found.withColumn("slot", F.col(base) + F.col(place)).drop(cell, place, base, second)
