@@ -1,15 +1,18 @@
 """Arguments, OpenAPI tools, requests, numbering, selection and exports against plain versions."""
 
+import datetime
 import json
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import synthesis
-from tracewright.operators import arguments, generation, judge, mining, numbering, openapi, requests
+from tracewright.operators import arguments, generation, judge, learned, mining, numbering, openapi, profile, requests
 from tracewright.operators.schema import STEP, TOOL, VERIFICATION
 from tracewright.sources import cards, writers
+from tracewright.streaming import resumable as streams
 
 
 def plain_resolved(node, spec, seen=()):
@@ -220,3 +223,45 @@ def test_transcripts_number_their_steps(spark):
     got = [r["t"] for r in df.select(judge.transcript().alias("t")).collect()]
     assert got[0] == "USER QUERY:\nq\n\nAVAILABLE TOOLS: f, g\n\nMODE: multi_agent\n\nTRAJECTORY STEPS:\n1. (p) PLAN: think\n2. (w) TOOL_CALL: f({\"k\":1})\n3. CODE:\nprint(1)\nOUTPUT: 1\n\nFINAL ANSWER:\ndone\n\n" + judge.REQUEST
     assert got[1].startswith("USER QUERY:\n\n\nMODE: ")
+
+
+def test_profiles_name_keys_exactly(spark):
+    rows = [(k, k % 999, f"n{k}", "open" if k % 2 else None, 1.0, [1]) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, `near key` long, name string, status string, x double, a array<int>")
+    got = {c["column"]: (c["kind"], c["rows"], c["nulls"], c["is_key"]) for c in profile.profile(df)}
+    assert got == {"id": ("integer", 1000, 0, True), "near key": ("integer", 1000, 0, False), "name": ("text", 1000, 0, True), "status": ("text", 1000, 500, False), "x": ("number", 1000, 0, False), "a": ("other", 1000, 0, False)}
+    assert profile.pack_columns(profile.profile(df)) == ("id", "status")
+    made = {r["scenario_id"]: (r["key"], r["value"], r["expected"]) for r in profile.pack(df, "t", ("id", "status")).collect()}
+    assert made == {"t/update": (1, "open", "done"), "t/count": (1, "open", "500")}
+    assert profile.pack(df.limit(0), "t", ("id", "status")).count() == 0 and not any(c["is_key"] for c in profile.profile(df.limit(0)))
+
+
+def test_calibration_is_the_least_log_loss(spark):
+    rng = random.Random(9)
+    rows = [(s := rng.uniform(-3, 3), int(rng.random() < 1 / (1 + math.exp(-(1.7 * s - 0.4))))) for _ in range(4000)]
+    df = spark.createDataFrame([*rows, (None, 1), (float("nan"), 0), (1.0, None)], "score double, label int")
+    a, b = learned.calibration(df)
+    assert abs(a - 1.7) < 0.2 and abs(b + 0.4) < 0.15
+    wins = sum(y for _, y in rows)
+    top, bottom = (wins + 1) / (wins + 2), 1 / (len(rows) - wins + 2)
+
+    def loss(a, b):
+        return -sum((top if y else bottom) * -math.log1p(math.exp(-(a * s + b))) + (1 - (top if y else bottom)) * -math.log1p(math.exp(a * s + b)) for s, y in rows)
+
+    best = loss(a, b)
+    assert all(loss(a + da, b + db) >= best - 1e-6 for da, db in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)))
+    assert sum(r["n"] for r in learned.reliability_bins(learned.calibrated(df.filter("label is not null and score is not null and not isnan(score)"), (a, b))).collect()) == 4000
+    one = learned.calibration(spark.createDataFrame([(0.1, 1), (0.2, 1)], "score double, label int"))
+    assert one[0] == 0.0 and learned.calibration(df.limit(0)) == (0.0, 0.0)
+
+
+def test_a_flood_keeps_bounded_state(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    flood = [("a", start + datetime.timedelta(milliseconds=m)) for m in range(20_000)] + [("b", start + datetime.timedelta(minutes=m)) for m in (0, 61)] + [("a", start + datetime.timedelta(hours=2))]
+    spark.createDataFrame(flood, "ip string, ts timestamp").repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ip string, ts timestamp").parquet(f"{tmp_path}/in")
+    query = streams.rate_limited(stream, "ip", "ts", most=20).writeStream.format("memory").queryName("flood").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.table("flood")
+    assert got.count() == 20_003 and got.filter("rejected").count() == 19_980 and got.agg(F.max("recent")).first()[0] == 21
+    assert [r["recent"] for r in got.filter("ip = 'b' or ts >= '2024-01-01 02:00:00'").collect()] == [1, 1, 1]

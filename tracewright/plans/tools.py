@@ -12,12 +12,12 @@ from ..functions.hashing import stable_seed
 from ..functions.synthesis import expression, generator_tokens, named_location, small_numbers, value_of
 from ..operators import generation as G
 from ..operators import judge as J
-from ..operators import openapi, requests
+from ..operators import learned, openapi, profile, requests
 from ..operators.arguments import with_arguments
 from ..operators.schema import STEP, TOOL, VERIFICATION, step
 from ..sources import writers
 from ..sources.shared import folder
-from .tables import table
+from .tables import NAMES, table
 from .trajectories import _T, trajectories
 
 #: A schema with arrays three levels deep, made for each event type (``@``).
@@ -158,7 +158,25 @@ def tool_grpo_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.grpo(tool_runs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (synthesized_arguments, locations, expressions, generator_words, openapi_tools, cached_requests, paced_requests, first_seen_sources, seed_task_cycle, judge_transcripts, lenient_scores, tool_jsonl_export, tool_sharegpt_export, tool_adp_export, tool_grpo_export)}
+def table_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds, nulls and keys of all columns of all given tables."""
+    rows = [(name, c["column"], c["kind"], c["rows"], c["nulls"], c["is_key"]) for name in NAMES for c in profile.profile(table(spark, sf_dir, name))]
+    return spark.createDataFrame(rows, "table_name string, column string, kind string, n bigint, nulls bigint, is_key boolean")
+
+
+def schema_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starter scenarios of every given table with an integer key and a text."""
+    return profile.packs({name: table(spark, sf_dir, name) for name in NAMES})
+
+
+def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of a calibrated score: the quality of labelled documents by the logarithm of their length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.log(F.col("n_chars") + 1.0).alias("score"))
+    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return learned.reliability_bins(learned.calibrated(rows, learned.calibration(rows)))
+
+
+QUERIES = {f.__name__: f for f in (table_profiles, schema_packs, calibrated_scores, synthesized_arguments, locations, expressions, generator_words, openapi_tools, cached_requests, paced_requests, first_seen_sources, seed_task_cycle, judge_transcripts, lenient_scores, tool_jsonl_export, tool_sharegpt_export, tool_adp_export, tool_grpo_export)}
 
 _SEED = "CAST(('0x' || substr(sha256({}), 1, 12)) AS BIGINT)"
 _APART = r"[^\p{L}\p{N}\p{M}_]"
@@ -182,7 +200,68 @@ _ARGS = """'{"at":{"id":' || event_id || ',"tag":"\\u0002' || event_type || '\\u
 _SEEN = "chr(2) || '\"' || {v} || '\"' || chr(3)"
 _DONE = "chr(2) || ' done by ' || user_id || chr(3)"
 
+# The columns of the given tables, i integer, d number, t text, z time, o other.
+_COLUMNS = {
+    "region": "r_regionkey i, r_name t",
+    "nation": "n_nationkey i, n_name t, n_regionkey i",
+    "customer": "c_custkey i, c_name t, c_nationkey i, c_acctbal d, c_mktsegment t",
+    "supplier": "s_suppkey i, s_name t, s_nationkey i, s_acctbal d",
+    "part": "p_partkey i, p_name t, p_brand t, p_type t, p_size i, p_retailprice d",
+    "orders": "o_orderkey i, o_custkey i, o_orderstatus t, o_totalprice d, o_orderdate z, o_orderpriority t",
+    "lineitem": "l_orderkey i, l_partkey i, l_suppkey i, l_linenumber i, l_quantity d, l_extendedprice d, l_discount d, l_tax d, l_returnflag t, l_linestatus t, l_shipdate z",
+    "events": "event_id i, ts z, user_id i, event_type t, value d, props t",
+    "documents": "doc_id i, text t, lang t, source t, n_chars i",
+    "embeddings": "vec_id i, embedding o, label i",
+    "pages": "page_id i, url t, html t",
+    "benchmark": "item_id i, text t",
+    "labels": "doc_id i, quality i, toxic i",
+    "conversations": "conv_id i, turn i, role t, text t",
+}
+_KIND = {"i": "integer", "d": "number", "t": "text", "z": "time", "o": "other"}
+
+
+def _unique(name: str, column: str) -> str:
+    return f"(SELECT count(*) > 0 AND count(*) = count({column}) AND count({column}) = count(DISTINCT {column}) FROM {name})"
+
+
+def _profiles_sql() -> str:
+    columns = [(name, *c.split()) for name, listed in _COLUMNS.items() for c in listed.split(", ")]
+    return " UNION ALL ".join(f"SELECT '{name}' AS table_name, '{c}' AS \"column\", '{_KIND[k]}' AS kind, count(*) AS n, count(*) - count({c}) AS nulls, {'false' if k == 'o' else _unique(name, c)} AS is_key FROM {name}" for name, c, k in columns)
+
+
+def _packs_sql() -> str:
+    """For every choice of key and text its scenarios, where the data make that choice."""
+    parts = []
+    for name, listed in _COLUMNS.items():
+        columns = [c.split() for c in listed.split(", ")]
+        keys, texts = [c for c, k in columns if k == "i"], [c for c, k in columns if k == "t"]
+        texts = [c for c in texts if any(x in c for x in profile.STATES)] + [c for c in texts if not any(x in c for x in profile.STATES)]
+        for a, key in enumerate(keys):
+            for b, text in enumerate(texts):
+                chosen = " AND ".join([_unique(name, key), f"NOT {_unique(name, text)}", *(f"NOT {_unique(name, c)}" for c in keys[:a]), *(_unique(name, c) for c in texts[:b])])
+                row = f"(SELECT arg_min({text}, {key}) AS v, min({key})::BIGINT AS key FROM {name} WHERE {text} <> 'done' AND {chosen})"
+                parts.append(f"SELECT '{name}/update' AS scenario_id, 'Set {text} of the row of {name} with {key} ' || key || ' to done.' AS task, key, v AS value, 'done' AS expected FROM {row} WHERE key IS NOT NULL")
+                parts.append(f"SELECT '{name}/count', 'How many rows of {name} have the {text} ' || v || '?', key, v, (SELECT count(*) FROM {name} WHERE {text} = v)::VARCHAR FROM {row} WHERE key IS NOT NULL")
+    return " UNION ALL ".join(parts)
+
+
+def _newton(steps: int) -> str:
+    """The fit as unrolled steps: f<k> holds a and b."""
+    sql = """WITH r AS (SELECT ln(n_chars + 1e0) AS s, quality::DOUBLE AS y FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT count(*)::DOUBLE AS n, sum(y) AS w FROM r), t AS (SELECT s, y, CASE WHEN y = 1 THEN (w + 1) / (w + 2) ELSE 1 / (n - w + 2) END AS t FROM r, c),
+f0 AS (SELECT 0e0 AS a, ln(avg(t) / (1 - avg(t))) AS b FROM t)"""
+    for k in range(1, steps + 1):
+        sql += f""",
+g{k} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum((t - p) * s) AS g1, sum(t - p) AS g0, sum(p * (1 - p) * s * s) AS h11, sum(p * (1 - p) * s) AS h10, sum(p * (1 - p)) AS h00 FROM (SELECT *, 1 / (1 + exp(-(s * a + b))) AS p FROM t, f{k - 1})),
+f{k} AS (SELECT a + (h00 * g1 - h10 * g0) / (h11 * h00 - h10 * h10) AS a, b + (h11 * g0 - h10 * g1) / (h11 * h00 - h10 * h10) AS b FROM g{k})"""
+    return sql
+
+
 ORACLES = {
+    "table_profiles": _profiles_sql(),
+    "schema_packs": _packs_sql(),
+    "calibrated_scores": f"""{_newton(12)}, p AS (SELECT y, 1 / (1 + exp(-(s * a + b))) AS p FROM t, f12)
+SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 4) AS mean_probability, round(avg(y), 4) AS rate, round(avg(pow(p - y, 2)), 4) AS brier FROM p GROUP BY 1""",
     "synthesized_arguments": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, event_type AS tool, {_SEED.format("doc_id::VARCHAR")} AS s FROM documents JOIN events ON event_id = doc_id),
 v AS (SELECT *, {_NUMS} AS nums, {_named("text")} AS named, {_SEED.format("s || '||city||0'")} AS s0, {_SEED.format("s || '||' || tool || '_id||1'")} AS s1, {_SEED.format("s || '||grid||2'")} AS s2, {_SEED.format("s || '||expression||4'")} AS s4 FROM d)

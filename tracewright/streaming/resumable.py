@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,30 +33,37 @@ def resumable(spark: SparkSession, plan_path: str, plan_schema: str, make: Calla
 def rate_limited(requests: DataFrame, key: str, at: str, most: int = 20, hours: int = 1) -> DataFrame:
     """Streaming form of the trailing window: ``key, at, recent, rejected`` of every request; refused ones count too.
 
-    The state of a key is the times within the window; it is dropped when the
-    watermark has passed them.
+    A request is refused when the ``most`` requests before it are within the
+    window too, so the last ``most`` times are all the state of a key, however
+    many requests it sends, and a request costs one step. ``recent`` counts the
+    requests within the window, itself included, up to ``most`` + 1, which
+    stands for any number over ``most``. The state is dropped when the
+    watermark has passed its last time.
     """
     span = hours * 3600.0
 
     def run(group, batches, state):
-        times = list(state.get[0]) if state.exists else []
+        last = deque(state.get[0] if state.exists else (), maxlen=most)
         if state.hasTimedOut:
             state.remove()
             return
-        for pdf in batches:
-            pdf = pdf.sort_values(at)
-            recent = []
-            for t in pdf[at]:
-                now = t.timestamp()
-                times = [x for x in times if now - x < span] + [now]
-                recent.append(len(times))
-            yield pd.DataFrame({key: pdf[key].to_numpy(), at: pdf[at].to_numpy(), "recent": recent, "rejected": [r > most for r in recent]})
-        state.update((times,))
-        state.setTimeoutTimestamp(int((max(times) + span) * 1000) + 1)
+        # one group's rows of a trigger, in batches: times only, since order matters across batches
+        times = np.sort(np.concatenate([pdf[at].to_numpy() for pdf in batches]))
+        name = group[0]
+        for start in range(0, len(times), 1 << 16):
+            part, recent = times[start : start + (1 << 16)], []
+            for now in (part.astype("datetime64[us]").astype(np.int64) / 1e6).tolist():
+                while last and now - last[0] >= span:
+                    last.popleft()
+                recent.append(len(last) + 1)
+                last.append(now)
+            yield pd.DataFrame({key: [name] * len(part), at: part, "recent": recent, "rejected": [r > most for r in recent]})
+        state.update((list(last),))
+        state.setTimeoutTimestamp(int((last[-1] + span) * 1000) + 1)
 
     stamped = requests.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, f"{hours} hours")
     kind = dict(requests.dtypes)[key]
-    return stamped.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {at} timestamp, recent long, rejected boolean", "times array<double>", "append", "EventTimeTimeout")
+    return stamped.select(key, at).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {at} timestamp, recent long, rejected boolean", "times array<double>", "append", "EventTimeTimeout")
 
 
 def windowed(events: DataFrame, at: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
