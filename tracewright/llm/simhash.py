@@ -13,9 +13,12 @@ each block. Each task keeps a spanning forest of the links it verified, so what
 is written grows with the fingerprints and not with the pairs.
 
 Nulls and odd rows: a null or empty text, or one without words, has fingerprint
-zero and is linked like any other; a null id never is a component id unless all
-ids of the component are null; repeated rows stay; extra columns are ignored;
-an empty table gives an empty result.
+zero and is linked like any other; a very long text is hashed whole, some
+32,768 shingles at a time; of a bit that is set in exactly half of the shingles
+the fingerprint has 0, and equal fingerprints are one node however many rows
+have them; a null id never is a component id unless all ids of the component are
+null; repeated rows stay; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
