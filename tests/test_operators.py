@@ -14,7 +14,7 @@ from tracewright.functions import hashing, text
 from tracewright.functions.stats import pass_hat_k, wilson
 from tracewright.operators import boards, judge, mining, overlap, provenance, similarity, steps, verify, worlds
 from tracewright.operators.schema import STEP_FIELDS, trajectory_schema
-from tracewright.sources import readers, writers
+from tracewright.sources import readers, traces, writers
 
 
 def sets(spark, texts):
@@ -208,7 +208,7 @@ OTEL = {"spans": [
 
 def test_traces(spark):
     lines = spark.createDataFrame([(json.dumps(t),) for t in (OPENAI, ANTHROPIC, OTEL, [])], "value string")
-    got = {r["generator_model"]: r for r in readers.traces(lines).collect()}
+    got = {r["generator_model"]: r for r in traces.traces(lines).collect()}
     assert set(got) == {"import:openai", "import:anthropic", "import:otel"}
     kinds = {k: [s["step_type"] for s in r["steps"]] for k, r in got.items()}
     assert kinds["import:openai"] == ["tool_call", "thought", "observation", "final_answer"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.text import shingles, tokens
 from .operators import judge, overlap, provenance, steps, worlds
 from .session import local_session, ship
-from .sources import readers, writers
+from .sources import readers, traces, writers
 
 
 def _session():
@@ -22,7 +22,7 @@ def _session():
 
 
 def _import(args) -> int:
-    found = readers.traces(readers.numbered_lines(_session(), args.path), args.format)
+    found = traces.traces(readers.numbered_lines(_session(), args.path), args.format)
     if args.redact:
         found = steps.redacted(found)
     writers.save(found, args.out, "jsonl")

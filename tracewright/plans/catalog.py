@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries; each has ``QUERIES`` and ``ORACLES``.
-MODULES: tuple[str, ...] = ("leaderboards", "metrics", "reliability", "similarity", "boards", "mining", "trajectories", "worlds", "runs", "authoring", "tools")
+MODULES: tuple[str, ...] = ("leaderboards", "metrics", "reliability", "similarity", "boards", "mining", "trajectories", "worlds", "runs", "imports", "authoring", "tools")
 
 
 def _loaded() -> list:

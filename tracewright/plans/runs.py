@@ -12,7 +12,7 @@ from ..functions.fixed import FEATURES
 from ..operators import learned as L
 from ..operators import steps as P
 from ..operators import worlds as W
-from ..sources import readers
+from ..sources import readers, traces
 from ..sources.shared import folder
 from ..streaming.resumable import resumable
 from .tables import table
@@ -44,7 +44,7 @@ def robustness_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def imported_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as raw traces and imported again."""
-    found = readers.traces(readers.conversation_traces(table(spark, sf_dir, "conversations")))
+    found = traces.traces(readers.conversation_traces(table(spark, sf_dir, "conversations")))
     return found.select(F.md5("query").alias("query_md5"), F.md5("final_answer").alias("answer_md5"), F.size("steps").cast("bigint").alias("num_steps"), "success")
 
 

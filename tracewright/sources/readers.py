@@ -1,16 +1,14 @@
-"""Readers of trajectories, traces, corpora, packs and manifests."""
+"""Readers of trajectories, corpora, packs and manifests; traces are in :mod:`traces`."""
 
 from __future__ import annotations
 
 import json
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import content_digest
-from ..operators.schema import STEP, STEP_FIELDS, TOOL, VERIFICATION, trajectory_schema
+from ..operators.schema import STEP, TOOL, VERIFICATION
 
 _RECORD = f"id string, query string, mode string, domain string, tools array<{TOOL}>, steps array<{STEP}>, final_answer string, success boolean, generator_model string, metadata string, verification {VERIFICATION}"
 
@@ -104,147 +102,6 @@ def bfcl_cases(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return q.join(a, "id", "left").filter(tool.isNotNull()).select("id", "query", "tools", tool.alias("expected_tool"), F.try_element_at(F.map_values("truth"), F.lit(1)).alias("expected_args"))
 
 
-def trace_format(trace: Any) -> str:
-    """``otel``, ``anthropic``, ``openai`` or ``empty``."""
-    if isinstance(trace, dict) and "spans" in trace:
-        return "otel"
-    rows = trace.get("messages", []) if isinstance(trace, dict) else trace or []
-    blocks = (b for m in rows if isinstance(m, dict) and isinstance(m.get("content"), list) for b in m["content"] if isinstance(b, dict))
-    if any(b.get("type") in ("tool_use", "tool_result") for b in blocks):
-        return "anthropic"
-    return "openai" if rows else "empty"
-
-
-def content_text(content: Any) -> str:
-    """Message content as text: strings as they are, text blocks joined by line breaks."""
-    if isinstance(content, str):
-        return content
-    if isinstance(content, list):
-        parts = [b if isinstance(b, str) else (b.get("text") or "") for b in content if isinstance(b, (str, dict))]
-        return "\n".join(p for p in parts if p)
-    return "" if content is None else str(content)
-
-
-def _arguments(raw: Any) -> str:
-    if isinstance(raw, str):
-        try:
-            raw = json.loads(raw)
-        except json.JSONDecodeError:
-            raw = {}
-    return json.dumps(raw if isinstance(raw, dict) else {}, sort_keys=True, ensure_ascii=False)
-
-
-def flat_attributes(attributes: Any) -> dict[str, Any]:
-    """Span attributes as a plain mapping, from a mapping or a list of typed key-value pairs."""
-    if isinstance(attributes, dict):
-        return attributes
-    out = {}
-    for pair in attributes or []:
-        value = pair.get("value", {})
-        out[pair.get("key", "")] = next(iter(value.values()), None) if isinstance(value, dict) else value
-    return out
-
-
-def _indexed(attributes: dict[str, Any], prefix: str) -> list[dict]:
-    """Messages written as ``prefix.<index>.role`` and ``.content``, in order of the index."""
-    rows: dict[int, dict] = {}
-    for key, value in attributes.items():
-        parts = key[len(prefix) + 1 :].split(".", 1) if key.startswith(prefix + ".") else []
-        if len(parts) == 2 and parts[0].isdigit():
-            rows.setdefault(int(parts[0]), {})[parts[1]] = value
-    return [rows[i] for i in sorted(rows)]
-
-
-def _events(trace: Any, kind: str) -> list[tuple[str, dict]]:
-    """A trace as a list of (what, fields): user, text, call, result."""
-    out: list[tuple[str, dict]] = []
-
-    def message(m: dict) -> None:
-        role, content = m.get("role"), m.get("content")
-        if role == "user" and not isinstance(content, list):
-            out.append(("user", {"text": content_text(content)}))
-        elif role in ("tool", "function"):
-            out.append(("result", {"text": content_text(content)}))
-        elif role == "assistant" and kind != "anthropic":
-            for call in m.get("tool_calls") or []:
-                function = call.get("function", call)
-                out.append(("call", {"name": function.get("name"), "args": _arguments(function.get("arguments"))}))
-            out.append(("text", {"text": content_text(content)}))
-        elif isinstance(content, list) or role == "assistant":
-            for block in content if isinstance(content, list) else [{"type": "text", "text": content}]:
-                what = block.get("type")
-                if what == "tool_use" and role == "assistant":
-                    out.append(("call", {"name": block.get("name"), "args": _arguments(block.get("input"))}))
-                elif what == "tool_result":
-                    out.append(("result", {"text": content_text(block.get("content"))}))
-                elif what == "text":
-                    out.append(("user" if role == "user" else "text", {"text": block.get("text") or ""}))
-
-    if kind != "otel":
-        for m in trace.get("messages", []) if isinstance(trace, dict) else trace:
-            message(m)
-        return out
-    asked = False
-    spans = sorted(enumerate(trace["spans"]), key=lambda s: (int(s[1].get("start_time_unix_nano") or 0), s[0]))
-    for _, span in spans:
-        a = flat_attributes(span.get("attributes"))
-        if a.get("gen_ai.operation.name") == "execute_tool" or a.get("gen_ai.tool.name"):
-            out.append(("call", {"name": a.get("gen_ai.tool.name"), "args": _arguments(a.get("gen_ai.tool.call.arguments"))}))
-            if a.get("gen_ai.tool.call.result") is not None:
-                out.append(("result", {"text": content_text(a["gen_ai.tool.call.result"])}))
-            continue
-        given, made = (json.loads(a[k]) if isinstance(a.get(k), str) else a.get(k) for k in ("gen_ai.input.messages", "gen_ai.output.messages"))
-        given, made = given or _indexed(a, "gen_ai.prompt"), made or _indexed(a, "gen_ai.completion")
-        for m in (given if not asked else []) + (made or []):
-            message({"role": m.get("role", "assistant"), "content": content_text(m.get("content", m.get("parts")))})
-        asked = asked or bool(given)
-    return out
-
-
-def imported(line: str, source: str = "auto") -> dict[str, Any] | None:
-    """One trace as a trajectory record, or None for an empty one."""
-    trace = json.loads(line)
-    kind = trace_format(trace) if source == "auto" else source
-    events = _events(trace, kind) if kind != "empty" else []
-    if not events:
-        return None
-    query = next((e["text"] for what, e in events if what == "user" and e["text"]), "")
-    last = max((k for k, (what, e) in enumerate(events) if what == "text" and e["text"]), default=None)
-    steps, names = [], []
-    for k, (what, e) in enumerate(events):
-        fields = {
-            "call": {"step_type": "tool_call", "tool_name": e.get("name"), "tool_args": e.get("args")},
-            "result": {"step_type": "observation", "observation": e.get("text")},
-            "text": {"step_type": "final_answer" if k == last else "thought", ("content" if k == last else "thought"): e.get("text")},
-        }.get(what)
-        if fields and not (what == "text" and not e["text"]):
-            steps.append({**dict.fromkeys(STEP_FIELDS), **fields})
-        if what == "call" and e["name"] and e["name"] not in names:
-            names.append(e["name"])
-    answer = events[last][1]["text"] if last is not None else ""
-    return {
-        "id": content_digest(trace, 12), "query": query, "mode": "single_agent", "domain": None,
-        "tools": [{"name": n, "description": "", "parameters": "{}", "required": [], "arg_names": []} for n in names],
-        "steps": steps, "final_answer": answer, "success": bool(answer), "generator_model": f"import:{kind}", "metadata": "{}", "created_at": None, "verification": None,
-    }
-
-
-def traces(lines: DataFrame, source: str = "auto") -> DataFrame:
-    """Trajectories from raw traces (``value``: one JSON text each); traces without messages are dropped.
-
-    ``ord`` is that of ``lines``, or a hash of the trace where they have none.
-    """
-    names = [f.name for f in trajectory_schema().fields]
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(o, imported(v, source)) for o, v in zip(pdf["ord"], pdf["value"], strict=True)]
-            yield pd.DataFrame([{"ord": o, **r} for o, r in rows if r], columns=names)
-
-    place = F.col("ord").cast("long") if "ord" in lines.columns else F.xxhash64("value")
-    return lines.select(place.alias("ord"), "value").mapInPandas(run, trajectory_schema())
-
-
 def conversation_traces(conversations: DataFrame) -> DataFrame:
     """Conversations ``conv_id, turn, role, text`` as raw traces of messages."""
     row = F.struct("turn", F.col("role"), F.col("text").alias("content"))
