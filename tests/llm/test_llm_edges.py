@@ -440,6 +440,21 @@ def test_forest_on_held_out_findings():
     assert ((p >= secrets.THRESHOLD) == labels).mean() > 0.97
 
 
+def test_quality_tells_whether_centres_settled(spark):
+    words = "some plain words of a text that goes on for a while and says little of any use to those who read it at all".split()
+    texts = [" ".join(words[(k * 7 + i * (1 + k % 5)) % len(words)] + "x" * ((k + i) % 4) for i in range(30 + k % 40)) for k in range(300)]
+    # whole texts of very long words: medians above the even steps
+    texts += [" ".join("w" * (3000 + 40 * k + i) for i in range(25)) for k in range(40)]
+    rows = spark.createDataFrame([(k, t, "en", "long" if k >= 300 else "plain") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    first = {r["doc_id"]: r for r in quality.quality(rows, steps=1).collect()}
+    last = {r["doc_id"]: r for r in quality.quality(rows).collect()}
+    assert len(first) == len(last) == 340 and not all(r["settled"] for r in first.values()) and all(r["settled"] for r in last.values())
+    assert sum(last[k]["kept"] or last[k]["base_failed"] for k in range(300)) >= 295
+    table = quality.written(quality.counts(rows), "counts", texts=True)
+    usual = {r["p_source"]: r["usual"][0] for r in quality.usual_rates(table, 0.001, 6).collect()}
+    assert 3600 < usual["long"] < 4100, usual
+
+
 def test_quality(spark, odd, none):
     got = quality.quality(odd).collect()
     assert len(got) == len(ROWS) and all(not r["kept"] for r in got if r["doc_id"] in (1, 2, 3, 4))

@@ -16,8 +16,10 @@ rejected when its squared Mahalanobis distance passes a quantile of the
 chi-squared distribution. ``floors`` is added to the scatter, so a statistic
 that is zero for most rows doesn't make it singular.
 
-Medians and cuts are exact on values rounded to ``_BINS`` steps, so they don't
-depend on how rows are dealt over tasks.
+Medians and cuts are exact on values rounded to ``_BINS`` steps, relative ones
+for values above ``_FINE``, so they don't depend on how rows are dealt over
+tasks. A group whose centre still moves after the last step is judged by that
+step's estimate, and its rows say so (``settled``).
 
 Nulls and odd rows: a null or empty text has zero counts and fails the base
 rules; a null language or source is a group of its own; repeated rows each
@@ -156,8 +158,13 @@ STILL = 1e-4
 ALL = "\x00all"
 #: Steps that a value of 1 is rounded to: of rates and statistics, and of the logarithm of distances.
 _BINS = (1000, 100)
-#: Values above are taken as this where medians and quartiles are sought.
-_TOP = 1000.0
+#: Values above are rounded to steps of their logarithm where medians and quartiles are sought, so the distinct ones stay few.
+_FINE = 1000.0
+
+
+def _rounded(x):
+    """``x`` in steps of ``_BINS``: even ones up to ``_FINE``, relative ones above; the order of values stays."""
+    return F.when(x <= _FINE, F.round(x * _BINS[0]) / _BINS[0]).otherwise(F.greatest(F.exp(F.round(F.ln(x) * _BINS[0]) / _BINS[0]), F.lit(_FINE)))
 
 
 def _levels(rows: DataFrame) -> DataFrame:
@@ -194,7 +201,7 @@ def _with_parents(groups: DataFrame, values: list[str]) -> DataFrame:
 
 def usual_rates(table: DataFrame, prior: float, n: int) -> DataFrame:
     """Medians of the rates for each language and source (``p_lang, p_source, usual``), mixed with those of language and all."""
-    rate = {s: F.least(F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)) * _BINS[0]) / _BINS[0], F.lit(_TOP)) for s, (a, b, _) in RATES.items()}
+    rate = {s: _rounded(F.col(a) / F.nullif(F.col(b), F.lit(0))) for s, (a, b, _) in RATES.items()}
     medians = [F.coalesce(F.percentile(rate[s], 0.5), F.lit(0.0)) for s in STATS]
     groups = _few(_levels(table).groupBy("g_lang", "g_source").agg(F.count(F.nullif("n_words", F.lit(0))).alias("n"), F.array(*medians).alias("usual")), n, "usual")
     full = _with_parents(groups, ["n", "usual"])
@@ -264,11 +271,11 @@ def concentrated(good: DataFrame, groups: DataFrame, n: int, params: DataFrame,
 
 
 def estimates(good: DataFrame, groups: DataFrame, n: int, share: float, steps: int, floors: tuple[float, ...], prior: float) -> DataFrame:
-    """``p_lang, p_source, mean, inverse`` of all ``groups`` from the rows that pass the base rules."""
+    """``p_lang, p_source, mean, inverse, moved`` of all ``groups`` from the rows that pass the base rules."""
     p = len(STATS)
     factor = share / chi2_cdf(chi2_quantile(share, p), p + 2)
     rows = written(_levels(good).select("g_lang", "g_source", *STATS), "levels")
-    binned = [F.percentile(F.least(F.round(F.col(s) * _BINS[0]) / _BINS[0], F.lit(_TOP)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(s) for s in STATS]
+    binned = [F.percentile(_rounded(F.col(s)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(s) for s in STATS]
     quartiles = rows.groupBy("g_lang", "g_source").agg(*binned)
     spread = [F.pow((F.col(s)[2] - F.col(s)[0]) / 1.349, 2) + F.lit(f * f) for s, f in zip(STATS, floors, strict=True)]
     packed = [1 / spread[i] if i == j else F.lit(0.0) for i, j in _pairs()]
@@ -288,7 +295,7 @@ def judged(table: DataFrame, whole: DataFrame | None = None, share: float = 0.75
     """Stored counts with ``base_failed``, ``distance`` (squared) and ``kept``; other columns stay.
 
     With ``whole``, the same rows with other columns, those are judged. Only rows that pass the base rules enter the estimates. Steps end when
-    all centres stand still, after ``steps`` at most.
+    all centres stand still, after ``steps`` at most; ``settled`` tells whether that of a row's group did by then.
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     bare = table.select("lang", "source", *_BASE).withColumn("base_failed", failed)
@@ -298,9 +305,9 @@ def judged(table: DataFrame, whole: DataFrame | None = None, share: float = 0.75
     groups = _few(groups, n, "quality-groups")
     usual = _few(usual_rates(bare, prior, n), n, "usual")
     good = vectors(bare.filter("not base_failed"), usual)
-    last = estimates(good, groups, n, share, steps, floors, prior).drop("moved")
+    last = estimates(good, groups, n, share, steps, floors, prior)
     out = _matched(vectors((table if whole is None else whole).withColumn("base_failed", failed), usual), last, "lang", "source")
-    out = out.withColumn("distance", _quadratic("mean", "inverse")).drop("mean", "inverse")
+    out = out.withColumn("distance", _quadratic("mean", "inverse")).withColumn("settled", F.col("moved") < STILL).drop("mean", "inverse", "moved")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(1 - p_reject, len(STATS))))
 
 
