@@ -347,9 +347,10 @@ def plain_viterbi(model, seen):
     return path[::-1]
 
 
-def test_op2_equals_brute_force_and_recovers_roles(spark):
+@pytest.mark.parametrize("clean", [False, True])
+def test_op2_equals_brute_force_and_recovers_roles(spark, clean):
     data = "/root/testdata/sf0.01"
-    raw = queries.raw_transcripts(spark.read.parquet(f"{data}/conversations.parquet")).orderBy("conv_id", "turn")
+    raw = queries.raw_transcripts(spark.read.parquet(f"{data}/conversations.parquet"), clean).orderBy("conv_id", "turn")
     fold = raw.filter(F.pmod(F.xxhash64("conv_id", F.lit("fold")), F.lit(5)) == 0)
     held = {r["conv_id"] for r in raw.select("conv_id").distinct().collect()} - {r["conv_id"] for r in fold.select("conv_id").distinct().collect()}
     counts, convs = Counter(), defaultdict(list)
@@ -380,7 +381,8 @@ def test_op2_equals_brute_force_and_recovers_roles(spark):
                 bare = chat.marker(r["text"].split("\n")[0])[0] == 0
                 total, right = total + 1, right + (first.get(r["turn"]) == r["role"])
                 unmarked, unmarked_right = unmarked + bare, unmarked_right + (bare and first.get(r["turn"]) == r["role"])
-    got = queries.QUERIES["op2_chat_formatting"](spark, data).collect()
+    got = (chat.formatted(raw.select("conv_id", "turn", "text"), chat.fitted(fold)) if clean else queries.QUERIES["op2_chat_formatting"](spark, data)).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     print(f"held-out turns {total}: right {right / total:.4f}; unmarked {unmarked}: right {unmarked_right / unmarked:.4f}")
-    assert right / total > 0.97 and unmarked_right / unmarked > 0.8
+    # the bounds for clean transcripts are those of before; one in thirty turns of the others has neither a marker nor a blank line before it
+    assert (right / total > 0.97 and unmarked_right / unmarked > 0.8) if clean else (right / total > 0.92 and unmarked_right / unmarked > 0.5)

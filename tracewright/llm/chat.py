@@ -44,6 +44,8 @@ STATES = 2 * len(ROLES)  # 2 r: a line that begins a turn of role r; 2 r + 1: a
 BLOCK_TURNS = 2048
 #: Chunks of a block beyond which it is split.
 BLOCK_ROWS = 8192
+#: Leading bits of a text's hash by which the chunks of one turn of a heavy block are counted: 2^32 chunks of one turn are some 65,000 to a count.
+TIE_BITS = 16
 #: Names that speakers are marked by.
 NAMES = {
     "system": ("system", "sys", "instruction", "instructions", "context"),
@@ -208,7 +210,7 @@ def _blocks(chunks: DataFrame) -> DataFrame:
     if heavy.isEmpty():
         return rows
     # the chunks of a heavy block are counted by turn and hash range, and cut where these counts add up
-    rows = rows.withColumn("bin", F.shiftright("tie", 56))
+    rows = rows.withColumn("bin", F.shiftright("tie", 64 - TIE_BITS))
     h = heavy.select(F.col("conv_id").alias("c"), F.col("block").alias("b"))
     counts = rows.join(h, rows["conv_id"].eqNullSafe(h["c"]) & (rows["block"] == h["b"]), "left_semi").groupBy("conv_id", "block", "turn", "bin").count()
     before = F.sum("count").over(Window.partitionBy("conv_id", "block").orderBy("turn", "bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")

@@ -26,23 +26,39 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 STYLES = ("%s: ", "### %s\n", "[%s] ", "<|%s|>\n", "**%s:** ")
 #: One turn in so many has no marker.
 UNMARKED = 10
+#: One turn in so many has one of these lines, which begin like a marker and stand in prose.
+ASIDES = 12
+LIKE_MARKERS = ("Question: does this hold in general", "Answer: see the part above", "User > Settings > Profile is where it is found", "Context: none was given", "model: the one from before")
 
 
-def raw_transcripts(conversations: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text``: every turn after a marker in its conversation's style, and a blank line.
+def raw_transcripts(conversations: DataFrame, clean: bool = False) -> DataFrame:
+    """``conv_id, turn, role, text``: every turn after a marker in its conversation's style.
 
     One in ``UNMARKED`` turns, but never a conversation's first, stands without
-    its marker, and in a quarter of the conversations blank lines part the
-    lines of a turn too.
+    its marker. A blank line follows two in three turns; in a quarter of the
+    conversations blank lines part the lines of a turn too. Names are written
+    as they are, in small or in capital letters, by conversation. One in
+    ``ASIDES`` turns has a last line that begins like a marker and is none.
+    ``clean``: a blank line after every turn, one spelling, no such lines.
     """
-    style = F.pmod(F.xxhash64("conv_id", F.lit("style")), F.lit(len(STYLES))).cast("int")
-    other = F.pmod(F.xxhash64("conv_id", F.lit("names")), F.lit(2)) == 0
+
+    def drawn(n: int, *of):
+        return F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+
+    style = drawn(len(STYLES), "conv_id", F.lit("style"))
+    other = drawn(2, "conv_id", F.lit("names")) == 0
     name = F.when(F.col("role") == "user", F.when(other, "Human").otherwise("User")).when(F.col("role") == "assistant", F.when(other, "AI").otherwise("Assistant")).otherwise(F.initcap("role"))
+    spelling = drawn(3, "conv_id", F.lit("spelling"))
+    name = name if clean else F.when(spelling == 1, F.lower(name)).when(spelling == 2, F.upper(name)).otherwise(name)
     marker = F.replace(F.element_at(F.array(*map(F.lit, STYLES)), style + 1), F.lit("%s"), name)
     marker = F.when((F.pmod(F.xxhash64("conv_id", "turn"), F.lit(UNMARKED)) == 0) & (F.col("turn") > 0), F.lit("")).otherwise(marker)
-    spaced = F.pmod(F.xxhash64("conv_id", F.lit("spaced")), F.lit(4)) == 0
+    spaced = drawn(4, "conv_id", F.lit("spaced")) == 0
     text = F.when(spaced, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
-    return conversations.select("conv_id", "turn", "role", F.concat(F.coalesce(marker, F.lit("")), F.coalesce(text, F.lit("")), F.lit("\n")).alias("text"))
+    aside = F.element_at(F.array(*map(F.lit, LIKE_MARKERS)), drawn(len(LIKE_MARKERS), "conv_id", "turn", F.lit("like")) + 1)
+    aside = F.when(drawn(ASIDES, "conv_id", "turn", F.lit("aside")) == 0, F.concat(F.lit("\n"), aside)).otherwise("")
+    end = F.when(drawn(3, "conv_id", "turn", F.lit("end")) > 0, "\n").otherwise("")
+    aside, end = (F.lit(""), F.lit("\n")) if clean else (aside, end)
+    return conversations.select("conv_id", "turn", "role", F.concat(F.coalesce(marker, F.lit("")), F.coalesce(text, F.lit("")), aside, end).alias("text"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
