@@ -14,6 +14,12 @@ def ratio(top: Column, bottom: Column, digits: int = 4) -> Column:
     return F.round(F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0)), digits)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded half away from zero as SQL engines do it, scaled up in binary first; ``F.round`` goes by the decimal text, so 0.285 is 0.29 there and 0.28 here."""
+    scale = float(10**digits)
+    return F.round(value * scale, 0) / scale
+
+
 def clamp01(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
 

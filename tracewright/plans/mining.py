@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import ratio
+from ..functions.stats import ratio, rounded
 from ..operators import mining as M
 from .tables import table
 
@@ -46,7 +46,7 @@ def most_missed_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three judge dimensions per labelled document."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality_score"), (1 - F.col("toxic")).cast("double").alias("value_score"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.round(F.least(F.col("n_chars") / 2000.0, F.lit(1.0)), 2).alias("length_score"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", rounded(F.least(F.col("n_chars") / 2000.0, F.lit(1.0)), 2).alias("length_score"))
     return docs.join(labels, "doc_id")
 
 
