@@ -20,6 +20,19 @@ def rounded(value: Column, digits: int) -> Column:
     return F.round(value * scale, 0) / scale
 
 
+def mean_reaches(value: Column, least: int) -> Column:
+    """Whether the mean of a column of doubles is ``least`` or more.
+
+    Values of up to twelve decimals are added exactly, so a mean of just
+    ``least`` doesn't depend on the order of the rows, as a sum of doubles does;
+    a group with any other value (NaN, infinite, finer, over 10^16) goes by its
+    double mean.
+    """
+    exact = value.try_cast("decimal(28,12)")
+    exact = F.when(exact.cast("double") == value, exact)
+    return F.when(F.count(exact) == F.count(value), F.sum(exact) >= F.count(value) * F.lit(least)).otherwise(F.avg(value) >= least)
+
+
 def clamp01(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
 
