@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
-from .similarity import classes, distinct_sets
+from .similarity import classes, distinct_sets, kept_sets
 
 #: Sets of the other table that make a shingle hot.
 HOT = 32
@@ -31,9 +31,9 @@ READ = (4, 64, 1 << 62)
 
 def _distinct(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Membership of each row in its class of equal sets, and the classes' sets with their sizes."""
-    sets = stored(sets.select("ord", "shingles"), "sets")
+    sets = kept_sets(sets)
     members = stored(classes(sets), "classes")
-    return members, stored(distinct_sets(sets, members).filter(F.size("shingles") > 0).withColumn("n", F.size("shingles").cast("long")), "firsts")
+    return members, stored(distinct_sets(sets, members).filter("n > 0").select("ord", "shingles", F.col("n").cast("long").alias("n")), "firsts")
 
 
 def _rounds(state: DataFrame, members: DataFrame, postings: DataFrame, ours: DataFrame, theirs: DataFrame, later: str) -> DataFrame:
