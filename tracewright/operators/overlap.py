@@ -12,7 +12,8 @@ A set that was not met by a rare shingle shares hot ones only, so of all sets
 with the same hot shingles the smallest is the best: one stands for all of
 them, however many there are. The rounds go on over those.
 
-Equal sets are compared once, on either side.
+Only shingles that both tables have matter beside the sizes of the sets. Rows
+with as many members and the same shared ones are compared once, on either side.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
-from .similarity import classes, distinct_sets, kept_sets
+from ..sources.shared import Membership, stored
+from .similarity import kept_sets
 
 #: Sets of the other table that make a shingle hot.
 HOT = 32
@@ -29,11 +30,17 @@ HOT = 32
 READ = (4, 64, 1 << 62)
 
 
-def _distinct(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Membership of each row in its class of equal sets, and the classes' sets with their sizes."""
-    sets = kept_sets(sets)
-    members = stored(classes(sets), "classes")
-    return members, stored(distinct_sets(sets, members).filter("n > 0").select("ord", "shingles", F.col("n").cast("long").alias("n")), "firsts")
+def _shared(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``ord, n, s`` (written): members of sets that are among ``wanted`` (``s``); of the others next to none is shuffled."""
+    members = sets.filter("n > 0").select("ord", "n", F.explode("shingles").alias("s"))
+    return stored(Membership(stored(wanted.select("s").distinct(), "wanted")).within(members).select("ord", F.col("n").cast("long").alias("n"), "s"), "shared")
+
+
+def _kinds(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ord, first`` of every row, and ``ord, n, shingles`` of the first of those with as many members and the same shared ones: they have the same overlaps."""
+    each = stored(shared.groupBy("ord", "n").agg(F.sort_array(F.collect_list("s")).alias("shingles")), "shared-sets")
+    first = stored(each.groupBy("n", "shingles").agg(F.min("ord").alias("first")), "kinds")
+    return each.join(first, ["n", "shingles"]).select("ord", "first"), first.select(F.col("first").alias("ord"), "n", "shingles")
 
 
 def _rounds(state: DataFrame, members: DataFrame, postings: DataFrame, ours: DataFrame, theirs: DataFrame, later: str) -> DataFrame:
@@ -73,9 +80,19 @@ def best_overlap(sets: DataFrame, others: DataFrame, floor: float = 0.0) -> Data
     An overlap below ``floor`` is reported as 0, which spares its search. An
     empty set has overlap 1 with an empty one and 0 with any other.
     """
-    in_class, mine = _distinct(sets)
-    out_class, theirs = _distinct(others)
-    theirs = theirs.select(F.col("ord").alias("o"), F.col("n").alias("m"), "shingles")
+    sets, others = kept_sets(sets), kept_sets(others)
+
+    def members(of: DataFrame) -> DataFrame:
+        return of.select(F.explode("shingles").alias("s"))
+
+    if sets.count() <= others.count():  # the smaller side says first what may be shared
+        yours = _shared(others, members(sets))
+        ours = _shared(sets, yours)
+    else:
+        ours = _shared(sets, members(others))
+        yours = _shared(others, ours)
+    in_class, mine = _kinds(ours)
+    theirs = _kinds(yours)[1].select(F.col("ord").alias("o"), F.col("n").alias("m"), "shingles")
     postings = theirs.select("o", "m", F.explode("shingles").alias("s"))
     counted = stored(postings.groupBy("s").agg(F.count("*").alias("df")), "overlap-counts")
     matched = stored(_ranked(mine.select("ord", "n", F.explode("shingles").alias("s")).join(counted, "s"), "df"), "overlap-members")
@@ -98,10 +115,9 @@ def best_overlap(sets: DataFrame, others: DataFrame, floor: float = 0.0) -> Data
         state = _rounds(stored(last, "overlap-best"), ranked, kind_index, ours, kinds, "later")
 
     best = F.when(F.col("best") >= floor, F.col("best")) if floor else F.col("best")
-    any_empty = not others.filter(F.size("shingles") == 0).isEmpty()
-    empty = in_class.join(mine.select(F.col("ord").alias("first")), "first", "left_anti").select("ord", F.lit(float(any_empty)).alias("overlap"))
-    full = in_class.join(mine.select(F.col("ord").alias("first")), "first").join(state.select(F.col("ord").alias("first"), best.alias("overlap")), "first", "left")
-    return full.select("ord", F.coalesce("overlap", F.lit(0.0)).alias("overlap")).unionByName(empty)
+    any_empty = not others.filter("n = 0").isEmpty()
+    found = in_class.join(state.select(F.col("ord").alias("first"), best.alias("overlap")), "first").select("ord", "overlap")
+    return sets.select("ord", "n").join(found, "ord", "left").select("ord", F.when(F.col("n") == 0, float(any_empty)).otherwise(F.coalesce("overlap", F.lit(0.0))).alias("overlap"))
 
 
 def decontaminated(sets: DataFrame, contaminants: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
