@@ -138,10 +138,11 @@ def tool_jsonl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = writers.jsonl(tool_runs(spark, sf_dir))
     kind = "struct<id:string,query:string,steps:array<struct<step_type:string,tool_args:struct<at:struct<id:bigint,tag:string>,props:struct<k:bigint>>,observation:string>>,messages:array<struct<role:string,tool_calls:array<struct<name:string,arguments:struct<at:struct<id:bigint>,props:struct<k:bigint>>>>>>,final_answer:string>"
     read = lines.select(F.from_json("value", kind).alias("r")).select("r.*")
-    each = read.select(F.col("id").cast("bigint").alias("user_id"), "query", "final_answer", F.posexplode("steps").alias("place", "s"), "messages").filter("s.step_type = 'tool_call'")
     calls = F.flatten(F.transform("messages", lambda m: F.coalesce(m["tool_calls"], F.array().cast("array<struct<name:string,arguments:struct<at:struct<id:bigint>,props:struct<k:bigint>>>>"))))
-    call = F.try_element_at(calls, (F.col("place") / 2).cast("int") + 1)
-    return each.select("user_id", F.col("s.tool_args.at.id").alias("event_id"), F.col("s.tool_args.at.tag").alias("tag"), F.col("s.tool_args.props.k").alias("k"), call["arguments"]["at"]["id"].alias("called_id"), call["name"].alias("called"), "query", "final_answer")
+    # both lists are made once for each line, not for each of its calls
+    lists = read.select(F.col("id").cast("bigint").alias("user_id"), "query", "final_answer", F.filter("steps", lambda s: s["step_type"] == "tool_call").alias("s"), calls.alias("c"))
+    each = lists.select("user_id", "query", "final_answer", F.explode(F.arrays_zip("s", "c")).alias("z")).select("user_id", "query", "final_answer", "z.s", "z.c").filter("s is not null")
+    return each.select("user_id", F.col("s.tool_args.at.id").alias("event_id"), F.col("s.tool_args.at.tag").alias("tag"), F.col("s.tool_args.props.k").alias("k"), F.col("c.arguments.at.id").alias("called_id"), F.col("c.name").alias("called"), "query", "final_answer")
 
 
 def tool_sharegpt_export(spark: SparkSession, sf_dir: str) -> DataFrame:
